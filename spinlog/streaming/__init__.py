@@ -1,0 +1,5 @@
+"""Empty on purpose.
+
+The workload is batch only: exports arrive as whole files, and the fact table
+is rebuilt from the raw layer after each ingest.  No operator needs a stream.
+"""
