@@ -1,0 +1,145 @@
+"""Export files too large for one row, read in splits.
+
+The text source cuts a file at every closing brace and may start at any split,
+so one file is read by many tasks.  Whether a brace really ends a record
+depends on what came before it: whether a string is open, and how deep the
+nesting is.  Both are running sums.  They are taken inside each split first
+(a split is bounded by `spark.sql.files.maxPartitionBytes`), then over one row
+per split, and added back; no task ever sees a whole file.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from spinlog.errors import IngestError
+
+_SPLIT = ["path", "block"]
+
+
+def fragments(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, block, seq, text): the pieces between closing braces, in order inside a block."""
+    lines = spark.read.option("lineSep", "}").text(paths)
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        F.col("value").alias("text"),
+    )
+
+
+def _count(text: Column, keep: str) -> Column:
+    return F.length(F.regexp_replace(text, f"[^{keep}]", "")).cast("bigint")
+
+
+def _depth_change(plain: Column, open_before: Column, quotes: Column) -> Column:
+    """Nesting change of a fragment and its brace, text inside strings left out."""
+    open_after = (open_before + quotes) % 2
+    closed = F.concat(
+        F.when(open_before == 1, '"').otherwise(""), plain, F.when(open_after == 1, '"').otherwise("")
+    )
+    outside = F.regexp_replace(closed, '"[^"]*"', "")
+    brace = F.when(open_after == 0, 1).otherwise(0)
+    return _count(outside, r"\{\[") - _count(outside, r"\]") - brace
+
+
+def split_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per record: (source_file, source_index, payload, problem)."""
+    in_split = Window.partitionBy(*_SPLIT).orderBy("seq")
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    up_to = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier_splits = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def earlier(column: str | Column) -> Column:
+        return F.coalesce(F.sum(column).over(earlier_splits), F.lit(0))
+
+    # Escaped characters go first: a quote that stays is a real one.
+    plain = F.regexp_replace("text", r"(?s)\\.", "")
+    local = (
+        fragments(spark, paths)
+        .withColumn("plain", plain)
+        .withColumn("quotes", _count(F.col("plain"), '"'))
+        .withColumn("open", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+        .withColumn("if_closed", _depth_change(F.col("plain"), F.col("open"), F.col("quotes")))
+        .withColumn("if_open", _depth_change(F.col("plain"), 1 - F.col("open"), F.col("quotes")))
+        .drop("plain")
+    )
+    # One row per split: is a string open at its start, and how deep are we?
+    starts = (
+        local.groupBy(*_SPLIT)
+        .agg(F.sum("quotes").alias("q"), F.sum("if_closed").alias("c"), F.sum("if_open").alias("o"))
+        .withColumn("starts_open", earlier("q") % 2)
+        .withColumn("starts_deep", earlier(F.when(F.col("starts_open") == 1, F.col("o")).otherwise(F.col("c"))))
+        .select(*_SPLIT, "starts_open", "starts_deep")
+    )
+    change = F.when(F.col("starts_open") == 1, F.col("if_open")).otherwise(F.col("if_closed"))
+    string_after = (F.col("starts_open") + F.col("open") + F.col("quotes")) % 2
+    ended = (
+        local.join(starts, _SPLIT)
+        .withColumn("depth", F.col("starts_deep") + F.sum(change).over(up_to))
+        .withColumn("ends", F.when((F.col("depth") == 1) & (string_after == 0), 1).otherwise(0))
+        .withColumn("ends_before", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    )
+    numbers = (
+        ended.groupBy(*_SPLIT).agg(F.sum("ends").alias("n")).withColumn("first", earlier("n"))
+        .select(*_SPLIT, "first")
+    )
+    # A group is one record: its size is the record's, not the file's.
+    records = (
+        ended.join(numbers, _SPLIT)
+        .withColumn("source_index", F.col("first") + F.col("ends_before"))
+        .groupBy("path", "source_index")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "seq", "text"))).alias("f"), F.max("ends").alias("whole"))
+        .select(
+            F.element_at(F.split("path", "/"), -1).alias("source_file"),
+            "source_index",
+            F.array_join("f.text", "}").alias("text"),
+            "whole",
+        )
+    )
+    return check_records(records)
+
+
+def check_records(records: DataFrame) -> DataFrame:
+    """Strip the separators, check them, and check each record's own JSON.
+
+    What follows the last brace of a file comes as a last, unfinished row: it
+    must be the closing bracket and nothing else.
+    """
+    text, first = F.col("text"), F.col("source_index") == 0
+    whole = F.col("whole") == 1
+    lead = F.when(first, r"^\s*\[\s*\{").otherwise(r"^\s*,\s*\{")
+    payload = F.concat(F.regexp_replace(text, r"^\s*[\[,]\s*", ""), F.lit("}"))
+    tail_ok = F.when(first, text.rlike(r"^\s*\[\s*\]\s*$")).otherwise(text.rlike(r"^\s*\]\s*$"))
+    object_ok = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "array<map<string,string>>").isNotNull()
+    problem = (
+        F.when(whole & ~F.regexp_like(text, lead), "expected an object after a separator")
+        .when(whole & ~object_ok, "not valid JSON")
+        .when(~whole & ~tail_ok, "not a complete JSON array of play objects")
+    )
+    return records.select(
+        "source_file", "source_index", F.when(whole, payload).alias("payload"), problem.alias("problem")
+    ).where(F.col("payload").isNotNull() | F.col("problem").isNotNull())
+
+
+def content_digest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source_file, file_hash) of large files, equal for equal text.
+
+    The pieces and their place in the record sequence decide, not where the
+    splits fall: SHA-256 over the record count and two order-bound sums.
+    """
+    records = split_records(spark, paths)
+    broken = records.where(F.col("problem").isNotNull()).limit(1).collect()
+    if broken:
+        raise IngestError(f"{broken[0]['source_file']}[{broken[0]['source_index']}]: {broken[0]['problem']}.")
+    piece = [
+        F.xxhash64("source_index", "payload").cast("decimal(20,0)"),
+        F.xxhash64("payload", "source_index", F.lit(1)).cast("decimal(20,0)"),
+    ]
+    return records.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(piece[0]).alias("a"), F.sum(piece[1]).alias("b")
+    ).select(
+        "source_file", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("file_hash")
+    )
