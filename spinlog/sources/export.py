@@ -71,11 +71,13 @@ def whole_file_records(files: DataFrame) -> DataFrame:
               "expected objects only, found a string")
     )
     checked = parsed.select("source_file", file_problem.alias("problem"), F.col("nested")[0].alias("records"))
-    # A broken file becomes one row without a payload.
+    # A broken file becomes one row without a payload.  The outer explode keeps the
+    # optimizer from inferring a filter on the array, which would parse twice; the
+    # row it makes of an empty file is dropped.
     rows = F.when(F.col("problem").isNotNull(), F.array(F.lit(None).cast("string"))).otherwise(F.col("records"))
     return checked.select(
-        "source_file", "problem", F.posexplode(rows).alias("source_index", "payload")
-    ).select(
+        "source_file", "problem", F.posexplode_outer(rows).alias("source_index", "payload")
+    ).where(F.col("source_index").isNotNull()).select(
         "source_file",
         F.when(F.col("problem").isNull(), F.col("source_index").cast("bigint")).alias("source_index"),
         "payload",

@@ -115,7 +115,10 @@ def catalog_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('app:track:', p_partkey) as uri",
         "cast(p_retailprice * 100 as bigint) as duration_ms",
         "p_partkey % 10 = 0 as explicit",
-        "array(named_struct('id', concat('ar', p_brand), 'name', concat('The ', p_brand), 'uri', concat('app:artist:', p_brand)))"
+        # One part in ten credits the artist under another name, with the same id.
+        "array(named_struct('id', concat('ar', p_brand), 'name', if(p_partkey % 10 = 7, concat(p_brand, ' Topic'),"
+        " concat('The ', p_brand)), 'uri', concat('app:artist:', p_brand)),"
+        " named_struct('id', concat('guest', p_size), 'name', concat('Guest ', p_size), 'uri', concat('app:artist:guest', p_size)))"
         " as artists",
         "named_struct('id', concat('al', p_type), 'name', concat('Album ', p_type), 'uri', concat('app:album:', p_type),"
         " 'release_date', concat(1960 + p_size, '-01-01')) as album",
