@@ -106,8 +106,10 @@ AREA.add(
 ALLOWED = "f.marker is null"
 AREA.add(
     "join_candidate_artist",
-    lambda s, d: match.wanted_keys(candidates(s, d)).join(index(s, d), "artist_norm")
-    .groupBy("input_idx").agg(F.count(F.lit(1)).alias("tracks")),
+    # Tracks are counted per artist first: the join never pairs candidates with single tracks.
+    lambda s, d: match.wanted_keys(candidates(s, d)).join(
+        index(s, d).groupBy("artist_norm").agg(F.count(F.lit(1)).alias("tracks")), "artist_norm"
+    ).select("input_idx", "tracks"),
     CATALOG_CTE + "select input_idx, count(*) as tracks from cand join forms using (artist_norm) group by input_idx",
 )
 AREA.add(

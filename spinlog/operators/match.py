@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from spinlog.functions import fuzzy, markers
 from spinlog.functions.text import normalize_text, strip_suffixes
+from spinlog.session import keep_matching, materialize
 
 WANTED = ["artist_norm", "title_norm", "excused_album", "want_year"]
 TIERS = {3: "exact", 2: "strong", 1: "weak"}
@@ -95,11 +96,9 @@ def exact_and_strong(wanted: DataFrame, index: DataFrame, artist_key: str) -> Da
     same = F.struct(F.col("title_norm").alias("key"), F.lit(3).alias("tier"))
     shorter = F.struct(F.col("stripped_norm").alias("key"), F.lit(2).alias("tier"))
     forms = F.when(F.col("title_norm") == F.col("stripped_norm"), F.array(same)).otherwise(F.array(same, shorter))
-    artists = wanted.select("artist_key").distinct()
+    credits = keep_matching(index.withColumnRenamed(artist_key, "artist_key"), wanted, ["artist_key"])
     tracks = (
-        index.withColumnRenamed(artist_key, "artist_key")
-        .join(artists, "artist_key", "left_semi")
-        .withColumn("form", F.explode_outer(forms))
+        credits.withColumn("form", F.explode_outer(forms))
         .withColumns({p: F.col(p) if p != artist_key else F.col("artist_key") for p in _PICK})
         .groupBy("artist_key", F.col("form.key").alias("title_key"), F.col("form.tier").alias("tier"), "year", *_MASKS)
         .agg(_best())
@@ -118,11 +117,9 @@ def exact_and_strong(wanted: DataFrame, index: DataFrame, artist_key: str) -> Da
 
 def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     """Distinct (wanted, catalogue title) pairs that may reach the ratio; none that does is missing."""
-    artists = wanted.select("artist_key").distinct()
+    credits = keep_matching(index.withColumnRenamed(artist_key, "artist_key"), wanted, ["artist_key"])
     titles = (
-        index.withColumnRenamed(artist_key, "artist_key")
-        .join(artists, "artist_key", "left_semi")
-        .withColumns({p: F.col(p) if p != artist_key else F.col("artist_key") for p in _PICK})
+        credits.withColumns({p: F.col(p) if p != artist_key else F.col("artist_key") for p in _PICK})
         .groupBy("artist_key", "stripped_norm", *_MASKS)
         .agg(_best())
         .withColumn("signature", F.explode_outer(fuzzy.signatures(F.col("stripped_norm"))))
@@ -148,13 +145,13 @@ def weak(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     )
 
 
-def search(wanted: DataFrame, index: DataFrame, artist_key: str, materialize) -> DataFrame:
+def search(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     """All tiers; the similar ones only for keys with no better match.
 
     `wanted` has WANTED plus `artist_key`; `artist_key` names the index column
     it is compared with (`artist_norm` or `artist_id`).
     """
     wanted = wanted.withColumn("excused_title", markers.excused_mask(F.col("title_norm")))
-    first = materialize(exact_and_strong(wanted, index, artist_key))
-    rest = wanted.join(first.select(*WANTED), WANTED, "left_anti")
+    first = materialize(exact_and_strong(wanted, index, artist_key), "first")
+    rest = materialize(wanted.join(first.select(*WANTED), WANTED, "left_anti"), "rest")
     return first.unionByName(weak(rest, index, artist_key))

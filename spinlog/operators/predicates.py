@@ -18,15 +18,22 @@ def as_date(value: str | dt.date) -> dt.date:
     return value if isinstance(value, dt.date) else dt.date.fromisoformat(value)
 
 
+PARTITION = "partition"  # schema note on columns a table is partitioned by
+
+
+def is_partition(df: DataFrame, column: str) -> bool:
+    return column in df.columns and bool(df.schema[column].metadata.get(PARTITION))
+
+
 def date_range(
     df: DataFrame, start: str | dt.date | None, end: str | dt.date | None, column: str = "played_date"
 ) -> DataFrame:
     """Inclusive on both sides, each side optional.
 
-    A store partitioned by month also gets the month bounds, so whole
-    directories outside the range are never listed.
+    Rows read from a store partitioned by month also get the month bounds, so
+    files outside the range are never opened.
     """
-    by_month = column == "played_date" and "played_month" in df.columns
+    by_month = column == "played_date" and is_partition(df, "played_month")
     if start:
         day = as_date(start)
         df = df.where(F.col(column) >= F.lit(day))

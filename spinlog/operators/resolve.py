@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from spinlog.errors import CandidateError
 from spinlog.operators import cache as C
 from spinlog.operators.match import STAGES, TIERS, WANTED, catalog_index, search, wanted_keys
-from spinlog.session import materialize
+from spinlog.session import keep_matching, materialize
 
 LOW_CONFIDENCE = 0.7
 REJECTED_SHOWN = 5
@@ -60,13 +60,18 @@ def verified_artists(hits: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def first_tracks(artists: DataFrame, index: DataFrame, count: int = REJECTED_SHOWN) -> DataFrame:
-    """The first tracks of each artist, at most `count`: the rank filter runs before the shuffle."""
+    """The first tracks of each artist, at most `count`.
+
+    The rank comes before the join: its filter then runs ahead of the shuffle,
+    and no task ever holds all tracks of a hot artist.
+    """
     rank = F.row_number().over(Window.partitionBy("artist_norm").orderBy("track_id", "artist_pos"))
+    tracks = index.select("artist_norm", "track_id", "artist_pos", "uri")
     few = (
-        index.select("artist_norm", "track_id", "artist_pos", "uri")
-        .join(artists, "artist_norm", "left_semi")
+        keep_matching(tracks, artists, ["artist_norm"])
         .withColumn("rank", rank)
         .where(F.col("rank") <= count)
+        .join(artists, "artist_norm", "left_semi")
     )
     return few.groupBy("artist_norm").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "uri"))), lambda s: s["uri"]).alias("shown")
@@ -109,7 +114,7 @@ def resolve(
     hits, misses = looked.where("hit is not null"), looked.where("hit is null").drop("hit")
 
     keyed = misses.select(*WANTED, F.col("artist_norm").alias("artist_key"))
-    by_name = materialize(search(keyed, index, "artist_norm", materialize), "by_name")
+    by_name = materialize(search(keyed, index, "artist_norm"), "by_name")
 
     accepted = F.lit(True) if not strict else F.col("hit.confidence") != "weak"
     usable = hits.where(~F.col("hit.is_negative") & accepted)
@@ -117,7 +122,7 @@ def resolve(
     # A weak match by name gives way to an exact or strong one by id.
     sure = by_name.where("tier > 1").select(*WANTED)
     left = misses.join(sure, WANTED, "left_anti").join(verified, "artist_norm")
-    by_id = search(left.select(*WANTED, "artist_key"), index, "artist_id", materialize)
+    by_id = search(materialize(left.select(*WANTED, "artist_key"), "left"), index, "artist_id")
     better = F.min(F.struct("stage", (-F.col("tier")).alias("neg_tier"), "best")).alias("m")
     found = materialize(
         by_name.unionByName(by_id).groupBy(*WANTED).agg(better)

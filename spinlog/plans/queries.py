@@ -145,9 +145,8 @@ def taste_drift(plays: DataFrame, period_a_start: Day, period_a_end: Day, period
     per_artist = relevant.groupBy("artist_name").agg(
         F.count_if(in_a).alias("period_a_plays"), F.count_if(in_b).alias("period_b_plays")
     )
-    total_a = relevant.agg(F.count_if(in_a)).scalar()
-    total_b = relevant.agg(F.count_if(in_b)).scalar()
-    return label_drift(per_artist, total_a, total_b, limit)
+    totals = relevant.agg(F.struct(F.count_if(in_a).alias("a"), F.count_if(in_b).alias("b"))).scalar()
+    return label_drift(per_artist, totals["a"], totals["b"], limit)
 
 
 def taste_drift_outer(plays: DataFrame, period_a_start: Day, period_a_end: Day,

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from spinlog.operators.numbering import number_placed, part_offsets, place_in_order
 from spinlog.operators.plays import select_plays
+from spinlog.operators.predicates import PARTITION
 from spinlog.plans.views import VIEWS, publish_views
 from spinlog.schema import INGEST_RUNS, INGESTED_FILES, PLAYS, RAW_PLAYS
 
@@ -74,7 +75,9 @@ class HistoryStore:
             return None
         placed = self.spark.read.schema(_PLACED).parquet(self.path("plays", f"version={version}"))
         parts = self.spark.read.schema(_PARTS).parquet(self.path("play_parts", f"version={version}"))
-        return select_plays(number_placed(placed, parts, "play_id"))
+        plays = select_plays(number_placed(placed, parts, "play_id"))
+        note = {**plays.schema["played_month"].metadata, PARTITION: True}
+        return plays.withMetadata("played_month", note)
 
     def views(self) -> dict[str, DataFrame]:
         plays = self.plays()
