@@ -67,10 +67,12 @@ def ingest(
     started = utc_now()
     run = store.last_run() + 1
 
-    hashes = hash_files(spark, directory, pattern, whole_file_bytes)
-    total = export.file_listing(spark, directory, pattern).select("path").count()
+    files = export.file_listing(spark, directory, pattern)
+    total = files.select("path").count()
+    export.check_not_empty(files, total)
     if not total:
         raise IngestError(f"no {pattern} files in {directory}")
+    hashes = hash_files(spark, directory, pattern, whole_file_bytes)
     new = store.write_files(export.new_files(hashes, store.ingested_files()), run)
     n_new = new.count()
 

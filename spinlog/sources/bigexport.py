@@ -71,8 +71,10 @@ def split_records(spark: SparkSession, paths: list[str]) -> DataFrame:
         local.groupBy(*_SPLIT)
         .agg(F.sum("quotes").alias("q"), F.sum("if_closed").alias("c"), F.sum("if_open").alias("o"))
         .withColumn("starts_open", earlier("q") % 2)
-        .withColumn("starts_deep", earlier(F.when(F.col("starts_open") == 1, F.col("o")).otherwise(F.col("c"))))
-        .select(*_SPLIT, "starts_open", "starts_deep")
+        .withColumn("change", F.when(F.col("starts_open") == 1, F.col("o")).otherwise(F.col("c")))
+        .withColumn("starts_deep", earlier("change"))
+        .withColumn("ends_deep", F.sum("change").over(Window.partitionBy("path")))
+        .select(*_SPLIT, "starts_open", "starts_deep", "ends_deep")
     )
     change = F.when(F.col("starts_open") == 1, F.col("if_open")).otherwise(F.col("if_closed"))
     string_after = (F.col("starts_open") + F.col("open") + F.col("quotes")) % 2
@@ -91,12 +93,14 @@ def split_records(spark: SparkSession, paths: list[str]) -> DataFrame:
         ended.join(numbers, _SPLIT)
         .withColumn("source_index", F.col("first") + F.col("ends_before"))
         .groupBy("path", "source_index")
-        .agg(F.sort_array(F.collect_list(F.struct("block", "seq", "text"))).alias("f"), F.max("ends").alias("whole"))
+        .agg(F.sort_array(F.collect_list(F.struct("block", "seq", "text"))).alias("f"), F.max("ends").alias("whole"),
+             F.max("ends_deep").alias("ends_deep"))
         .select(
             F.element_at(F.split("path", "/"), -1).alias("source_file"),
             "source_index",
             F.array_join("f.text", "}").alias("text"),
             "whole",
+            "ends_deep",
         )
     )
     return check_records(records)
@@ -106,7 +110,8 @@ def check_records(records: DataFrame) -> DataFrame:
     """Strip the separators, check them, and check each record's own JSON.
 
     What follows the last brace of a file comes as a last, unfinished row: it
-    must be the closing bracket and nothing else.
+    must be the closing bracket and nothing else.  That row was counted with a
+    brace it does not have, so a complete file ends at depth -1.
     """
     text, first = F.col("text"), F.col("source_index") == 0
     whole = F.col("whole") == 1
@@ -117,6 +122,7 @@ def check_records(records: DataFrame) -> DataFrame:
     problem = (
         F.when(whole & ~F.regexp_like(text, lead), "expected an object after a separator")
         .when(whole & ~object_ok, "not valid JSON")
+        .when(first & (F.col("ends_deep") != -1), "not a complete JSON array of play objects")
         .when(~whole & ~tail_ok, "not a complete JSON array of play objects")
     )
     return records.select(

@@ -31,6 +31,15 @@ def file_listing(spark: SparkSession, directory: str, pattern: str = "*.json") -
     )
 
 
+def check_not_empty(files: DataFrame, found: int) -> None:
+    """Spark skips files without a byte; they are not JSON, so they must not pass unseen."""
+    listed = files.inputFiles()
+    if len(listed) != found:
+        names = {path.rsplit("/", 1)[-1] for path in listed}
+        read = {r["source_file"] for r in files.select("source_file").collect()}
+        raise IngestError(f"{min(names - read)}: not valid JSON (the file is empty).")
+
+
 def file_hashes(files: DataFrame) -> DataFrame:
     """SHA-256 of the bytes of each file."""
     return files.select("source_file", F.sha2("content", 256).alias("file_hash"))
