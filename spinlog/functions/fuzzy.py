@@ -81,7 +81,14 @@ def fuzzy_ratio(wanted: Column, found: Column) -> Column:
 
     @F.pandas_udf(DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        values = [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)]
-        return pd.Series(values, dtype="float64")
+        # A matcher indexes its second text once; equal ones are taken together.
+        values = pd.Series(0.0, index=a.index)
+        matcher = SequenceMatcher(None)
+        for found_text, rows in b.groupby(b, sort=False).groups.items():
+            matcher.set_seq2(found_text)
+            for row in rows:
+                matcher.set_seq1(a[row])
+                values[row] = matcher.ratio()
+        return values
 
     return ratio(wanted, found)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spinlog.functions import fuzzy, markers
 from spinlog.functions.text import normalize_text, strip_suffixes
@@ -129,22 +130,40 @@ def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFram
     return (
         probes.join(titles, ["artist_key", "signature"])
         .where(lengths & _allowed())
+        .select(*WANTED, "stripped_norm", *_MASKS, "best")
         .dropDuplicates([*WANTED, "stripped_norm", *_MASKS])
     )
 
 
-def weak(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
+FIRST_TRIED = 16
+
+
+def similar_enough(pairs: DataFrame) -> DataFrame:
+    """The best catalogue title that reaches the ratio, per wanted key."""
     ratio = fuzzy.fuzzy_ratio(F.col("title_norm"), F.col("stripped_norm"))
     return (
-        weak_pairs(wanted, index, artist_key)
-        .withColumn("ratio", ratio)
+        pairs.withColumn("ratio", ratio)
         .where(F.col("ratio") >= fuzzy.WEAK_RATIO)
         .groupBy(*WANTED)
         .agg(F.min("best").alias("best"))
-        .select(*WANTED, F.lit(3).alias("stage"), F.lit(1).alias("tier"), "best")
     )
 
 
+def weak(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
+    """Similar titles.  The best one is the first in catalogue order, not the most similar.
+
+    So the first few pairs of a key are tried before all others: where many
+    titles are alike one of them fits, and the rest need no ratio.  Keys still
+    open then get all their pairs tried.
+    """
+    pairs = materialize(weak_pairs(wanted, index, artist_key), "pairs")
+    place = F.row_number().over(Window.partitionBy(*WANTED).orderBy("best"))
+    head = pairs.withColumn("place", place).where(F.col("place") <= FIRST_TRIED).drop("place")
+    early = materialize(similar_enough(head), "early")
+    late = similar_enough(pairs.join(early.select(*WANTED), WANTED, "left_anti"))
+    return early.unionByName(late).select(*WANTED, F.lit(3).alias("stage"), F.lit(1).alias("tier"), "best")
+
+
 def search(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     """All tiers; the similar ones only for keys with no better match.
 

@@ -180,17 +180,17 @@ def test_bad_candidates(world, spark):
 
 def test_a_hot_artist_and_copies(spark):
     """One artist with most tracks, one title with most copies, one request asked many times."""
-    tracks = spark.range(3000).selectExpr(
+    tracks = spark.range(900).selectExpr(
         "cast(id as string) as id", "if(id % 3 = 0, 'Same Title', concat('Title Number ', id)) as name",
         "concat('app:track:', id) as uri", "1L as duration_ms",
         "array(named_struct('id', 'hot', 'name', 'Hot', 'uri', 'u')) as artists",
         "named_struct('id', 'a', 'name', 'A', 'uri', 'u', 'release_date', cast(1900 + id % 100 as string)) as album",
         "named_struct('isrc', cast(null as string)) as external_ids")
-    asked = spark.range(2000).selectExpr(
-        "id as input_idx", "'hot' as artist", "if(id < 1500, 'same title', concat('Titl Number ', id)) as title",
+    asked = spark.range(700).selectExpr(
+        "id as input_idx", "'hot' as artist", "if(id < 500, 'same title', concat('Titl Number ', id)) as title",
         "cast(null as string) as album", "cast(null as string) as year")
     out = R.resolve(asked, tracks, as_of=NOW, strict=False).outcome
-    assert out.count() == 2000
-    assert [r.track_id for r in out.where("input_idx < 1500").select("track_id").distinct().collect()] == ["0"]
-    assert out.where("input_idx >= 1500 and (confidence <> 'weak' or confidence is null)").count() == 0
+    assert out.count() == 700
+    assert [r.track_id for r in out.where("input_idx < 500").select("track_id").distinct().collect()] == ["0"]
+    assert out.where("input_idx >= 500 and (confidence <> 'weak' or confidence is null)").count() == 0
     assert out.where(F.col("status") == "unresolved").count() == 0
