@@ -160,17 +160,21 @@ def weak(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*WANTED).orderBy("best"))
     head = pairs.withColumn("place", place).where(F.col("place") <= FIRST_TRIED).drop("place")
     early = materialize(similar_enough(head), "early")
-    late = similar_enough(pairs.join(early.select(*WANTED), WANTED, "left_anti"))
-    return early.unionByName(late).select(*WANTED, F.lit(3).alias("stage"), F.lit(1).alias("tier"), "best")
+    open_pairs = pairs.join(early.select(*WANTED), WANTED, "left_anti")
+    found = early
+    if not open_pairs.isEmpty():
+        found = early.unionByName(materialize(similar_enough(open_pairs), "late"))
+    return found.select(*WANTED, F.lit(3).alias("stage"), F.lit(1).alias("tier"), "best")
 
 
 def search(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     """All tiers; the similar ones only for keys with no better match.
 
     `wanted` has WANTED plus `artist_key`; `artist_key` names the index column
-    it is compared with (`artist_norm` or `artist_id`).
+    it is compared with (`artist_norm` or `artist_id`).  The result is made of
+    written tables; stages nothing is left for are not run.
     """
     wanted = wanted.withColumn("excused_title", markers.excused_mask(F.col("title_norm")))
     first = materialize(exact_and_strong(wanted, index, artist_key), "first")
     rest = materialize(wanted.join(first.select(*WANTED), WANTED, "left_anti"), "rest")
-    return first.unionByName(weak(rest, index, artist_key))
+    return first if rest.isEmpty() else first.unionByName(weak(rest, index, artist_key))

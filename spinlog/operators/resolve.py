@@ -114,21 +114,23 @@ def resolve(
     hits, misses = looked.where("hit is not null"), looked.where("hit is null").drop("hit")
 
     keyed = misses.select(*WANTED, F.col("artist_norm").alias("artist_key"))
-    by_name = materialize(search(keyed, index, "artist_norm"), "by_name")
+    by_name = search(keyed, index, "artist_norm")
 
     accepted = F.lit(True) if not strict else F.col("hit.confidence") != "weak"
     usable = hits.where(~F.col("hit.is_negative") & accepted)
     verified = verified_artists(usable, by_name.join(misses, WANTED))
     # A weak match by name gives way to an exact or strong one by id.
     sure = by_name.where("tier > 1").select(*WANTED)
-    left = misses.join(sure, WANTED, "left_anti").join(verified, "artist_norm")
-    by_id = search(materialize(left.select(*WANTED, "artist_key"), "left"), index, "artist_id")
-    better = F.min(F.struct("stage", (-F.col("tier")).alias("neg_tier"), "best")).alias("m")
-    found = materialize(
-        by_name.unionByName(by_id).groupBy(*WANTED).agg(better)
-        .select(*WANTED, "m.stage", (-F.col("m.neg_tier")).alias("tier"), "m.best"),
-        "found",
+    left = materialize(
+        misses.join(sure, WANTED, "left_anti").join(verified, "artist_norm").select(*WANTED, "artist_key"), "left"
     )
+    found = by_name
+    if not left.isEmpty():
+        better = F.min(F.struct("stage", (-F.col("tier")).alias("neg_tier"), "best")).alias("m")
+        found = (
+            by_name.unionByName(search(left, index, "artist_id")).groupBy(*WANTED).agg(better)
+            .select(*WANTED, "m.stage", (-F.col("m.neg_tier")).alias("tier"), "m.best")
+        )
 
     answers = misses.join(found, WANTED, "left").select(
         *WANTED, "norm_key", "first_idx",
