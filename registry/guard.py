@@ -32,7 +32,7 @@ ask("sql_guarded",
 ask("set_union_sql",
     "select artist_name from v_skip where plays > 3 union select artist_name from dim_artist where play_count < 25")
 ask("sql_validate",
-    "select s.artist_name, s.plays, rank() over (partition by s.artist_name order by s.plays desc, s.track_uri) as place "
+    "select s.artist_name, s.plays, cast(rank() over (partition by s.artist_name order by s.plays desc, s.track_uri) as int) as place "
     "from v_skip s where exists (select 1 from dim_track t where t.track_uri = s.track_uri and t.play_count > 4)")
 
 

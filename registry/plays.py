@@ -138,7 +138,7 @@ AREA.add(
         F.min("play_id").alias("first_id"), F.max("play_id").alias("last_id"),
         F.countDistinct("play_id").alias("ids"),
     ),
-    "select min(1) as first_id, count(*) as last_id, count(*) as ids from lineitem",
+    "select cast(min(1) as bigint) as first_id, count(*) as last_id, count(*) as ids from lineitem",
 )
 
 
@@ -258,9 +258,9 @@ DRIFT_SQL = """
    coalesce(sb.n, 0) as period_b_plays, coalesce(sb.share, cast(0 as double)) as period_b_share,
    coalesce(sb.share, cast(0 as double)) - coalesce(sa.share, cast(0 as double)) as share_delta
   from sa full outer join sb using (artist_name))
-, r as (select *, row_number() over (partition by drift order by case drift when 'gained' then
+, r as (select *, cast(row_number() over (partition by drift order by case drift when 'gained' then
    cast(period_b_plays as double) when 'lost' then cast(period_a_plays as double) else abs(share_delta) end desc,
-   artist_name) as rank from j)
+   artist_name) as integer) as rank from j)
 select * from r where rank <= {n}
 """
 add("q_taste_drift", lambda p: Q.taste_drift(p, *DRIFT, limit=20), DRIFT_SQL.format(n=20))

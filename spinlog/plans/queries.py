@@ -117,17 +117,19 @@ def top_local(plays: DataFrame, entity: str = "artist", start: Day = None, end:
         one_of("entity", entity, ("artist", "track", "album"))
     ]
     one_of("metric", metric, ("plays", "ms"))
-    track_name = [F.min("track_name").alias("track_name")] if entity == "track" else []
-    ranked = (
-        named(date_range(plays, start, end), key)
-        .groupBy(F.col(key).alias("entity"))
-        .agg(F.min("artist_name").alias("artist_name"), *track_name, plays_count(),
-             F.sum("ms_played").alias("ms"))
-    )
+    # Names are keys of a first fold, not text minima over all plays (see views.dim_track).
+    names = {"artist": [], "track": ["artist_name", "track_name"], "album": ["artist_name"]}[entity]
+    inside = named(date_range(plays, start, end), key).withColumn("entity", F.col(key))
+    ranked = inside.groupBy("entity", *names).agg(plays_count(), F.sum("ms_played").alias("ms"))
+    if names:
+        ranked = ranked.groupBy("entity").agg(
+            *[F.min(n).alias(n) for n in names], F.sum("plays").alias("plays"), F.sum("ms").alias("ms")
+        )
+    else:
+        ranked = ranked.withColumn("artist_name", F.col("entity"))
     order = [F.col(metric).desc_nulls_last(), F.col("entity").asc()]
-    return (
-        top(ranked, order, limit).withColumn("hours", hours(F.col("ms"))).drop("ms")
-    )
+    return top(ranked, order, limit).select("entity", "artist_name", *names[1:], "plays",
+                                            hours(F.col("ms")).alias("hours"))
 
 
 def taste_drift(plays: DataFrame, period_a_start: Day, period_a_end: Day, period_b_start: Day,
@@ -145,7 +147,8 @@ def taste_drift(plays: DataFrame, period_a_start: Day, period_a_end: Day, period
     per_artist = relevant.groupBy("artist_name").agg(
         F.count_if(in_a).alias("period_a_plays"), F.count_if(in_b).alias("period_b_plays")
     )
-    totals = relevant.agg(F.struct(F.count_if(in_a).alias("a"), F.count_if(in_b).alias("b"))).scalar()
+    # The totals sum the same per-artist counts, so their shuffle is reused, not repeated.
+    totals = per_artist.agg(F.struct(F.sum("period_a_plays").alias("a"), F.sum("period_b_plays").alias("b"))).scalar()
     return label_drift(per_artist, totals["a"], totals["b"], limit)
 
 

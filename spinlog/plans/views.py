@@ -20,20 +20,32 @@ def rate(flag: str) -> Column:
 
 
 def dim_track(plays: DataFrame) -> DataFrame:
-    # min() stands in for "any value": the same answer on every run.
-    return (
+    """Two levels, as min() of a text cannot be hash-aggregated.
+
+    The first level has the names among its keys and only numbers to fold, so
+    it hashes without sorting the plays; the second picks one name per track
+    from the few spellings left.  min() stands in for "any value": the same
+    answer on every run.
+    """
+    spelled = (
         named(plays, "track_uri")
-        .groupBy("track_uri")
+        .groupBy("track_uri", "track_name", "artist_name", "album_name")
         .agg(
-            F.min("track_name").alias("track_name"),
-            F.min("artist_name").alias("artist_name"),
-            F.min("album_name").alias("album_name"),
             F.min("ts_utc").alias("first_played"),
             F.max("ts_utc").alias("last_played"),
             F.count(F.lit(1)).alias("play_count"),
             F.sum("ms_played").alias("total_ms"),
         )
     )
+    return spelled.groupBy("track_uri").agg(
+        F.min("track_name").alias("track_name"),
+        F.min("artist_name").alias("artist_name"),
+        F.min("album_name").alias("album_name"),
+        F.min("first_played").alias("first_played"),
+        F.max("last_played").alias("last_played"),
+        F.sum("play_count").alias("play_count"),
+        F.sum("total_ms").alias("total_ms"),
+    )
 
 
 def dim_artist(plays: DataFrame) -> DataFrame:
@@ -92,19 +104,27 @@ def hourly(plays: DataFrame) -> DataFrame:
 
 
 def skip(plays: DataFrame) -> DataFrame:
-    """Per (artist, track); a NULL track is a group of its own."""
-    return (
+    """Per (artist, track); a NULL track is a group of its own.  Two levels, as in `dim_track`."""
+    spelled = (
         named(plays, "artist_name")
-        .groupBy("artist_name", "track_uri")
+        .groupBy("artist_name", "track_uri", "track_name")
         .agg(
-            F.min("track_name").alias("track_name"),
             F.count(F.lit(1)).alias("plays"),
             times("is_skip").alias("derived_skips"),
-            rate("is_skip").alias("derived_skip_rate"),
             times("skipped_raw").alias("raw_skipped_count"),
-            F.avg("ms_played").alias("avg_ms_played"),
+            F.sum("ms_played").alias("ms"),
+            F.count("ms_played").alias("timed"),
         )
     )
+    total = F.sum("plays")
+    return spelled.groupBy("artist_name", "track_uri").agg(
+        F.min("track_name").alias("track_name"),
+        total.alias("plays"),
+        F.sum("derived_skips").alias("derived_skips"),
+        (F.sum("derived_skips") / total).alias("derived_skip_rate"),
+        F.sum("raw_skipped_count").alias("raw_skipped_count"),
+        (F.sum("ms") / F.nullif(F.sum("timed"), F.lit(0))).alias("avg_ms_played"),
+    )
 
 
 VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
