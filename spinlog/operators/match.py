@@ -136,6 +136,7 @@ def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFram
 
 
 FIRST_TRIED = 16
+FEW_PAIRS = 200_000  # below this, one pass over all pairs is quicker than two
 
 
 def similar_enough(pairs: DataFrame) -> DataFrame:
@@ -157,6 +158,9 @@ def weak(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     open then get all their pairs tried.
     """
     pairs = materialize(weak_pairs(wanted, index, artist_key), "pairs")
+    columns = [*WANTED, F.lit(3).alias("stage"), F.lit(1).alias("tier"), "best"]
+    if pairs.count() <= FEW_PAIRS:
+        return materialize(similar_enough(pairs), "similar").select(*columns)
     place = F.row_number().over(Window.partitionBy(*WANTED).orderBy("best"))
     head = pairs.withColumn("place", place).where(F.col("place") <= FIRST_TRIED).drop("place")
     early = materialize(similar_enough(head), "early")
@@ -164,7 +168,7 @@ def weak(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     found = early
     if not open_pairs.isEmpty():
         found = early.unionByName(materialize(similar_enough(open_pairs), "late"))
-    return found.select(*WANTED, F.lit(3).alias("stage"), F.lit(1).alias("tier"), "best")
+    return found.select(*columns)
 
 
 def search(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spinlog.errors import CandidateError
 from spinlog.operators import cache as C
+from spinlog.operators import match
 from spinlog.operators import resolve as R
 from spinlog.operators.match import catalog_index
 from spinlog.plans.build_list import build_from_candidates
@@ -178,8 +179,9 @@ def test_bad_candidates(world, spark):
         R.resolve(world[2].limit(0), index=index)
 
 
-def test_a_hot_artist_and_copies(spark):
+def test_a_hot_artist_and_copies(spark, monkeypatch):
     """One artist with most tracks, one title with most copies, one request asked many times."""
+    monkeypatch.setattr(match, "FEW_PAIRS", 0)
     tracks = spark.range(900).selectExpr(
         "cast(id as string) as id", "if(id % 3 = 0, 'Same Title', concat('Title Number ', id)) as name",
         "concat('app:track:', id) as uri", "1L as duration_ms",
