@@ -34,18 +34,10 @@ def ordered_items(outcome: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
 
 
-def build_from_candidates(
-    name: str,
-    candidates: DataFrame,
-    catalog: DataFrame | None = None,
-    *,
-    description: str = "",
-    public: bool = False,
-    skip_unresolved: bool = True,
-    **options,
-) -> tuple[BuiltList, Resolution]:
-    """Always strict.  Refuses when something is unresolved and may not be skipped, or when nothing resolves."""
-    resolution = resolve(candidates, catalog, strict=True, **options)
+def build_list(
+    name: str, resolution: Resolution, *, description: str = "", public: bool = False, skip_unresolved: bool = True
+) -> BuiltList:
+    """Refuses when something is unresolved and may not be skipped, or when nothing resolved."""
     stats = resolution_stats(resolution.outcome).first().asDict()
     details = {"name": name, "description": description, "public": public}
     reason = None
@@ -57,4 +49,20 @@ def build_from_candidates(
     elif not stats["resolved"]:
         reason = "none of the candidates resolved"
     items = None if reason else ordered_items(resolution.outcome)
-    return BuiltList(reason is None, reason, details, items, resolution.outcome, stats), resolution
+    return BuiltList(reason is None, reason, details, items, resolution.outcome, stats)
+
+
+def build_from_candidates(
+    name: str,
+    candidates: DataFrame,
+    catalog: DataFrame | None = None,
+    *,
+    description: str = "",
+    public: bool = False,
+    skip_unresolved: bool = True,
+    **options,
+) -> tuple[BuiltList, Resolution]:
+    """Resolve, always strict, then build; the resolution is returned for its new cache rows."""
+    resolution = resolve(candidates, catalog, strict=True, **options)
+    built = build_list(name, resolution, description=description, public=public, skip_unresolved=skip_unresolved)
+    return built, resolution

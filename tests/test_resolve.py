@@ -12,7 +12,7 @@ from spinlog.operators import cache as C
 from spinlog.operators import match
 from spinlog.operators import resolve as R
 from spinlog.operators.match import catalog_index
-from spinlog.plans.build_list import build_from_candidates
+from spinlog.plans.build_list import build_from_candidates, build_list
 from spinlog.session import materialize
 
 NOW = dt.datetime(2024, 6, 1)
@@ -155,22 +155,30 @@ def test_not_strict_accepts_weak(world):
     assert (rows[15].track_id, rows[15].method) == ("c2", "cache")
 
 
-def test_stats_and_list(world, spark):
-    index, cache, asked, _ = world
-    built, _ = build_from_candidates("L", asked, index=index, cache=cache, as_of=NOW)
+def test_stats_and_list(strict):
+    result = strict[1]
+    built = build_list("L", result)
     assert built.created and built.stats["total"] == 17 and built.stats["resolved"] == 10
     assert built.stats["resolution_rate"] == 0.588 and built.stats["low_confidence"]
     items = built.items.orderBy("position").collect()
     assert [i.position for i in items] == list(range(10)) and {i.chunk for i in items} == {0}
     assert [i.uri for i in items[-2:]] == ["app:track:t01", "app:track:c1"]
-    refused, _ = build_from_candidates("L", asked, index=index, cache=cache, as_of=NOW, skip_unresolved=False)
+    refused = build_list("L", result, skip_unresolved=False)
     assert not refused.created and "7 of 17" in refused.reason and refused.items is None
-    none, _ = build_from_candidates("L", asked.where("input_idx = 12"), index=index, as_of=NOW)
-    assert not none.created and none.reason == "none of the candidates resolved"
+    nothing = R.Resolution(result.outcome.where("input_idx = 12"), result.new_cache)
+    assert build_list("L", nothing).reason == "none of the candidates resolved"
     empty = R.resolution_stats(built.outcome.limit(0)).first()
     assert tuple(empty) == (0, 0, 0, 1.0, False)
 
 
+def test_build_from_candidates(world, spark):
+    index, cache, asked, _ = world
+    built, resolution = build_from_candidates(
+        "L", asked.where("input_idx in (0, 12)"), index=index, as_of=NOW, description="d", public=True)
+    assert built.created and built.details == {"name": "L", "description": "d", "public": True}
+    assert resolution.new_cache.count() == 2
+
+
 def test_bad_candidates(world, spark):
     index = world[0]
     with pytest.raises(CandidateError, match="non-empty artist and title"):
