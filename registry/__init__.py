@@ -28,14 +28,7 @@ class Area:
 
 
 def _areas() -> list[Area]:
-    found = []
-    for name in AREAS:
-        try:
-            found.append(import_module(f"registry.{name}").AREA)
-        except ModuleNotFoundError as exc:
-            if exc.name != f"registry.{name}":
-                raise
-    return found
+    return [import_module(f"registry.{name}").AREA for name in AREAS]
 
 
 def all_queries() -> dict[str, Query]:
