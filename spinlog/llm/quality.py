@@ -1,10 +1,10 @@
 """Quality: supervised subword embeddings, averaged per document, with a softmax.
 
-Words and their character n-grams (those that cross no word border) are hashed to
-vectors.  A document is the mean of the vectors of all its occurrences; a softmax
+Words, pairs of neighbouring words and character n-grams (those that cross no word
+border) are hashed to vectors.  A document is the mean of the vectors of all its occurrences; a softmax
 over two classes follows.  Vectors and output weights are trained together by
-plain numpy stochastic gradient descent, on a bounded sample (`per_class` texts of each
-class).  The model is linear in the mean, so for scoring each vector is multiplied
+plain numpy stochastic gradient descent, on a bounded sample (at most `per_class[k]`
+texts of class k).  The model is linear in the mean, so for scoring each vector is multiplied
 by the difference of the two output rows once: scoring adds one number per
 occurrence.  An empty or null text has a mean of zero: the score of the bias.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from spinlog.llm.grams import MIX, STEP, gram_ids
 from spinlog.llm.sample import fold, labelled
 
-PER_CLASS = 1500
+PER_CLASS = (1500, 1500)
 SIZES = range(2, 5)
 BITS = 17
 DIM = 8
@@ -71,6 +71,8 @@ def occurrences(text: str | None, bits: int = BITS) -> np.ndarray:
     np.cumsum(data * up, out=total[1:], dtype=np.uint32)
     word = (total[stops] - total[starts]) * down[starts]  # the same wherever the word stands
     out.append(((word + (stops - starts).astype(np.uint32)) * MIX) >> np.uint32(32 - bits))
+    # Pairs of neighbours, by the difference of their hashes: one bucket serves all words said twice in a row.
+    out.append(((word[1:] - word[:-1] + np.uint32(7)) * MIX) >> np.uint32(32 - bits))
     return np.concatenate(out)
 
 
@@ -110,7 +112,7 @@ def fit(sample: DataFrame, bits: int = BITS, rounds: int = 8) -> QualityModel:
     return QualityModel(vectors, output, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_class: int = PER_CLASS) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_class: tuple[int, int] = PER_CLASS) -> QualityModel:
     sample, share = labelled(docs, labels, "quality", parts, held, per_class)
     model = fit(sample)
     if 0 < share < 1:  # fitted on equal classes, used where they are not

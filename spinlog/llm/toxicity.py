@@ -3,7 +3,7 @@
 A text's features are the distinct hashed byte n-grams of its lower-cased form,
 each with the value r = log of the smoothed ratio of its rates in toxic and other
 training texts.  Logistic weights for these values are fitted by numpy gradient
-descent.  Fitted on a bounded sample (`per_class` texts of each class); everything
+descent.  Fitted on a bounded sample (at most `per_class[k]` texts of class k); everything
 scored is scored whole.  An empty or null text has the score of the bias alone.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from spinlog.llm.grams import Distinct, gram_ids, padded
 from spinlog.llm.sample import fold, labelled
 
-PER_CLASS = 2000
+PER_CLASS = (5000, 2000)
 SIZES = range(4, 6)
 BITS = 18
 
@@ -78,9 +78,9 @@ def fit(sample: DataFrame, share: float, bits: int = BITS, rounds: int = 12) ->
     for ids, label in zip(sets, labels, strict=True):
         counts[int(label)][ids] += 1
     ratio = np.log(counts[1] / (labels.sum() + 2)) - np.log(counts[0] / (len(labels) - labels.sum() + 2))
-    # A ratio within what chance alone gives says nothing: shrink it by its standard error.
+    # A ratio within what chance alone gives says nothing: shrink it by three standard errors.
     error = np.sqrt(1 / counts[0] + 1 / counts[1])
-    ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - 2 * error)
+    ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - 3 * error)
     weights, bias, square, bias_square = np.ones(1 << bits), 0.0, np.full(1 << bits, 1e-2), 1e-2
     rng = np.random.default_rng(0)
     for _ in range(rounds):
@@ -102,7 +102,7 @@ def fit(sample: DataFrame, share: float, bits: int = BITS, rounds: int = 12) ->
     return ToxicityModel((weights * ratio).astype(np.float32), float(bias), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, per_class: int = PER_CLASS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, per_class: tuple[int, int] = PER_CLASS) -> ToxicityModel:
     sample, share = labelled(docs, labels, "toxic", parts, held, per_class)
     return fit(sample, share)
 
