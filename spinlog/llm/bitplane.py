@@ -22,7 +22,8 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +33,31 @@ from spinlog.llm.common import scratch
 
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 16 << 20
-KNOWN_WORDS = 1 << 18
+KNOWN_CHUNKS = 500_000
+TEXTS_AT_ONCE = 1500
 
 DOC_PART = "struct<seq:long,doc_id:long,local:long,n_tokens:long,part:int,parts_end:boolean,ids:int>"
 SCHEMA = ("kind string, shard int, block int, n_ids int, width int, planes array<binary>, "
           f"docs array<{DOC_PART}>, seq long, doc_id long, local long, n_tokens long")
 
-# The pre-tokenizer of byte-level BPE never joins text across these borders, so
-# a chunk's ids do not depend on its surroundings.  White space is Unicode's.
+PART = pa.struct([("seq", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()),
+                  ("part", pa.int32()), ("parts_end", pa.bool_()), ("ids", pa.int32())])
+ARROW = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int32()),
+                   ("width", pa.int32()), ("planes", pa.list_(pa.binary())), ("docs", pa.list_(PART)),
+                   ("seq", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64())])
+
+READ = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()),
+                  ("n_tokens", pa.int64()), ("part", pa.int32()), ("crc", pa.int64()), ("ids", pa.binary())])
+
+# White space as Unicode has it.  The pre-tokenizer of byte-level BPE never joins
+# text across the borders of these chunks, so a chunk's ids do not depend on its
+# surroundings.  The same holds for a text cut before each space, unless white
+# space stands on both sides of that space (or before it at the end).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+BLANK = re.compile(f"[{SPACE}]")
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if BLANK.match(c))
+UNSAFE = f"[{BLANKS}] (?:[{BLANKS}]|$)"
 
 
 @lru_cache(maxsize=2)
@@ -53,18 +69,72 @@ def _tokenizer(path: str):
     return tokenizer, {}
 
 
-def encode(texts: list[str], tokenizer_path: str) -> list[np.ndarray]:
-    """Ids of each text; every distinct chunk is encoded once per batch at most."""
+def encode(texts: pa.Array, tokenizer_path: str) -> list[np.ndarray]:
+    """Ids of each text (no nulls).  Distinct words are found by Arrow; each is encoded once as long as it is remembered."""
     tokenizer, known = _tokenizer(tokenizer_path)
-    chunked = [CHUNK.findall(t) for t in texts]
-    if len(known) > KNOWN_WORDS:
+    if len(known) > KNOWN_CHUNKS:
         known.clear()
-    new = list({c for chunks in chunked for c in chunks if c not in known})
-    for begin in range(0, len(new), 20_000):
-        part = new[begin:begin + 20_000]
-        for chunk, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, np.uint32).tobytes()
-    return [np.frombuffer(b"".join([known[c] for c in chunks]), np.uint32) for chunks in chunked]
+    unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+    out: list = [None] * len(texts)
+    if unsafe.any():
+        rows = np.flatnonzero(unsafe).tolist()
+        for i, found in zip(rows, tokenizer.encode_batch_fast(texts.filter(pa.array(unsafe)).to_pylist(),
+                                                              add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u4")
+    pieces = pc.split_pattern(texts.filter(pa.array(~unsafe)), " ")
+    borders = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+    if len(borders) < 2:
+        return out
+    words = pieces.flatten().dictionary_encode()
+    codes = words.indices.to_numpy().astype(np.int64)
+    names = words.dictionary.to_pylist()
+    # The first piece of a text has no space before it.
+    firsts, at = np.unique(codes[borders[:-1]], return_inverse=True)
+    codes[borders[:-1]] = len(names) + at
+    keys = [" " + w for w in names] + [names[k] for k in firsts.tolist()]
+    found = list(map(known.get, keys))
+    if None in found:
+        learn([k for k, i in zip(keys, found, strict=True) if i is None], tokenizer, known)
+        found = [i if i is not None else known[k] for k, i in zip(keys, found, strict=True)]
+    table = np.frombuffer(b"".join(found), "<u4")
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    begins = np.cumsum(lengths) - lengths
+    sizes = lengths[codes]
+    stops = np.cumsum(sizes)
+    ids = table[np.repeat(begins[codes] - (stops - sizes), sizes) + np.arange(stops[-1])]
+    ends = stops[borders[1:] - 1].tolist()
+    for i, begin, end in zip(np.flatnonzero(~unsafe).tolist(), [0, *ends[:-1]], ends, strict=True):
+        out[i] = ids[begin:end]
+    return out
+
+
+def is_word(chunk: str) -> bool:
+    return chunk not in ("", " ") and not BLANK.search(chunk, chunk[0] == " ")
+
+
+def learn(chunks: list[str], tokenizer, known: dict[str, bytes]) -> None:
+    """Adds the ids of `chunks` to `known`.
+
+    Words go to the tokenizer as one text with line ends between them: a line end
+    next to other characters is always a token of its own, so the ids can be cut
+    there.  Chunks with white space inside are put together from their parts.
+    """
+    known[""] = b""
+    mixed, words = [], []
+    for c in chunks:
+        (words if is_word(c) else mixed).append(c)
+    parts = [CHUNK.findall(c) for c in mixed]
+    own = {p for ps in parts for p in ps if p not in known}
+    words += [p for p in own.difference(words) if is_word(p)]
+    if words:
+        ids = np.array(tokenizer.encode_batch_fast(["\n".join([*words, ""])], add_special_tokens=False)[0].ids, "<u4")
+        cut = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        raw, stops = ids.tobytes(), (4 * np.flatnonzero(ids == cut)).tolist()
+        known.update(zip(words, map(raw.__getitem__, map(slice, [0, *(s + 4 for s in stops[:-1])], stops)), strict=True))
+    for p in own:
+        if p not in known:
+            known[p] = np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+    known.update((c, b"".join([known[p] for p in ps])) for c, ps in zip(mixed, parts, strict=True))
 
 
 def pack(ids: np.ndarray, unit: str, level: int = 3) -> list[bytes]:
@@ -100,57 +170,49 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, bloc
         shard = TaskContext.get().partitionId()
         seq = local = block = 0
         waiting: list[np.ndarray] = []
-        parts: list[tuple] = []
+        parts: list[dict] = []
         held = 0
 
         def block_row():
             nonlocal block, waiting, parts, held
             ids = np.concatenate(waiting)
-            row = ("block", shard, block, len(ids), 0, pack(ids, unit), parts, None, None, None, None)
-            row = row[:4] + (len(row[5]),) + row[5:]
+            planes = pack(ids, unit)
+            row = {"kind": "block", "shard": shard, "block": block, "n_ids": len(ids), "width": len(planes),
+                   "planes": planes, "docs": parts}
             block, waiting, parts, held = block + 1, [], [], 0
             return row
 
-        for frame in batches:
+        for batch in batches:
+            ids_of = (ids for k in range(0, batch.num_rows, TEXTS_AT_ONCE)
+                      for ids in encode(batch.column("text").slice(k, TEXTS_AT_ONCE), tokenizer_path))
             rows = []
-            ids_of = encode(list(frame["text"]), tokenizer_path)
-            for doc_id, ids in zip(frame["doc_id"].astype(object).where(frame["doc_id"].notna(), None), ids_of, strict=True):
-                doc_id = None if doc_id is None else int(doc_id)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 at = part = 0
                 while at < len(ids):
                     take = min(len(ids) - at, block_ids - held)
                     waiting.append(ids[at:at + take])
                     at, held = at + take, held + take
-                    parts.append((seq, doc_id, local, len(ids), part, at == len(ids), take))
+                    parts.append({"seq": seq, "doc_id": doc_id, "local": local, "n_tokens": len(ids), "part": part,
+                                  "parts_end": at == len(ids), "ids": take})
                     part += 1
                     if held == block_ids:
                         rows.append(block_row())
-                rows.append(("doc", shard, None, None, None, None, None, seq, doc_id, local, len(ids)))
+                rows.append({"kind": "doc", "shard": shard, "seq": seq, "doc_id": doc_id, "local": local, "n_tokens": len(ids)})
                 seq, local = seq + 1, local + len(ids)
-            yield _frame(rows)
+            yield pa.RecordBatch.from_pylist(rows, ARROW)
         if held:
-            yield _frame([block_row()])
+            yield pa.RecordBatch.from_pylist([block_row()], ARROW)
 
     (docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "text")
-     .mapInPandas(blocks_of, SCHEMA).write.option("compression", "none").partitionBy("kind").parquet(path))
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = ["kind", "shard", "block", "n_ids", "width", "planes", "docs", "seq", "doc_id", "local", "n_tokens"]
-    frame = pd.DataFrame(rows, columns=names, dtype=object)
-    fields = ["seq", "doc_id", "local", "n_tokens", "part", "parts_end", "ids"]
-    frame["docs"] = [None if d is None else [dict(zip(fields, x, strict=True)) for x in d] for d in frame["docs"]]
-    for name in ("shard", "block", "n_ids", "width", "seq", "doc_id", "local", "n_tokens"):
-        frame[name] = frame[name].astype("Int64")
-    return frame
+     .mapInArrow(blocks_of, SCHEMA).write.option("compression", "none").partitionBy("kind").parquet(path))
 
 
 def read(spark: SparkSession, path: str, unit: str = "byte") -> DataFrame:
     """Documents of a token folder: shard, seq, doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), ids_crc32.
 
     Each block is unpacked where it is read; only documents that cross a block
-    border are put together by a shuffle.  `ids` is null for those read whole
+    border carry their ids through the shuffle.  `ids` is null for those read whole
     from one block: use `read_ids` for the ids themselves.
     """
     return _assemble(spark, path, unit, keep_ids=False).drop("ids")
@@ -165,29 +227,25 @@ def _assemble(spark: SparkSession, path: str, unit: str, keep_ids: bool) -> Data
     blocks = folder.filter("kind = 'block'").select("shard", "n_ids", "planes", "docs")
 
     def parts_of(batches):
-        for frame in batches:
-            for shard, n_ids, planes, docs in frame.itertuples(index=False):
-                raw = unpack(list(planes), n_ids, unit).astype("<u4").tobytes()
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw = memoryview(unpack(row["planes"], row["n_ids"], unit).astype("<u4").tobytes())
                 at, out = 0, []
-                for d in docs:
+                for d in row["docs"]:
                     piece = raw[4 * at:4 * (at + d["ids"])]
                     at += d["ids"]
                     whole = d["part"] == 0 and d["parts_end"]
-                    out.append((shard, d["seq"], d["doc_id"], d["local"], d["n_tokens"], d["part"], whole,
-                                zlib.crc32(piece) if whole else None, piece if keep_ids or not whole else None))
-                frame_out = pd.DataFrame(out, columns=["shard", "seq", "doc_id", "local", "n_tokens", "part", "whole", "crc", "ids"])
-                frame_out["crc"] = frame_out["crc"].astype("Int64")
-                frame_out["doc_id"] = frame_out["doc_id"].astype("Int64")
-                yield frame_out
-
-    parts = blocks.mapInPandas(parts_of, "shard int, seq long, doc_id long, local long, n_tokens long, part int, "
-                                         "whole boolean, crc long, ids binary")
-    crossing = (parts.filter("not whole").groupBy("shard", "seq")
-                .agg(F.first("doc_id").alias("doc_id"), F.first("local").alias("local"), F.first("n_tokens").alias("n_tokens"),
-                     F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("pieces"))
-                .withColumn("ids", F.expr("aggregate(pieces, cast('' as binary), (a, p) -> concat(a, p.ids))")))
-    docs = (parts.filter("whole").select("shard", "seq", "doc_id", "local", "n_tokens", "crc", "ids")
-            .unionByName(crossing.select("shard", "seq", "doc_id", "local", "n_tokens", F.crc32("ids").alias("crc"), "ids")))
+                    out.append((row["shard"], d["seq"], d["doc_id"], d["local"], d["n_tokens"], d["part"],
+                                zlib.crc32(piece) if whole else None, bytes(piece) if keep_ids or not whole else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), READ.types, strict=True)], schema=READ)
+
+    parts = blocks.mapInArrow(parts_of, "shard int, seq long, doc_id long, local long, n_tokens long, part int, crc long, ids binary")
+    pieces = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("part", "ids"))))
+    docs = (parts.groupBy("shard", "seq")
+            .agg(F.first("doc_id").alias("doc_id"), F.first("local").alias("local"), F.first("n_tokens").alias("n_tokens"),
+                 F.max("crc").alias("crc"), pieces.alias("pieces"))
+            .withColumn("ids", F.expr("aggregate(pieces, cast('' as binary), (a, p) -> concat(a, p.ids))"))
+            .withColumn("crc", F.coalesce("crc", F.crc32("ids"))))
     return (docs.join(shard_bases(folder), "shard")
             .select("shard", "seq", "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens",
                     F.col("crc").alias("ids_crc32"), "ids"))
