@@ -148,11 +148,14 @@ class Scanner:
         out, begin = [], 0
         dense = np.searchsorted(at, at + span) - np.arange(len(at)) >= need
         for k in np.flatnonzero(dense).tolist():
-            first = int(at[k])
-            if first < begin:
+            if at[k] < begin:
                 continue
+            first = int(at[k])
             pairs = align(words[first:first + span], template)
-            if len(pairs) >= need:
+            if len(pairs) >= need:  # words that merely resemble a beginning may come first: the best start nearby counts
+                last = int(np.searchsorted(at, first + span))
+                tried = [(int(at[j]), align(words[int(at[j]):int(at[j]) + span], template)) for j in range(k, last) if dense[j]]
+                first, pairs = max(tried, key=lambda t: (len(t[1]), -t[0]))
                 stop = first + pairs[-1][0] + 1
                 out.append((name, len(pairs) / len(template), len(pairs), first + pairs[0][0], stop))
                 begin = stop

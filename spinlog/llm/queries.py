@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinlog.llm import bitplane, license, pii, quality, sentencepiece_sa, topk, toxicity
+from spinlog.llm import bitplane, license, pii, quality, sentencepiece_sa, simhash, topk, toxicity
 from spinlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sentencepiece_sa.encode_documents(table(spark, sf_dir, "documents"), PIECE_BPE)
             .select("doc_id", "n_pieces", "ids_crc32", "n_decoded", "same"))
@@ -64,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bitplane": op1_bitplane,
+    "op4_simhash": op4_simhash,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
