@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinlog.llm import bitplane, license, pii, quality, sentencepiece_sa, simhash, topk, toxicity
+from spinlog.llm import bitplane, decontaminate, license, pii, quality, sentencepiece_sa, simhash, topk, toxicity
 from spinlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bitplane": op1_bitplane,
+    "op2_decontaminate": op2_decontaminate,
     "op4_simhash": op4_simhash,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pii": op6_pii,
@@ -76,4 +81,4 @@ QUERIES: dict[str, Query] = {
     "op9_license": op9_license,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {"op8_topk": OP8_SQL}
+ORACLE: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op8_topk": OP8_SQL}
