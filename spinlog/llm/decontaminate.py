@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spinlog.llm.common import save
+
 SIZE = 8
 LITERAL = 4
 LEAST = 0.25
@@ -42,7 +44,9 @@ def canonical(token: Column, place: Column) -> Column:
     first = F.substring(token, 1, 1)
     bare = F.lower(F.ltrim(token, F.lit(LEADING)))
     capital = code.between(65, 90) | ((code > 127) & (first != F.lower(first)))
-    return (F.when(code.between(48, 57), F.lit("<num>"))
+    small = code.between(97, 122)  # most tokens: neither a mark to take off nor a capital
+    return (F.when(small & token.isin(UNITS), F.lit("<unit>")).when(small, F.lower(token))
+            .when(code.between(48, 57), F.lit("<num>"))
             .when(capital & (place > 0), F.lit("<name>"))
             .when(bare.isin(UNITS), F.lit("<unit>")).otherwise(bare))
 
@@ -74,7 +78,8 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, literal: int =
              .select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("offset"), "item_place",
                      F.filter(F.arrays_zip(F.col("slots").alias("slot"), F.col("item_raw").alias("item"), F.col("raw").alias("doc")),
                               lambda x: x["slot"]).alias("filled")))
-    # Few rows are left: windows that documents share with the benchmark.
+    # Few rows are left, windows that documents share with the benchmark; they are used twice.
+    found = save(found, "shared")
     trim = lambda c: F.ltrim(c, F.lit(LEADING))
     filled = (found.select("doc_id", "item_id", "offset", F.inline("filled").alias("slot", "item", "doc"))
               .groupBy("doc_id", "item_id", "offset", trim(F.col("item")).alias("item"))
@@ -101,7 +106,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _sql_canonical(token: str, place: str) -> str:
     bare = f"lower(ltrim({token}, E' \\t\\r\\n.!?:'))"
     units = ", ".join(f"'{u}'" for u in UNITS)
-    return (f"CASE WHEN unicode({token}) BETWEEN 48 AND 57 THEN '<num>' "
+    return (f"CASE WHEN unicode({token}) BETWEEN 97 AND 122 THEN CASE WHEN {token} IN ({units}) THEN '<unit>' ELSE lower({token}) END "
+            f"WHEN unicode({token}) BETWEEN 48 AND 57 THEN '<num>' "
             f"WHEN {place} > 0 AND (unicode({token}) BETWEEN 65 AND 90 OR (unicode({token}) > 127 "
             f"AND substr({token}, 1, 1) <> lower(substr({token}, 1, 1)))) THEN '<name>' "
             f"WHEN {bare} IN ({units}) THEN '<unit>' ELSE {bare} END")
