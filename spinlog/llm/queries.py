@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinlog.llm import bitplane, decontaminate, license, pii, quality, sentencepiece_sa, simhash, topk, toxicity
+from spinlog.llm import bitplane, decontaminate, license, pii, quality, repeats, sentencepiece_sa, simhash, topk, toxicity
 from spinlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bitplane": op1_bitplane,
     "op2_decontaminate": op2_decontaminate,
+    "op3_repeats": op3_repeats,
     "op4_simhash": op4_simhash,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pii": op6_pii,
