@@ -2,21 +2,21 @@
 
 1. Every 200-byte window has an anchor: the leftmost of its 32-byte grams with the least hash.
    Windows with one anchor at similar offsets form a block, and all windows of a
-   block contain one core of 137 bytes.  Equal windows have equal cores, so only
+   block contain one core of 116 bytes.  Equal windows have equal cores, so only
    blocks whose core occurs elsewhere go on.  Nothing is lost: this deals the
    suffixes to partitions by content, as a sample sort would by order.
 2. The contexts of such blocks (their windows' bytes) are folded: a context that
    occurs twice has all its windows repeated, and goes on once.
-3. Contexts of one core meet in one task.  All their suffixes are sorted by the
+3. Contexts of one core meet in one task, where each is cut to what it has in common
+   with its nearest neighbours on both sides of the core.  All suffixes left are sorted by the
    difference-cover algorithm: triples at positions 1 and 2 modulo 3 are sorted
    and named, names are sorted by recursion, the remaining suffixes are sorted by one
    symbol and the name behind it and merged in.  Neighbours in that order with equal 200-byte
    prefixes are repeats.
 4. What is repeated returns to its documents, and is cut out there.
 
-A null text counts as empty.  Texts below 200 bytes lose nothing.  Rows that repeat a document are copies of
-it.  Hot cores are rare by construction: equal contexts are one row, and contexts that
-share 137 bytes but no 200-byte window differ close to the core on both sides.
+A null text counts as empty.  Texts below 200 bytes lose nothing.  Copies of a text go on as one, with their number.  Hot cores are rare by construction: equal contexts are one row, and contexts that
+share 116 bytes but no 200-byte window differ close to the core on both sides.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from spinlog.llm.common import save
 
 LENGTH = 200
 GRAM = 32
-BLOCK = 64
+BLOCK = 85
 CORE = LENGTH - BLOCK + 1
 BATCH_BYTES = 4 << 20
 SORT_BYTES = 1 << 20
@@ -43,8 +44,8 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def blocks(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, start, windows, core hash) of all blocks; `begins` are the places where documents begin, and the end."""
-    none = (np.zeros(0, np.int64),) * 4
+    """(document, start, windows, lead, core hash) of all blocks, `lead` being the bytes before the core; `begins` are the places where documents begin, and the end."""
+    none = (np.zeros(0, np.int64),) * 5
     n = len(data)
     if n < LENGTH:
         return none
@@ -70,7 +71,7 @@ def blocks(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up, dtype=np.uint64)])
     hashes = (total[core + CORE] - total[core]) * down[core]
     hashes ^= hashes >> np.uint64(31)
-    return doc[new], starts[new], np.diff(np.append(new, len(starts))), (hashes * _MIX).view(np.int64)
+    return doc[new], starts[new], np.diff(np.append(new, len(starts))), core - starts[new], (hashes * _MIX).view(np.int64)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -161,30 +162,44 @@ def repeated(contexts: list[bytes]) -> list[np.ndarray]:
 
 def _block_rows(batches):
     for batch in batches:
-        ids, keys, body = batch.column("doc_id"), batch.column("key"), batch.column("body")
+        known = [batch.column(c) for c in ("doc_id", "k1", "k2")]
+        body = batch.column("body")
         size, at = np.array([len(b) for b in body.to_pylist()], np.int64), 0
         while at < len(size):
             stop = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), BATCH_BYTES, "right")) + at)
             data = np.frombuffer(b"".join(body.slice(at, stop - at).to_pylist()), np.uint8)
             begins = np.concatenate([[0], np.cumsum(size[at:stop])])
-            doc, start, n, core = blocks(data, begins)
+            doc, start, n, lead, core = blocks(data, begins)
             rows = pa.array(doc + at)
-            yield pa.RecordBatch.from_arrays([pa.array(core), ids.take(rows), keys.take(rows), pa.array(start - begins[doc]),
-                                              pa.array(n.astype(np.int32))], names=["core", "doc_id", "key", "start", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(core), *(c.take(rows) for c in known), pa.array((start - begins[doc]).astype(np.int32)),
+                 pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32))],
+                names=["core", "doc_id", "k1", "k2", "start", "n", "lead"])
             at = stop
 
 
-def _context_rows(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            body, found = row["body"], row["found"]
-            yield pa.RecordBatch.from_pydict({
-                "core": [f["core"] for f in found], "doc_id": [row["doc_id"]] * len(found), "key": [row["key"]] * len(found),
-                "start": [f["start"] for f in found], "context": [body[f["start"]:f["start"] + f["n"] - 1 + LENGTH] for f in found],
-            }, schema=CONTEXT)
-
-
-CONTEXT = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("context", pa.binary())])
+def _contexts(with_bytes: bool):
+    def rows(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                body, found = part.column("body")[0].as_py(), part.column("found").flatten()
+                core, start, n, lead = found.flatten()
+                begins, ends = start.to_numpy(), start.to_numpy() + n.to_numpy() + (LENGTH - 1)
+                contexts = [body[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+                digest = np.array([xxhash.xxh64_intdigest(c) for c in contexts], np.uint64).view(np.int64)
+                one = np.zeros(len(contexts), np.int64)
+                columns = [core, pa.array(digest)]
+                if with_bytes:
+                    columns += [lead, pa.array(contexts, pa.binary()), pa.array(one + part.column("docs")[0].as_py())]
+                else:
+                    columns += [*(pa.array(one + part.column(k)[0].as_py(), t) for k, t in (("k1", pa.int64()), ("k2", pa.int32()))), start]
+                yield pa.RecordBatch.from_arrays(columns, names=CONTEXT[with_bytes])
+
+    return rows
+
+
+CONTEXT = {True: ["core", "digest", "lead", "context", "docs"], False: ["core", "digest", "k1", "k2", "start"]}
 RUNS = pa.schema([("core", pa.int64()), ("digest", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
 
@@ -193,42 +208,70 @@ def _runs(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
 
 
+def trimmed(group: list) -> list:
+    """(member, bytes left out before, bytes) of members whose windows may be shared.
+
+    Of each side only what a member shares with its nearest neighbours there can be part of a repeated window.
+    """
+    reach = []
+    for sides in ([g[3][:g[2]][::-1] for g in group], [g[3][g[2] + CORE:] for g in group]):
+        order = sorted(range(len(group)), key=sides.__getitem__)
+        longest = [0] * len(group)
+        for i, j in zip(order, order[1:], strict=False):
+            common = _common(sides[i], sides[j])
+            longest[i], longest[j] = max(longest[i], common), max(longest[j], common)
+        reach.append(longest)
+    out = []
+    for g, left, right in zip(group, *reach, strict=True):
+        if left + CORE + right >= LENGTH:
+            out.append((g, g[2] - left, g[3][g[2] - left:g[2] + CORE + right]))
+    return out
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo = 0
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    return lo
+
+
 def _sorted_groups(batches):
     """Streams contexts ordered by core; sorts the suffixes of whole cores, about SORT_BYTES at a time."""
     group: list = []
     ready: list = []
 
     def close() -> None:
-        # A core with one context is decided by its count; so is one whose contexts all occur twice.
+        # A context that occurs twice is decided by its count; it still serves the others.
         nonlocal group
-        if group and any(g[3] < 2 for g in group) and len(group) > 1:
-            ready.append(group)
-        elif group:
-            decided.extend((g, g[3] > 1) for g in group)
+        decided.extend(g for g in group if g[4] > 1)
+        if len(group) > 1 and any(g[4] < 2 for g in group):
+            ready.extend(trimmed(group))
         group = []
 
     def emit():
-        rows = [(g[0], g[1], [0, len(g[2]) - LENGTH + 1] if twice else []) for g, twice in decided]
-        decided.clear()
+        rows = [(g[0], g[1], [0, len(g[3]) - LENGTH + 1]) for g in decided]
         if ready:
-            members = [g for gr in ready for g in gr]
-            for g, hit in zip(members, repeated([g[2] for g in members]), strict=True):
-                rows.append((g[0], g[1], [0, len(hit)] if g[3] > 1 else _runs(hit)))
-            ready.clear()
-        rows = [r for r in rows if r[2]]
+            for (g, skipped, _), hit in zip(ready, repeated([c for _, _, c in ready]), strict=True):
+                if g[4] < 2 and hit.any():
+                    rows.append((g[0], g[1], [r + skipped for r in _runs(hit)]))
+        decided.clear()
+        ready.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], RUNS.types[k]) for k in range(3)], schema=RUNS)
 
     decided: list = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("core", "digest", "context", "times")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("core", "digest", "lead", "context", "docs")), strict=True):
             if group and group[-1][0] != row[0]:
                 close()
                 if size > SORT_BYTES:
                     yield emit()
                     size = 0
             group.append(row)
-            size += len(row[2])
+            size += len(row[3])
     close()
     yield emit()
 
@@ -245,42 +288,41 @@ def _cut(batches):
                 np.add.at(delta, edges[:, 1] - 1 + LENGTH, -1)
             gone = np.cumsum(delta[:-1]) > 0
             kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
-            rows.append((row["doc_id"], row["key"], int(gone.sum()), len(_runs(gone)) // 2, hashlib.sha256(kept).hexdigest()))
+            rows.append((row["k1"], row["k2"], int(gone.sum()), len(_runs(gone)) // 2, hashlib.sha256(kept).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(CUT.types)], schema=CUT)
 
 
-CUT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+CUT = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of `docs`.
 
-    A row is known by its id and a hash of its text; rows alike in both are alike in the result.
+    A text is known by two hashes of its bytes; the document of the smallest id stands for its copies.
     """
     body = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long"), body.alias("body")).withColumn("key", F.xxhash64("body"))
-    row_key = [F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), "key"]
-    keyed = rows.select(*row_key, "body")
-    found = save(keyed.mapInArrow(_block_rows, "core long, doc_id long, key long, start long, n int"), "blocks")
+    rows = (docs.select(F.col("doc_id").cast("long"), body.alias("body"))
+            .withColumns({"k1": F.xxhash64("body"), "k2": F.hash("body")}))
+    keyed = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1 << 63)))
+    found = save(keyed.mapInArrow(_block_rows, "core long, doc_id long, k1 long, k2 int, start int, n int, lead int"), "blocks")
     again = found.groupBy("core").agg(F.count("*").alias("times")).filter("times > 1").select("core")
-    wanted = (found.join(again, "core").groupBy("doc_id", "key")
-              .agg(F.collect_set(F.struct("core", "start", "n")).alias("found")))
-    # Only documents that share a core go on, with their bytes.
-    shared = save(keyed.dropDuplicates(["doc_id", "key"]).join(wanted, ["doc_id", "key"]), "sharing")
-    copies = keyed.select("doc_id", "key").groupBy("doc_id", "key").agg(F.count("*").alias("rows"))
-    contexts = save(shared.mapInArrow(_context_rows, "core long, doc_id long, key long, start long, context binary")
-                    .withColumn("digest", F.xxhash64("context")), "contexts")
-    weights = copies.filter("rows > 1")
-    times = F.sum(F.coalesce("rows", F.lit(1))).alias("times")
-    folded = contexts.join(weights, ["doc_id", "key"], "left").groupBy("core", "context", "digest").agg(times)
+    # The first block of a text starts at 0: their number is that of the copies.
+    wanted = (found.join(again, "core").groupBy("k1", "k2")
+              .agg(F.min("doc_id").alias("doc_id"), F.greatest(F.lit(1), F.sum((F.col("start") == 0).cast("int"))).alias("docs"),
+                   F.collect_set(F.struct("core", "start", "n", "lead")).alias("found")))
+    # Only texts that share a core go on, with their bytes.
+    shared = save(keyed.join(wanted, ["doc_id", "k1", "k2"]), "sharing")
+    folded = (shared.select("body", "found", "docs")
+              .mapInArrow(_contexts(True), "core long, digest long, lead int, context binary, docs long")
+              .groupBy("core", "digest").agg(F.first("lead").alias("lead"), F.first("context").alias("context"), F.sum("docs").alias("docs")))
     runs = save(folded.repartition("core").sortWithinPartitions("core")
                 .mapInArrow(_sorted_groups, "core long, digest long, runs array<int>"), "runs")
-    pieces = (contexts.select("core", "digest", "doc_id", "key", "start").join(runs, ["core", "digest"])
-              .groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "runs")).alias("pieces")))
-    cut = (shared.select("doc_id", "key", "body").join(pieces, ["doc_id", "key"])
-           .mapInArrow(_cut, "doc_id long, key long, n_removed long, n_spans long, kept_sha256 string"))
-    whole = rows.select("doc_id", *[row_key[0].alias("known")], "key", F.length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha"))
-    cut = cut.withColumnRenamed("doc_id", "known")
-    return whole.join(cut, ["known", "key"], "left").select(
+    places = shared.select("body", "found", "k1", "k2").mapInArrow(_contexts(False), "core long, digest long, k1 long, k2 int, start int")
+    pieces = (places.join(runs, ["core", "digest"]).groupBy("k1", "k2")
+              .agg(F.collect_list(F.struct("start", "runs")).alias("pieces")))
+    cut = (shared.select("k1", "k2", "body").join(pieces, ["k1", "k2"])
+           .mapInArrow(_cut, "k1 long, k2 int, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["k1", "k2"]))
+    whole = rows.select("doc_id", "k1", "k2", F.length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha"))
+    return whole.join(cut, ["k1", "k2"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
