@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from spinlog.llm.grams import Distinct, gram_ids, padded
 from spinlog.llm.sample import fold, labelled
 
-PER_CLASS = (5000, 2000)
+PER_CLASS = (3500, 1500)
 SIZES = range(4, 6)
 BITS = 18
 
