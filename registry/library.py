@@ -87,7 +87,7 @@ AREA.add("lib_catalog_search",
          lambda s, d: B.catalog_search(tables(s, d), track="Ring", artist="brand#2", year="1965-1990", limit=50, offset=3),
          CATALOG_CTE + """
 select 'track' as type, track_id as id, name, uri from cat where lower(name) like '%ring%' and lower(artist_name) like '%brand#2%'
-  and year between '1965' and '1990' order by name, id limit 10 offset 3""")
+  and year between '1965' and '1990' order by name, id limit 50 offset 3""")
 AREA.add("lib_catalog_search_types",
          lambda s, d: B.catalog_search(tables(s, d), free_text="1", types=["track", "artist", "playlist"], limit=10),
          CATALOG_CTE + """
@@ -150,7 +150,7 @@ AREA.add("lib_by_id", lambda s, d: B.by_id(catalog_tracks(s, d), "42").select("i
 AREA.add("slice_offset",
          lambda s, d: page(table(s, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()],
                            400, 120),
-         "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50 offset 120")
+         "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 400 offset 120")
 AREA.add("lib_shape_profile",
          lambda s, d: G.shape_profile(
              table(s, d, "events").select(

@@ -267,7 +267,7 @@ add("q_taste_drift", lambda p: Q.taste_drift(p, *DRIFT, limit=20), DRIFT_SQL.for
 add("join_period_outer", lambda p: Q.taste_drift_outer(p, *DRIFT, limit=100), DRIFT_SQL.format(n=100))
 add("win_top_per_label", lambda p: Q.taste_drift(p, *DRIFT, limit=3000), DRIFT_SQL.format(n=3000))
 add("set_union_keys",
-    lambda p: Q.taste_drift_outer(p, *DRIFT, limit=1 << 30).select("artist_name"),
+    lambda p: Q.period_artists(p, *DRIFT),
     DRIFT_SQL.format(n=1 << 30).replace("select * from r", "select artist_name from r"))
 
 add("q_dropped_artists", lambda p: Q.dropped_artists(p, 6, 10, 20),

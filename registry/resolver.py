@@ -63,9 +63,9 @@ with cat as (
   select *, lower(name) as title_norm, lower(p_name) as stripped_norm,
     case p_partkey_mod when 3 then 'karaoke' when 4 then '(live)' end as marker from (select *, k % 6 as p_partkey_mod from cat)
 ), cand as (
-  select upper(p_brand) as artist, p_name as title, min(p_partkey) as input_idx, lower(p_brand) as artist_norm,
-    lower(p_name) as title_norm, 'ar' || p_brand as verified_id
-  from part where p_partkey % 3 <> 2 group by p_brand, p_name
+  select upper(p_brand) as artist, title, min(p_partkey) as input_idx, lower(p_brand) as artist_norm,
+    lower(title) as title_norm, 'ar' || p_brand as verified_id
+  from (select *, case when p_partkey % 3 = 2 then 'Unheard ' || p_partkey else p_name end as title from part) group by p_brand, title
 )
 """
 
@@ -254,7 +254,7 @@ AREA.add("res_strict_gate", lambda s, d: weak_outcome(s, d, True).groupBy("statu
 
 def cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of some artists' parts, one row in three negative, 0 to 39 days old."""
-    part = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    part = table(spark, sf_dir, "part")
     rows = part.groupBy(F.expr("concat(lower(p_brand), '|', p_name)").alias("norm_key")).agg(F.min("p_partkey").alias("k"))
     return rows.selectExpr(
         "norm_key", "k % 3 = 0 as is_negative", "if(k % 3 = 0, null, concat('app:track:', k)) as track_uri",
@@ -270,7 +270,7 @@ def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CACHE_SQL = CATALOG_CTE + """
-, cache as (select lower(p_brand) || '|' || p_name as norm_key, min(p_partkey) as k from part where p_partkey % 2 = 0 group by 1)
+, cache as (select lower(p_brand) || '|' || p_name as norm_key, min(p_partkey) as k from part group by 1)
 , live as (select norm_key, k, k % 3 = 0 as is_negative, case when k % 3 <> 0 then 'app:track:' || k end as track_uri from cache
    where k % 40 <= case when k % 3 = 0 then 7 else 30 end)
 """

@@ -108,6 +108,9 @@ class QueryResult:
     sql_executed: str
 
 
+NO_TABLES = "spinlog_guard_without_tables"
+
+
 class GuardedSql:
     """`publish` registers temporary views in the session it is given and returns their names."""
 
@@ -116,6 +119,10 @@ class GuardedSql:
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
         self.session.conf.set("spark.sql.session.timeZone", "UTC")
         self.views = set(publish(self.session))
+        # Saved tables are shared between sessions.  In a database without any, a plain name can
+        # only be a published view or a name the query itself defines, whatever its scope.
+        self.session.sql(f"CREATE DATABASE IF NOT EXISTS {NO_TABLES}")
+        self.session.catalog.setCurrentDatabase(NO_TABLES)
 
     def frame(self, sql: str) -> DataFrame:
         """The checked query as a lazy DataFrame, without cap or limit in time."""

@@ -12,7 +12,6 @@ from spinlog.operators.topk import page
 
 # What may be searched, and the page limits.
 SEARCH_TYPES = ("track", "artist", "album", "playlist")
-SEARCH_LIMIT, SEARCH_OFFSET, LIST_LIMIT = 10, 1000, 50
 ALBUM_GROUPS = ("album", "single", "appears_on", "compilation")
 
 # The trailing windows of the top lists.
@@ -76,7 +75,7 @@ def catalog_search(
             low, _, high = year.partition("-")
             fits &= F.substring(released, 1, 4).between(low, high or low)
         found = df.where(fits & _has(text, free_text)).select(F.lit(kind).alias("type"), "id", "name", "uri")
-        pages.append(page(found, [F.col("name").asc(), F.col("id").asc()], limit, offset, SEARCH_LIMIT, SEARCH_OFFSET))
+        pages.append(page(found, [F.col("name").asc(), F.col("id").asc()], limit, offset))
     result = pages[0]
     for more in pages[1:]:
         result = result.unionByName(more)
@@ -85,7 +84,7 @@ def catalog_search(
 
 def recent_plays(plays: DataFrame, limit: int = 20, after_ms: int | None = None, before_ms: int | None = None,
                  ties: tuple[str, ...] = ("track_uri",)) -> DataFrame:
-    """Music plays, newest first, at most 50; `after_ms` and `before_ms` exclude each other."""
+    """Music plays, newest first; `after_ms` and `before_ms` exclude each other."""
     if after_ms is not None and before_ms is not None:
         raise ValueError("after_ms and before_ms exclude each other")
 
@@ -142,7 +141,7 @@ def list_summary(lists: DataFrame, items: DataFrame) -> DataFrame:
 
 def list_items_page(items: DataFrame, list_id, limit: int = 20, offset: int = 0) -> DataFrame:
     """Items of one list by position.  Positions are dense, so the page is a range filter."""
-    upper = offset + min(limit, LIST_LIMIT)
+    upper = offset + limit
     inside = (F.col("position") >= offset) & (F.col("position") < upper)
     return items.where((F.col("list_id") == list_id) & inside).orderBy("position")
 

@@ -119,11 +119,8 @@ def resolve(
     accepted = F.lit(True) if not strict else F.col("hit.confidence") != "weak"
     usable = hits.where(~F.col("hit.is_negative") & accepted)
     verified = verified_artists(usable, by_name.join(misses, WANTED))
-    # A weak match by name gives way to an exact or strong one by id.
-    sure = by_name.where("tier > 1").select(*WANTED)
-    left = materialize(
-        misses.join(sure, WANTED, "left_anti").join(verified, "artist_norm").select(*WANTED, "artist_key"), "left"
-    )
+    # Where the artist is verified, what carries the id competes with what carries the name.
+    left = materialize(misses.join(verified, "artist_norm").select(*WANTED, "artist_key"), "left")
     found = by_name
     if not left.isEmpty():
         better = F.min(F.struct("stage", (-F.col("tier")).alias("neg_tier"), "best")).alias("m")

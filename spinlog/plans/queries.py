@@ -175,6 +175,13 @@ def taste_drift_outer(plays: DataFrame, period_a_start: Day, period_a_end: Day,
     return label_drift(both, total_a, total_b, limit)
 
 
+def period_artists(plays: DataFrame, period_a_start: Day, period_a_end: Day, period_b_start: Day, period_b_end: Day) -> DataFrame:
+    """Artists of either period."""
+    keys = [named(plays, "artist_name").where(F.col("played_month").between(as_date(start), as_date(end))).select("artist_name")
+            for start, end in ((period_a_start, period_a_end), (period_b_start, period_b_end))]
+    return keys[0].union(keys[1]).distinct()
+
+
 def label_drift(per_artist: DataFrame, total_a: Column, total_b: Column, limit: int) -> DataFrame:
     a, b = F.col("period_a_plays"), F.col("period_b_plays")
     shares = per_artist.select(

@@ -85,7 +85,7 @@ def monthly_artist(plays: DataFrame) -> DataFrame:
     per_artist = plays.groupBy("played_month", "artist_name").agg(
         F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms")
     )
-    per_month = plays.groupBy("played_month").agg(F.count(F.lit(1)).alias("_month_plays"))
+    per_month = per_artist.groupBy("played_month").agg(F.sum("plays").alias("_month_plays"))
     totals = per_month.withColumnRenamed("played_month", "_month")
     same_month = F.col("played_month").eqNullSafe(F.col("_month"))
     return per_artist.join(F.broadcast(totals), same_month).select(

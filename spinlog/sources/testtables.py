@@ -127,10 +127,11 @@ def catalog_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wanted records, keyed by the first part that names them (a sparse but stable index)."""
+    """Wanted records, keyed by the first part that names them (a sparse but stable index); a third has titles nobody made."""
+    title = F.expr("if(p_partkey % 3 = 2, concat('Unheard ', p_partkey), p_name)")
     return (
-        table(spark, sf_dir, "part").where("p_partkey % 3 <> 2")
-        .groupBy(F.upper("p_brand").alias("artist"), F.col("p_name").alias("title"))
+        table(spark, sf_dir, "part")
+        .groupBy(F.upper("p_brand").alias("artist"), title.alias("title"))
         .agg(F.min("p_partkey").alias("input_idx"))
         .select("input_idx", "artist", "title", F.lit(None).cast("string").alias("album"),
                 F.lit(None).cast("string").alias("year"))

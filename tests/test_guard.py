@@ -85,3 +85,15 @@ def test_description(spark, sf):
     rows = {(r.view, r.column): r for r in describe(spark, views).collect()}
     assert "heuristic" in rows["plays", "is_skip"].meaning and rows["v_hourly", "plays"].type == "bigint"
     assert len([k for k in rows if k[0] == "plays"]) == 28
+
+
+def test_inner_name_does_not_open_a_saved_table(spark):
+    spark.sql("create or replace temp view one as select 1 as a")
+    spark.range(3).write.mode("overwrite").saveAsTable("secret")
+    try:
+        guarded = GuardedSql(spark, lambda s: s.sql("select 1 as a").createOrReplaceTempView("v") or ["v"])
+        with pytest.raises(SqlGuardError):
+            guarded.run("select s.* from secret s, (with secret as (select 1 as a) select * from secret) t")
+        assert guarded.run("with v2 as (select a from v) select * from v2").rows == [{"a": 1}]
+    finally:
+        spark.sql("drop table secret")
