@@ -59,6 +59,19 @@ BLANK = re.compile(f"[{SPACE}]")
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if BLANK.match(c))
 UNSAFE = f"[{BLANKS}] (?:[{BLANKS}]|$)"
 
+# Letters, digits and marks that every Unicode version classes alike, without the apostrophe: of these
+# the pre-tokenizer makes just these parts.
+LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u0233"
+MARKS = r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+WORD = re.compile(f" ?[{LETTERS}]+")
+AT_ONCE = 8
+
+# Byte-level vocabularies write a byte as itself if that prints, and else as the next letter from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+SYMBOLS = {b: chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in range(256)}
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
@@ -87,7 +100,7 @@ def encode(texts: pa.Array, tokenizer_path: str) -> list[np.ndarray]:
         return out
     words = pieces.flatten().dictionary_encode()
     codes = words.indices.to_numpy().astype(np.int64)
-    names = words.dictionary.to_pylist()
+    names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
     # The first piece of a text has no space before it.
     firsts, at = np.unique(codes[borders[:-1]], return_inverse=True)
     codes[borders[:-1]] = len(names) + at
@@ -115,11 +128,57 @@ def is_word(chunk: str) -> bool:
 def learn(chunks: list[str], tokenizer, known: dict[str, bytes]) -> None:
     """Adds the ids of `chunks` to `known`.
 
-    Words go to the tokenizer as one text with line ends between them: a line end
+    A chunk of plain characters only is cut into its parts here, and the tokenizer's
+    model gets each new part.  All others go to the whole tokenizer.
+    """
+    known[""] = b""
+    single, joined, rest = [], [], []
+    for c in chunks:
+        if WORD.fullmatch(c):
+            single.append(c)
+        else:
+            found = PLAIN.findall(c)
+            if len("".join(found)) == len(c):
+                joined.append((c, found))
+            else:
+                rest.append(c)
+    new = {p for _, ps in joined for p in ps}.difference(single)
+    new = [*single, *[p for p in new if p not in known]]
+    known.update(zip(new, model_ids(new, tokenizer), strict=True))
+    for c, ps in joined:
+        known[c] = b"".join([known[p] for p in ps])
+    if rest:
+        learn_others(rest, tokenizer, known)
+
+
+def model_ids(parts: list[str], tokenizer) -> list[bytes]:
+    """Ids of parts of plain characters, some at a time, with a symbol between them that no merge knows."""
+    if not parts:
+        return []
+    divider, cut = _divider(tokenizer)
+    if divider is None:  # a vocabulary that merges every symbol: no short cut
+        return [np.array(found.ids, "<u4").tobytes() for found in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    words = chr(divider).join(parts).encode().decode("latin-1").translate(SYMBOLS).split(SYMBOLS[divider])
+    mark, tokenize = SYMBOLS[divider], tokenizer.model.tokenize
+    raw = np.array([t.id for k in range(0, len(words), AT_ONCE) for t in tokenize(mark.join(words[k:k + AT_ONCE]) + mark)], "<u4")
+    stops = 4 * np.flatnonzero(raw == cut)
+    return list(map(raw.tobytes().__getitem__, map(slice, [0, *(stops[:-1] + 4).tolist()], stops.tolist())))
+
+
+@lru_cache(maxsize=2)
+def _divider(tokenizer) -> tuple[int | None, int]:
+    """A control character, none of PLAIN, whose symbol stands in no longer token, and its id."""
+    vocabulary = tokenizer.get_vocab()
+    longer = set("".join(t for t in vocabulary if len(t) > 1))
+    free = [c for c in range(9) if SYMBOLS[c] in vocabulary and SYMBOLS[c] not in longer]
+    return (free[0], vocabulary[SYMBOLS[free[0]]]) if free else (None, -1)
+
+
+def learn_others(chunks: list[str], tokenizer, known: dict[str, bytes]) -> None:
+    """Words go to the tokenizer as one text with line ends between them: a line end
     next to other characters is always a token of its own, so the ids can be cut
     there.  Chunks with white space inside are put together from their parts.
     """
-    known[""] = b""
     mixed, words = [], []
     for c in chunks:
         (words if is_word(c) else mixed).append(c)
