@@ -24,11 +24,11 @@ def ask(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
 ask("sql_guarded",
     "with loud as (select artist_name, play_count from dim_artist where play_count >= 20) "
     "select m.played_month, count(*) as artists, sum(m.plays) as plays from v_monthly_artist m "
-    "join loud on loud.artist_name = m.artist_name where m.plays > (select min(plays) from v_hourly) - 100000 "
+    "join loud on loud.artist_name = m.artist_name where m.plays > (select min(plays) from v_skip) "
     "group by m.played_month",
     ", loud as (select artist_name, play_count from dim_artist where play_count >= 20) "
     "select m.played_month, count(*) as artists, cast(sum(m.plays) as bigint) as plays from v_monthly_artist m "
-    "join loud on loud.artist_name = m.artist_name group by m.played_month")
+    "join loud on loud.artist_name = m.artist_name where m.plays > (select min(plays) from v_skip) group by m.played_month")
 ask("set_union_sql",
     "select artist_name from v_skip where plays > 3 union select artist_name from dim_artist where play_count < 25")
 ask("sql_validate",

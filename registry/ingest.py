@@ -10,7 +10,7 @@ from spinlog.operators import plays as P
 from spinlog.plans.ingest import ingest, report_frame
 from spinlog.schema import ExportFormat
 from spinlog.session import work_dir
-from spinlog.sources import bigexport, export
+from spinlog.sources import export
 from spinlog.sources.store import HistoryStore
 from spinlog.sources.testtables import ZONE, export_files, export_records
 
@@ -93,10 +93,6 @@ FIELDS_SQL = (
 
 AREA.add("src_export_scan",
          lambda s, d: fields_of(export.scan_export(s, write_export(s, d), "*.txt")), RECORDS_CTE + FIELDS_SQL)
-AREA.add("src_export_scan_split",
-         lambda s, d: fields_of(export.scan_export(s, write_export(s, d), "*.txt", whole_file_bytes=0)),
-         RECORDS_CTE + FIELDS_SQL)
-
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files named by id, their text as bytes."""
@@ -148,8 +144,8 @@ AREA.add(
     RECORDS_CTE + """
 , f as (select source_file, file_no % 20 as n, count(*) as records from rec group by source_file, file_no)
 select source_file, case when n = 10 then records end as source_index,
-  case n when 0 then 'not valid JSON' when 5 then 'expected a JSON array of play objects'
-    when 10 then 'expected an object' else 'expected objects only, found a string' end as problem
+  case n when 0 then 'no JSON in it' when 5 then 'the file is JSON, but no array of records'
+    when 10 then 'this entry is no record' else 'a text stands where a record should' end as problem
 from f where n in (0, 5, 10, 15)""",
 )
 
@@ -168,7 +164,7 @@ def required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AREA.add("src_required_fields", required, RECORDS_CTE +
-         "select 'f' || file_no as source_file, k0 as source_index, 'missing required field(s): ' || "
+         "select 'f' || file_no as source_file, k0 as source_index, 'without ' || "
          "case k0 % 100 when 1 then 'ts' else 'ms_played, ts' end as problem from rec where k0 % 100 in (1, 2)")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from spinlog.functions import fuzzy, markers
 from spinlog.functions.text import normalize_text, strip_suffixes
-from spinlog.session import keep_matching, materialize
+from spinlog.session import materialize
 
 WANTED = ["artist_norm", "title_norm", "excused_album", "want_year"]
 TIERS = {3: "exact", 2: "strong", 1: "weak"}
@@ -88,6 +88,11 @@ def _best() -> Column:
     return F.min(F.struct(*_PICK)).alias("best")
 
 
+def of_artists(credits: DataFrame, wanted: DataFrame, on: str = "artist_key") -> DataFrame:
+    """Rows of wanted artists; a hot artist's rows may be split freely."""
+    return credits.join(wanted.select(on).distinct(), on, "left_semi")
+
+
 def exact_and_strong(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     """The best exact or strong match of each wanted key, with its search stage.
 
@@ -97,7 +102,7 @@ def exact_and_strong(wanted: DataFrame, index: DataFrame, artist_key: str) -> Da
     same = F.struct(F.col("title_norm").alias("key"), F.lit(3).alias("tier"))
     shorter = F.struct(F.col("stripped_norm").alias("key"), F.lit(2).alias("tier"))
     forms = F.when(F.col("title_norm") == F.col("stripped_norm"), F.array(same)).otherwise(F.array(same, shorter))
-    credits = keep_matching(index.withColumnRenamed(artist_key, "artist_key"), wanted, ["artist_key"])
+    credits = of_artists(index.withColumnRenamed(artist_key, "artist_key"), wanted)
     tracks = (
         credits.withColumn("form", F.explode_outer(forms))
         .withColumns({p: F.col(p) if p != artist_key else F.col("artist_key") for p in _PICK})
@@ -118,7 +123,7 @@ def exact_and_strong(wanted: DataFrame, index: DataFrame, artist_key: str) -> Da
 
 def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     """Distinct (wanted, catalogue title) pairs that may reach the ratio; none that does is missing."""
-    credits = keep_matching(index.withColumnRenamed(artist_key, "artist_key"), wanted, ["artist_key"])
+    credits = of_artists(index.withColumnRenamed(artist_key, "artist_key"), wanted)
     titles = (
         credits.withColumns({p: F.col(p) if p != artist_key else F.col("artist_key") for p in _PICK})
         .groupBy("artist_key", "stripped_norm", *_MASKS)
@@ -136,7 +141,6 @@ def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFram
 
 
 FIRST_TRIED = 16
-FEW_PAIRS = 200_000  # below this, one pass over all pairs is quicker than two
 
 
 def similar_enough(pairs: DataFrame) -> DataFrame:
@@ -159,8 +163,6 @@ def weak(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     """
     pairs = materialize(weak_pairs(wanted, index, artist_key), "pairs")
     columns = [*WANTED, F.lit(3).alias("stage"), F.lit(1).alias("tier"), "best"]
-    if pairs.count() <= FEW_PAIRS:
-        return materialize(similar_enough(pairs), "similar").select(*columns)
     place = F.row_number().over(Window.partitionBy(*WANTED).orderBy("best"))
     head = pairs.withColumn("place", place).where(F.col("place") <= FIRST_TRIED).drop("place")
     early = materialize(similar_enough(head), "early")

@@ -18,12 +18,14 @@ def utc_timestamp(text: Column) -> Column:
     A text with a zone goes through its epoch microseconds, so the result does
     not depend on the session zone; a text without one is taken as UTC.
     """
-    micros = F.unix_micros(text.cast("timestamp")).cast("decimal(18,0)")
+    micros = F.unix_micros(text.try_cast("timestamp")).cast("decimal(18,0)")
     zoned = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
         secs=micros * F.lit("0.000001").cast("decimal(7,6)")
     )
     has_time = text.rlike(r"\d:\d")
-    return F.when(has_time & text.rlike(_ZONED), zoned).otherwise(text.cast("timestamp_ntz"))
+    parsed = F.when(has_time & text.rlike(_ZONED), zoned).otherwise(text.try_cast("timestamp_ntz"))
+    bad = F.raise_error(F.concat(F.lit("not a time: "), text)).cast("timestamp_ntz")
+    return F.when(text.isNull() | parsed.isNotNull(), parsed).otherwise(bad)
 
 
 def lenient_bigint(text: Column) -> Column:

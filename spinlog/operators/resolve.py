@@ -15,16 +15,16 @@ from pyspark.sql.window import Window
 
 from spinlog.errors import CandidateError
 from spinlog.operators import cache as C
-from spinlog.operators.match import STAGES, TIERS, WANTED, catalog_index, search, wanted_keys
-from spinlog.session import keep_matching, materialize
+from spinlog.operators.match import STAGES, TIERS, WANTED, catalog_index, of_artists, search, wanted_keys
+from spinlog.session import materialize
 
 LOW_CONFIDENCE = 0.7
 REJECTED_SHOWN = 5
 
-CACHED_NEGATIVE = "previously unresolved (cached)"
-CACHED_WEAK = "only a weak/fuzzy match was found (cached); strict mode requires exact/strong"
-WEAK = "only a weak/fuzzy match was found; strict mode requires exact/strong"
-NO_MATCH = "no acceptable match found after filtered, paged, and relaxed search"
+CACHED_NEGATIVE = "the cache says: nothing fits"
+CACHED_WEAK = "the cache has a similar title only, not enough in strict mode"
+WEAK = "a similar title only, not enough in strict mode"
+NO_MATCH = "nothing fits, with or without the year"
 
 
 def bad_candidates(candidates: DataFrame) -> DataFrame:
@@ -68,10 +68,9 @@ def first_tracks(artists: DataFrame, index: DataFrame, count: int = REJECTED_SHO
     rank = F.row_number().over(Window.partitionBy("artist_norm").orderBy("track_id", "artist_pos"))
     tracks = index.select("artist_norm", "track_id", "artist_pos", "uri")
     few = (
-        keep_matching(tracks, artists, ["artist_norm"])
+        of_artists(tracks, artists, "artist_norm")
         .withColumn("rank", rank)
         .where(F.col("rank") <= count)
-        .join(artists, "artist_norm", "left_semi")
     )
     return few.groupBy("artist_norm").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "uri"))), lambda s: s["uri"]).alias("shown")

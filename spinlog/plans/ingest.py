@@ -11,15 +11,9 @@ from pyspark.sql import functions as F
 from spinlog.errors import IngestError
 from spinlog.operators.plays import normalize
 from spinlog.schema import SKIP_MS, SUBSTANTIAL_MS, ExportFormat
-from spinlog.sources import bigexport, export
+from spinlog.sources import export
 from spinlog.sources.store import HistoryStore, utc_now
 
-# A name list of this many rows is some tens of MB: safe to broadcast.
-NAMES_TO_BROADCAST = 500_000
-# Field names are a vocabulary, not data; past this many the run row only points to the table.
-FIELDS_IN_RUN_ROW = 10_000
-
-
 @dataclass(frozen=True)
 class IngestReport:
     run_id: int
@@ -38,18 +32,6 @@ def check_zone(name: str) -> str:
     return name
 
 
-def hash_files(spark, directory: str, pattern: str, whole_file_bytes: int) -> DataFrame:
-    files = export.file_listing(spark, directory, pattern)
-    big = [r["path"] for r in files.where(F.col("length") > whole_file_bytes).select("path").collect()]
-    hashes = export.file_hashes(files.where(F.col("length") <= whole_file_bytes))
-    return hashes.unionByName(bigexport.content_digest(spark, big)) if big else hashes
-
-
-def restrict_to(new: DataFrame, n_new: int) -> DataFrame:
-    names = new.select("source_file")
-    return F.broadcast(names) if n_new <= NAMES_TO_BROADCAST else names
-
-
 def ingest(
     store: HistoryStore,
     directory: str,
@@ -59,7 +41,6 @@ def ingest(
     skip_ms_threshold: int = SKIP_MS,
     substantial_ms: int = SUBSTANTIAL_MS,
     pattern: str = "*.json",
-    whole_file_bytes: int = export.WHOLE_FILE_BYTES,
 ) -> IngestReport:
     fmt = fmt or ExportFormat()
     spark = store.spark
@@ -72,28 +53,24 @@ def ingest(
     export.check_not_empty(files, total)
     if not total:
         raise IngestError(f"no {pattern} files in {directory}")
-    hashes = hash_files(spark, directory, pattern, whole_file_bytes)
-    new = store.write_files(export.new_files(hashes, store.ingested_files()), run)
+    new = store.write_files(export.new_files(export.file_hashes(files), store.ingested_files()), run)
     n_new = new.count()
 
     # When every file is new there is nothing to filter, and no join.
-    only = None if n_new == total else restrict_to(new, n_new)
-    records = export.scan_export(spark, directory, pattern, only, whole_file_bytes)
+    only = None if n_new == total else new.select("source_file")
+    records = export.scan_export(spark, directory, pattern, only)
     raw = store.write_raw(export.check_keys(records, fmt), run)
     export.raise_first(raw)
     rows = raw.count()
     unknown = export.unknown_fields(raw)
-    unknown.coalesce(1).write.mode("overwrite").parquet(store.path("unknown_fields", f"ingest_run_id={run}"))
-    names = [r["field"] for r in unknown.limit(FIELDS_IN_RUN_ROW + 1).collect()]
-    notes = None
-    if len(names) > FIELDS_IN_RUN_ROW:
-        names, notes = None, "too many unknown fields for this row: see the unknown_fields table"
+    unknown.write.mode("overwrite").parquet(store.path("unknown_fields", f"ingest_run_id={run}"))
+    # Field names are a vocabulary, not data: all of them stand in the run row.
+    fields = sorted(r["field"] for r in spark.read.parquet(store.path("unknown_fields", f"ingest_run_id={run}")).collect())
 
     order = ["source_file", "source_index", "ingest_run_id"]
     plays = normalize(store.raw_plays(up_to=run), fmt, local_timezone, skip_ms_threshold, substantial_ms)
     total_plays = store.write_plays(plays, order, run)
 
-    fields = sorted(names) if names is not None else None
     store.finish_run(
         {
             "run_id": run,
@@ -103,11 +80,11 @@ def ingest(
             "files_skipped_already_ingested": total - n_new,
             "row_count": rows,
             "unknown_fields": fields,
-            "status": "ok" if fields == [] else "ok_with_warnings",
-            "notes": notes,
+            "status": "ok" if not fields else "ok_with_warnings",
+            "notes": None,
         }
     )
-    return IngestReport(run, n_new, total - n_new, rows, fields or [], total_plays)
+    return IngestReport(run, n_new, total - n_new, rows, fields, total_plays)
 
 
 def report_frame(hashes: DataFrame, ingested: DataFrame, checked: DataFrame) -> DataFrame:

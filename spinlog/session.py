@@ -4,12 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Adaptive execution does the run-time sizing: it coalesces small shuffle
 # partitions, turns sort-merge joins into broadcasts when the *measured* side is
@@ -53,27 +49,3 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-BROADCAST_BYTES = 64 << 20
-
-
-def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measures `df` (a written table or something as cheap to read) before a broadcast.
-
-    Counts the characters of its string columns and 32 bytes per row and column.
-    """
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, StringType)]
-    width = reduce(add, texts, F.lit(32 * len(df.columns)))
-    return (df.agg(F.sum(width)).first()[0] or 0) <= limit
-
-
-def keep_matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of `df` with a partner in `keys`, where that can be told without a shuffle.
-
-    Small `keys` are broadcast; with large ones `df` comes back whole, for a
-    shuffle by these keys would send a hot one to a single task.  Callers join
-    later anyway: this only saves work.
-    """
-    distinct = keys.select(*on).distinct()
-    return df.join(F.broadcast(distinct), on, "left_semi") if is_small(distinct) else df

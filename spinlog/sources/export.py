@@ -1,9 +1,8 @@
 """Export files: one JSON array of play objects per file.
 
-Two ways to read the same thing.  Files up to `WHOLE_FILE_BYTES` are taken as
-one row and parsed by Spark's JSON functions.  Larger files are never held in
-one row: `sources.bigexport` reads them in splits.  Both give one row per
-record with the checks attached, so a file is parsed once.
+A file is one row, parsed by Spark's JSON functions into one row per record with
+the checks attached.  Spark refuses files beyond `spark.sql.sources.binaryFile.maxLength`
+(2 GB at most) and names them: such an export has to be cut by whoever makes it.
 """
 
 from __future__ import annotations
@@ -15,19 +14,17 @@ from pyspark.sql import functions as F
 from spinlog.errors import IngestError
 from spinlog.schema import ExportFormat
 
-WHOLE_FILE_BYTES = 256 << 20
-
 RECORD_COLUMNS = ["source_file", "source_index", "payload", "problem"]
 
 
 def file_listing(spark: SparkSession, directory: str, pattern: str = "*.json") -> DataFrame:
-    """(source_file, path, length, content) of a flat directory; content is read only if used."""
+    """(source_file, path, content) of a flat directory; content is read only if used."""
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
     except AnalysisException as exc:
         raise IngestError(f"{directory} is not a readable directory") from exc
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("source_file"), "path", "length", "content"
+        F.element_at(F.split("path", "/"), -1).alias("source_file"), "path", "content"
     )
 
 
@@ -37,7 +34,7 @@ def check_not_empty(files: DataFrame, found: int) -> None:
     if len(listed) != found:
         names = {path.rsplit("/", 1)[-1] for path in listed}
         read = {r["source_file"] for r in files.select("source_file").collect()}
-        raise IngestError(f"{min(names - read)}: not valid JSON (the file is empty).")
+        raise IngestError(f"{min(names - read)}: no JSON in it (the file is empty).")
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
@@ -74,10 +71,10 @@ def whole_file_records(files: DataFrame) -> DataFrame:
     is_json = F.from_json(wrapped, "array<string>").isNotNull() & ~text.rlike(r"^\s*$")
     maps = F.from_json(wrapped, "array<array<map<string,string>>>")
     file_problem = (
-        F.when(~is_array & is_json, "expected a JSON array of play objects")
-        .when(F.col("nested").isNull() | (F.size("nested") != 1), "not valid JSON")
+        F.when(~is_array & is_json, "the file is JSON, but no array of records")
+        .when(F.col("nested").isNull() | (F.size("nested") != 1), "no JSON in it")
         .when(text.rlike(_BRACED_STRING) & (maps.isNull() | F.exists(maps[0], lambda m: m.isNull())),
-              "expected objects only, found a string")
+              "a text stands where a record should")
     )
     checked = parsed.select("source_file", file_problem.alias("problem"), F.col("nested")[0].alias("records"))
     # A broken file becomes one row without a payload.  The outer explode keeps the
@@ -95,7 +92,7 @@ def whole_file_records(files: DataFrame) -> DataFrame:
 
 
 def object_problem(payload: Column) -> Column:
-    return F.when(payload.isNull() | ~payload.startswith("{"), "expected an object")
+    return F.when(payload.isNull() | ~payload.startswith("{"), "this entry is no record")
 
 
 def check_keys(records: DataFrame, fmt: ExportFormat) -> DataFrame:
@@ -104,7 +101,7 @@ def check_keys(records: DataFrame, fmt: ExportFormat) -> DataFrame:
     required = F.array(*[F.lit(k) for k in fmt.required])
     known = F.array(*[F.lit(k) for k in fmt.known])
     missing = F.array_sort(F.array_except(required, keys))
-    text = F.concat(F.lit("missing required field(s): "), F.array_join(missing, ", "))
+    text = F.concat(F.lit("without "), F.array_join(missing, ", "))
     return records.select(
         "source_file",
         "source_index",
@@ -134,23 +131,12 @@ def unknown_fields(checked: DataFrame) -> DataFrame:
     return checked.select(F.explode("unknown_keys").alias("field")).distinct()
 
 
-def scan_export(spark: SparkSession, directory: str, pattern: str = "*.json",
-                only: DataFrame | None = None, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def scan_export(spark: SparkSession, directory: str, pattern: str = "*.json", only: DataFrame | None = None) -> DataFrame:
     """Every record of a directory as (source_file, source_index, payload, problem).
 
     `only` restricts the scan to some files (a `source_file` column).
     """
-    from spinlog.sources.bigexport import split_records
-
-    files = file_listing(spark, directory, pattern)
-    big = [r["path"] for r in files.where(F.col("length") > whole_file_bytes).select("path").collect()]
-    small = files.where(F.col("length") <= whole_file_bytes).select("source_file", "content")
+    files = file_listing(spark, directory, pattern).select("source_file", "content")
     if only is not None:
-        small = small.join(only, "source_file", "left_semi")
-    records = whole_file_records(small).select(*RECORD_COLUMNS)
-    if big:
-        split = split_records(spark, big)
-        if only is not None:
-            split = split.join(only, "source_file", "left_semi")
-        records = records.unionByName(split.select(*RECORD_COLUMNS))
-    return records
+        files = files.join(only, "source_file", "left_semi")
+    return whole_file_records(files).select(*RECORD_COLUMNS)

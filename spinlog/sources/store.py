@@ -48,7 +48,9 @@ class HistoryStore:
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(self.path(name))
-        except AnalysisException:
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":  # a broken store is not an empty one
+                raise
             return self.spark.createDataFrame([], schema)
 
     # --- what readers see ------------------------------------------------------------------

@@ -37,7 +37,8 @@ REFUSED = [
     "SELECT * FROM plays ORDER BY reflect('java.util.UUID', 'randomUUID')", "SELECT * FROM IDENTIFIER('private_' || 'view')",
     "SELECT * FROM private_view", "SELECT * FROM global_temp.private_global", "SELECT * FROM spark_catalog.default.t",
     "SELECT system.builtin.java_method('java.lang.System', 'exit', 1)", "FROM text.`/etc/passwd` |> WHERE true",
-    "SELECT * FROM plays |> UNION ALL (SELECT * FROM private_view)", "SELECT nowhere FROM plays",
+    "SELECT * FROM plays |> UNION ALL (SELECT * FROM private_view)", "SELECT nowhere FROM plays", "SELECT current_user()", "SELECT version()", "SELECT input_file_name() FROM plays",
+    "SELECT current_catalog() FROM plays", "SELECT spark_partition_id() FROM plays",
 ]
 
 

@@ -12,7 +12,7 @@ from spinlog.operators import plays as P
 from spinlog.plans.ingest import check_zone, ingest
 from spinlog.plans.queries import listening_summary, store_status
 from spinlog.schema import PLAYS, ExportFormat
-from spinlog.sources import bigexport, export
+from spinlog.sources import export
 from spinlog.sources.store import HistoryStore
 
 FMT = ExportFormat("app")
@@ -60,16 +60,16 @@ def test_directory_must_exist_and_hold_files(place):
 @pytest.mark.parametrize(
     ("content", "message"),
     [
-        ([record(1), {k: v for k, v in record(2).items() if k != "ms_played"}], r"a\.json\[1\]: missing required.*ms_played"),
-        ('{"not": "a list"}', r"a\.json: expected a JSON array"),
-        ([record(1), "not an object"], r"a\.json\[1\]: expected an object"),
-        ([record(1), None], r"a\.json\[1\]: expected an object"),
-        ([record(1), 5], r"a\.json\[1\]: expected an object"),
-        ([record(1), json.dumps(record(2))], r"a\.json: expected objects only"),
-        ("{not valid json", r"a\.json: not valid JSON"),
-        ("", r"a\.json: not valid JSON"),
-        (json.dumps([record(1)]) + " trailing", r"a\.json: not valid JSON"),
-        (json.dumps([record(1)]) + "," + json.dumps([record(2)]), r"a\.json: not valid JSON"),
+        ([record(1), {k: v for k, v in record(2).items() if k != "ms_played"}], r"a\.json\[1\]: without ms_played"),
+        ('{"not": "a list"}', r"a\.json: .*no array of records"),
+        ([record(1), "not an object"], r"a\.json\[1\]: this entry is no record"),
+        ([record(1), None], r"a\.json\[1\]: this entry is no record"),
+        ([record(1), 5], r"a\.json\[1\]: this entry is no record"),
+        ([record(1), json.dumps(record(2))], r"a\.json: a text stands"),
+        ("{not valid json", r"a\.json: no JSON in it"),
+        ("", r"a\.json: no JSON in it"),
+        (json.dumps([record(1)]) + " trailing", r"a\.json: no JSON in it"),
+        (json.dumps([record(1)]) + "," + json.dumps([record(2)]), r"a\.json: no JSON in it"),
     ],
 )
 def test_bad_files_fail_loudly_and_leave_nothing(place, content, message):
@@ -227,31 +227,17 @@ NASTY = [
 ]
 
 
-@pytest.fixture
-def tiny_splits(spark):
-    keys = {"spark.sql.files.maxPartitionBytes": "257", "spark.sql.files.openCostInBytes": "1"}
-    old = {k: spark.conf.get(k) for k in keys}
-    for k, v in keys.items():
-        spark.conf.set(k, v)
-    yield
-    for k, v in old.items():
-        spark.conf.set(k, v)
-
-
-@pytest.mark.parametrize("indent", [None, 2])
-def test_splits_give_the_same_records(spark, tmp_path, tiny_splits, indent):
-    path = tmp_path / "a.json"
-    path.write_text(json.dumps(NASTY * 3, indent=indent, ensure_ascii=False))
-    (tmp_path / "b.json").write_text(" [ ]\n")
-    (tmp_path / "c.json").write_text(json.dumps([record(9)]))
-    pieces = bigexport.fragments(spark, [str(path)])
-    assert pieces.select("block").distinct().count() > 5
-    rows = export.scan_export(spark, str(tmp_path), whole_file_bytes=0).orderBy("source_file", "source_index").collect()
-    assert all(r.problem is None for r in rows)
-    assert [(r.source_file, r.source_index) for r in rows] == [("a.json", i) for i in range(15)] + [("c.json", 0)]
-    assert [json.loads(r.payload) for r in rows] == NASTY * 3 + [record(9)]
-    whole = export.scan_export(spark, str(tmp_path)).orderBy("source_file", "source_index").collect()
-    assert [json.loads(r.payload) for r in whole] == [json.loads(r.payload) for r in rows]
+def test_awkward_records_and_file_names(spark, place):
+    place.put("a b.json", NASTY)
+    place.put("a[1].json", json.dumps([record(9)], indent=2))
+    place.put("c%20d.json", " [ ]\n")
+    rows = export.scan_export(spark, str(place.dir)).collect()
+    assert {(r.source_file, r.source_index, r.problem) for r in rows} == {("a[1].json", 0, None), *(("a b.json", i, None) for i in range(5))}
+    assert {r.source_index: json.loads(r.payload) for r in rows if r.source_file == "a b.json"} == dict(enumerate(NASTY))
+    place.put("copy.json", NASTY)
+    report = place.load()
+    assert (report.files_ingested, report.rows_inserted, report.total_plays_after_rebuild) == (3, 6, 6)
+    assert place.load().files_ingested == 0
 
 
 BROKEN = [
@@ -260,18 +246,9 @@ BROKEN = [
 ]
 
 
-def test_splits_find_broken_files(spark, tmp_path):
+def test_broken_files_are_found(spark, tmp_path):
     for n, content in enumerate(BROKEN):
         (tmp_path / f"bad{n:02d}.json").write_text(content)
     (tmp_path / "good.json").write_text('[{"a": 1}]')
-    records = export.scan_export(spark, str(tmp_path), whole_file_bytes=0)
-    found = {r.source_file for r in export.violations(records).collect()}
+    found = {r.source_file for r in export.violations(export.scan_export(spark, str(tmp_path))).collect()}
     assert found == {f"bad{n:02d}.json" for n in range(len(BROKEN))}
-
-
-def test_split_ingest_is_idempotent(place, spark):
-    place.put("a.json", NASTY)
-    place.put("copy.json", NASTY)
-    report = place.load(whole_file_bytes=0)
-    assert (report.files_ingested, report.rows_inserted, report.total_plays_after_rebuild) == (1, 5, 5)
-    assert place.load(whole_file_bytes=0).files_ingested == 0
