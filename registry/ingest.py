@@ -70,11 +70,12 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit(1).cast("bigint").alias("ingest_run_id"), "source_file", "source_index", "payload")
 
 
-def write_export(spark: SparkSession, sf_dir: str) -> str:
-    """The derived export as real files, one JSON array each."""
-    target = work_dir(spark, "export")
-    text = export_files(spark, sf_dir).select(F.decode("content", "UTF-8").alias("value"))
-    text.write.option("maxRecordsPerFile", 1).text(target)
+def write_export(spark: SparkSession, sf_dir: str, batch: str = "true", target: str | None = None) -> str:
+    """The derived export, or the files `batch` holds for, as real files of one JSON array each."""
+    target = target or work_dir(spark, "export")
+    files = export_files(spark, sf_dir).withColumn("file_no", F.regexp_extract("source_file", r"part_(\d+)", 1).cast("bigint"))
+    text = files.where(batch).select(F.decode("content", "UTF-8").alias("value"))
+    text.write.mode("append").option("maxRecordsPerFile", 1).text(target)
     return target
 
 
@@ -194,10 +195,11 @@ AREA.add("plays_normalize",
 
 
 def full_ingest(spark: SparkSession, sf_dir: str) -> HistoryStore:
-    """Two real runs over real files: the second one meets only known files."""
+    """Three real runs over real files: every third file, then the rest beside them, then nothing new."""
     store = HistoryStore(spark, work_dir(spark, "store"))
-    exported = write_export(spark, sf_dir)
-    for _ in range(2):
+    exported = None
+    for batch in ("file_no % 3 = 0", "file_no % 3 > 0", "false"):
+        exported = write_export(spark, sf_dir, batch, exported)
         ingest(store, exported, fmt=FMT, local_timezone=ZONE, pattern="*.txt")
     return store
 
@@ -210,15 +212,16 @@ AREA.add("sink_atomic_rebuild", lambda s, d: full_ingest(s, d).plays().drop("pla
          RECORDS_CTE + f"select {', '.join(FACT)} from norm")
 AREA.add("sink_raw_append",
          lambda s, d: full_ingest(s, d).raw_plays().groupBy("ingest_run_id").agg(F.count(F.lit(1)).alias("rows")),
-         RECORDS_CTE + "select cast(1 as bigint) as ingest_run_id, count(*) as rows from rec")
+         RECORDS_CTE + "select cast(if(file_no % 3 = 0, 1, 2) as bigint) as ingest_run_id, count(*) as rows from rec group by 1")
 AREA.add("sink_files_runs",
          lambda s, d: full_ingest(s, d).runs().select(
              "run_id", "files_ingested", "files_skipped_already_ingested", "row_count",
              F.array_join("unknown_fields", ",").alias("unknown_fields"), "status"),
-         RECORDS_CTE + """, n as (select cast(count(distinct file_no) as integer) as files, count(*) as rows from rec)
-select cast(1 as bigint) as run_id, files as files_ingested, 0 as files_skipped_already_ingested, rows as row_count,
-  'priority_class' as unknown_fields, 'ok_with_warnings' as status from n
-union all select 2, 0, files, 0, '', 'ok' from n""")
+         RECORDS_CTE + """, n as (select cast(if(file_no % 3 = 0, 1, 2) as bigint) as run_id,
+    cast(count(distinct file_no) as integer) as files, count(*) as rows from rec group by 1)
+select run_id, files as files_ingested, cast(coalesce(lag(files) over (order by run_id), 0) as integer) as files_skipped_already_ingested,
+  rows as row_count, 'priority_class' as unknown_fields, 'ok_with_warnings' as status from n
+union all select 3, 0, cast(sum(files) as integer), 0, '', 'ok' from n""")
 
 
 def reported(spark: SparkSession, sf_dir: str) -> DataFrame:

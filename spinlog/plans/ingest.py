@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
@@ -12,7 +13,8 @@ from spinlog.errors import IngestError
 from spinlog.operators.plays import normalize
 from spinlog.schema import SKIP_MS, SUBSTANTIAL_MS, ExportFormat
 from spinlog.sources import export
-from spinlog.sources.store import HistoryStore, utc_now
+from spinlog.sources.store import HistoryStore, new_attempt, utc_now
+
 
 @dataclass(frozen=True)
 class IngestReport:
@@ -42,34 +44,45 @@ def ingest(
     substantial_ms: int = SUBSTANTIAL_MS,
     pattern: str = "*.json",
 ) -> IngestReport:
+    """Takes in the files not seen before and rebuilds the fact table.
+
+    Without new files, and with the settings of the last run, the fact table
+    stays as it is: the run only adds its row.
+    """
     fmt = fmt or ExportFormat()
     spark = store.spark
     check_zone(local_timezone)
     started = utc_now()
-    run = store.last_run() + 1
+    last = store.last()
+    run, attempt = (last["run_id"] if last else 0) + 1, new_attempt()
+    settings = json.dumps([fmt.provider, local_timezone, skip_ms_threshold, substantial_ms])
 
     files = export.file_listing(spark, directory, pattern)
     total = files.select("path").count()
     export.check_not_empty(files, total)
     if not total:
         raise IngestError(f"no {pattern} files in {directory}")
-    new = store.write_files(export.new_files(export.file_hashes(files), store.ingested_files()), run)
+    new = store.write_files(export.new_files(export.file_hashes(files), store.ingested_files()), run, attempt)
     n_new = new.count()
 
-    # When every file is new there is nothing to filter, and no join.
-    only = None if n_new == total else new.select("source_file")
-    records = export.scan_export(spark, directory, pattern, only)
-    raw = store.write_raw(export.check_keys(records, fmt), run)
-    export.raise_first(raw)
-    rows = raw.count()
-    unknown = export.unknown_fields(raw)
-    unknown.write.mode("overwrite").parquet(store.path("unknown_fields", f"ingest_run_id={run}"))
-    # Field names are a vocabulary, not data: all of them stand in the run row.
-    fields = sorted(r["field"] for r in spark.read.parquet(store.path("unknown_fields", f"ingest_run_id={run}")).collect())
-
-    order = ["source_file", "source_index", "ingest_run_id"]
-    plays = normalize(store.raw_plays(up_to=run), fmt, local_timezone, skip_ms_threshold, substantial_ms)
-    total_plays = store.write_plays(plays, order, run)
+    rows, fields = 0, []
+    if n_new:
+        # When every file is new there is nothing to filter, and no join.
+        only = None if n_new == total else new.select("source_file")
+        records = export.scan_export(spark, directory, pattern, only)
+        raw = store.write_raw(export.check_keys(records, fmt), run, attempt)
+        export.raise_first(raw)
+        rows = raw.count()
+        # Field names are a vocabulary, not data: all of them stand in the run row.
+        fields = sorted(r["field"] for r in export.unknown_fields(raw).collect())
+
+    if n_new or last is None or last["settings"] != settings:
+        order = ["source_file", "source_index", "ingest_run_id"]
+        raw_plays = store.raw_plays(also=(run, attempt) if n_new else None)
+        plays = normalize(raw_plays, fmt, local_timezone, skip_ms_threshold, substantial_ms)
+        version, total_plays = attempt, store.write_plays(plays, order, attempt)
+    else:
+        version, total_plays = last["plays_version"], last["total_plays"]
 
     store.finish_run(
         {
@@ -82,6 +95,10 @@ def ingest(
             "unknown_fields": fields,
             "status": "ok" if not fields else "ok_with_warnings",
             "notes": None,
+            "attempt": attempt,
+            "plays_version": version,
+            "total_plays": total_plays,
+            "settings": settings,
         }
     )
     return IngestReport(run, n_new, total - n_new, rows, fields, total_plays)

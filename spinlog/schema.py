@@ -151,5 +151,9 @@ INGEST_RUNS = T.StructType(
         T.StructField("unknown_fields", T.ArrayType(_S)),
         T.StructField("status", _S),
         T.StructField("notes", _S),
+        T.StructField("attempt", _S),
+        T.StructField("plays_version", _S),
+        T.StructField("total_plays", _L),
+        T.StructField("settings", _S),
     ]
 )

@@ -1,22 +1,24 @@
 """The history store: Parquet folders, made visible by one run row.
 
-    raw_plays/ingest_run_id=N    verbatim records of run N
-    ingested_files/ingest_run_id=N
-    plays/version=N              fact rows, by month, with their place in the id order
-    play_parts/version=N         rows before each part (one small row per task)
+    raw_plays/ingest_run_id=N/attempt=A        verbatim records of run N
+    ingested_files/ingest_run_id=N/attempt=A
+    plays/version=A              fact rows, by month, with their place in the id order
+    play_parts/version=A         rows before each part (one small row per task)
     ingest_runs                  one row per finished run, written last
 
-A run that fails leaves folders no reader looks at, because its number is not
-in `ingest_runs`; the next run takes the same number and overwrites them.
-One writer at a time.
+Each attempt at a run has a name of its own, so nothing is ever overwritten: a
+run that fails leaves folders no reader looks at, because their name is not in
+`ingest_runs`.  A run without new files writes its row only and names the
+fact rows of an earlier one.  One writer at a time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,14 @@ def utc_now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
+def new_attempt() -> str:
+    return f"a{uuid.uuid4().hex}"
+
+
+def _folder(run: int, attempt: str) -> str:
+    return f"ingest_run_id={run}/attempt={attempt}"
+
+
 class HistoryStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
@@ -45,7 +55,13 @@ class HistoryStore:
     def path(self, *parts: str) -> str:
         return "/".join([self.root, *parts])
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+    def _read(self, name: str, schema: T.StructType, folders: list[str] | None = None) -> DataFrame:
+        """The table, or only some of its folders."""
+        if folders is not None:
+            if not folders:
+                return self.spark.createDataFrame([], schema)
+            with_base = self.spark.read.option("basePath", self.path(name))
+            return with_base.schema(schema).parquet(*[self.path(name, f) for f in folders]).select(*schema.names)
         try:
             return self.spark.read.schema(schema).parquet(self.path(name))
         except AnalysisException as exc:
@@ -58,23 +74,33 @@ class HistoryStore:
     def runs(self) -> DataFrame:
         return self._read("ingest_runs", INGEST_RUNS)
 
+    def last(self) -> Row | None:
+        """The row of the last finished run; None when nothing was ever ingested."""
+        return self.runs().orderBy(F.col("run_id").desc()).first()
+
     def last_run(self) -> int:
         """0 when nothing was ever ingested."""
-        return self.runs().agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0]
+        last = self.last()
+        return last["run_id"] if last else 0
+
+    def _finished(self) -> list[str]:
+        """Folders of the finished runs that brought files: as many as there were such runs."""
+        brought = self.runs().where("files_ingested > 0").select("run_id", "attempt").orderBy("run_id")
+        return [_folder(r["run_id"], r["attempt"]) for r in brought.collect()]
 
     def ingested_files(self) -> DataFrame:
-        # Numbers are given without gaps, so "finished" is a range of partitions.
-        return self._read("ingested_files", INGESTED_FILES).where(F.col("ingest_run_id") <= self.last_run())
+        return self._read("ingested_files", INGESTED_FILES, self._finished())
 
-    def raw_plays(self, up_to: int | None = None) -> DataFrame:
-        last = self.last_run() if up_to is None else up_to
-        return self._read("raw_plays", RAW_PLAYS).where(F.col("ingest_run_id") <= last)
+    def raw_plays(self, also: tuple[int, str] | None = None) -> DataFrame:
+        """Verbatim records of all finished runs, and of the unfinished one `also` (number, attempt)."""
+        return self._read("raw_plays", RAW_PLAYS, self._finished() + ([_folder(*also)] if also else []))
 
     def plays(self) -> DataFrame | None:
         """The fact table of the last finished run, or None without one."""
-        version = self.last_run()
-        if not version:
+        last = self.last()
+        if last is None:
             return None
+        version = last["plays_version"]
         placed = self.spark.read.schema(_PLACED).parquet(self.path("plays", f"version={version}"))
         parts = self.spark.read.schema(_PARTS).parquet(self.path("play_parts", f"version={version}"))
         plays = select_plays(number_placed(placed, parts, "play_id"))
@@ -99,31 +125,31 @@ class HistoryStore:
 
     # --- what a run writes -----------------------------------------------------------------
 
-    def write_raw(self, checked: DataFrame, run: int) -> DataFrame:
+    def write_raw(self, checked: DataFrame, run: int, attempt: str) -> DataFrame:
         """Raw rows of an unfinished run, checks included, read back for those checks."""
-        target = self.path("raw_plays", f"ingest_run_id={run}")
-        checked.write.mode("overwrite").parquet(target)
+        target = self.path("raw_plays", _folder(run, attempt))
+        checked.write.parquet(target)
         return self.spark.read.schema(checked.schema).parquet(target)
 
-    def write_files(self, files: DataFrame, run: int) -> DataFrame:
-        target = self.path("ingested_files", f"ingest_run_id={run}")
+    def write_files(self, files: DataFrame, run: int, attempt: str) -> DataFrame:
+        target = self.path("ingested_files", _folder(run, attempt))
         stamped = files.select("file_hash", "source_file", F.lit(utc_now()).cast("timestamp_ntz").alias("ingested_at"))
-        stamped.write.mode("overwrite").parquet(target)
+        stamped.write.parquet(target)
         return self.spark.read.schema(stamped.schema).parquet(target)
 
-    def write_plays(self, plays: DataFrame, tie_break: list[str], version: int) -> int:
+    def write_plays(self, plays: DataFrame, tie_break: list[str], version: str) -> int:
         """Sorted once, written once; the id is the place in that order.  Returns the row count."""
         order = [F.col(c).asc_nulls_last() for c in ("ts_utc", "track_uri", *tie_break)]
         target = self.path("plays", f"version={version}")
         placed = place_in_order(plays, order).select(
             *[F.col(f.name).cast(f.dataType) for f in _PLACED]
         )
-        placed.write.mode("overwrite").partitionBy("played_month").parquet(target)
+        placed.write.partitionBy("played_month").parquet(target)
         stored = self.spark.read.schema(_PLACED).parquet(target)
         parts_path = self.path("play_parts", f"version={version}")
-        part_offsets(stored).select(F.col("_part"), F.col("_before").cast("bigint")).coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(parts_path)
+        part_offsets(stored).select(F.col("_part"), F.col("_before").cast("bigint")).coalesce(1).write.parquet(
+            parts_path
+        )
         return stored.count()
 
     def finish_run(self, row: dict) -> None:

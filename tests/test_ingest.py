@@ -139,6 +139,28 @@ def test_same_export_twice_and_a_new_file(place):
     assert more.total_plays_after_rebuild == 3
 
 
+def test_a_run_without_new_files_writes_no_fact_rows(place):
+    place.put("a.json", [record(1), record(2, ms_played=40000)])
+    place.load()
+    before = place.store.last()["plays_version"]
+    place.load()
+    assert place.store.last()["plays_version"] == before and len(place.rows("track_id")) == 2
+    assert place.load(substantial_ms=50000).total_plays_after_rebuild == 2  # other settings: built anew
+    assert place.store.last()["plays_version"] != before
+    assert place.rows("is_substantial") == [(True,), (False,)]
+    assert place.store.raw_plays().count() == 2
+
+
+def test_raw_rows_are_never_overwritten(place, tmp_path):
+    place.put("a.json", [record(1)])
+    place.load()
+    kept = {f for f in (tmp_path / "store" / "raw_plays").rglob("*.parquet")}
+    (tmp_path / "store" / "ingest_runs").rename(tmp_path / "runs aside")
+    place.put("b.json", [record(2)])
+    assert place.load().run_id == 1
+    assert all(f.exists() for f in kept)
+
+
 def test_identical_files_in_one_run(place):
     place.put("a.json", [record(1)])
     place.put("b.json", [record(1)])
