@@ -197,9 +197,10 @@ AREA.add("plays_normalize",
 def full_ingest(spark: SparkSession, sf_dir: str) -> HistoryStore:
     """Three real runs over real files: every third file, then the rest beside them, then nothing new."""
     store = HistoryStore(spark, work_dir(spark, "store"))
-    exported = None
-    for batch in ("file_no % 3 = 0", "file_no % 3 > 0", "false"):
-        exported = write_export(spark, sf_dir, batch, exported)
+    exported = work_dir(spark, "export")
+    for batch in ("file_no % 3 = 0", "file_no % 3 > 0", None):
+        if batch:
+            write_export(spark, sf_dir, batch, exported)
         ingest(store, exported, fmt=FMT, local_timezone=ZONE, pattern="*.txt")
     return store
 

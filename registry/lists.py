@@ -82,10 +82,13 @@ def cleared(items: DataFrame) -> DataFrame:
 ask("list_replace", lambda s, items: L.replace(items, content(items), cleared(items)), """
 select list_id, position, uri from items where list_id % 4 > 1 union all
 select list_id, position // 2, uri from items where list_id % 4 = 0 and position % 2 = 0""")
-ask("list_replace_preview", lambda s, items: L.replace_preview(items, content(items)), """
+ask("list_replace_preview", lambda s, items: L.replace_preview(items, content(items), cleared(items)), """
 , new as (select list_id, position // 2 as position, uri as new_uri from items where list_id % 4 = 0 and position % 2 = 0)
-select list_id, position, i.uri as old_uri, new_uri from (select * from items where list_id % 4 = 0) i
+select list_id, position, i.uri as old_uri, new_uri from (select * from items where list_id % 4 < 2) i
 full outer join new using (list_id, position)""")
+ask("list_replace_counts", lambda s, items: L.replace_counts(items, content(items), cleared(items)), """
+select list_id, count(*) as removing, count(*) filter (list_id % 4 = 0 and position % 2 = 0) as adding
+from items where list_id % 4 < 2 group by list_id""")
 
 
 def moves(items: DataFrame) -> DataFrame:
@@ -95,7 +98,27 @@ def moves(items: DataFrame) -> DataFrame:
         "cast(element_at(array(0, 20, 140, 500), cast(list_id % 4 as int) + 1) as bigint) as insert_before")
 
 
-ask("list_reorder", lambda s, items: L.reorder(items, moves(items)), """
+def versions(items: DataFrame) -> DataFrame:
+    """The present version of each list: here its number and size."""
+    return L.list_sizes(items).select("list_id", F.concat_ws("-", "list_id", "size").alias("version"))
+
+
+def on_version(edits: DataFrame, items: DataFrame) -> DataFrame:
+    return edits.join(versions(items), "list_id")
+
+
+def half_stale(items: DataFrame) -> DataFrame:
+    """Edits of every list, those of every third one made on an older version, of every fifth one on none."""
+    now = versions(items)
+    version = F.when(F.col("list_id") % 5 == 0, None).when(F.col("list_id") % 3 == 0, F.concat("version", F.lit("-old")))
+    return now.select("list_id", version.otherwise(F.col("version")).alias("version"))
+
+
+ask("list_stale_edits", lambda s, items: L.stale_edits(half_stale(items), versions(items)), """
+, now as (select list_id, list_id || '-' || count(*) as current from items group by list_id)
+select list_id, case when list_id % 5 > 0 then current || '-old' end as version, current
+from now where list_id % 5 = 0 or list_id % 3 = 0""")
+ask("list_reorder", lambda s, items: L.reorder(items, on_version(moves(items), items), versions(items)), """
 , m as (select list_id, list_id % 37 as s, list_id % 11 + 1 as n,
     case list_id % 4 when 0 then 0 when 1 then 20 when 2 then 140 else 500 end as t from items where position = 0)
 , placed as (select i.list_id, i.uri, i.position,
@@ -114,7 +137,7 @@ def removals(items: DataFrame) -> DataFrame:
 
 
 REMOVALS = ", gone as (select distinct list_id, uri from items where list_id % 2 = 0 and position % 5 = 0)"
-ask("list_remove", lambda s, items: L.remove(items, removals(items), allowed=True), REMOVALS + """
+ask("list_remove", lambda s, items: L.remove(items, on_version(removals(items), items), versions(items), allowed=True), REMOVALS + """
 select list_id, uri, row_number() over (partition by list_id order by position) - 1 as position
 from items i where not exists (select 1 from gone g where g.list_id = i.list_id and g.uri = i.uri)""")
 ask("list_remove_preview", lambda s, items: L.remove_preview(items, removals(items)), REMOVALS + """
@@ -142,6 +165,18 @@ with d as (select c_custkey as list_id, concat_ws(';',
 select list_id, changes, changes <> '' as changed from d""")
 
 
+def created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as lists to create, some fields left open."""
+    return L.create_lists(table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as list_id", "c_name as name", "if(c_custkey % 2 = 0, c_mktsegment, null) as description",
+        "case c_custkey % 3 when 0 then true when 1 then false end as public", "if(c_custkey % 3 = 1, true, null) as collaborative"))
+
+
+AREA.add("list_create", created, """
+select c_custkey as list_id, c_name as name, case when c_custkey % 2 = 0 then c_mktsegment else '' end as description,
+  c_custkey % 3 = 0 as public, c_custkey % 3 = 1 as collaborative from customer""")
+
+
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as edits, appended to a JSON-lines log twice and read back."""
     edits = table(spark, sf_dir, "orders").selectExpr(

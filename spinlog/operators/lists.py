@@ -58,6 +58,23 @@ def list_sizes(items: DataFrame) -> DataFrame:
     return items.groupBy("list_id").agg(F.count(F.lit(1)).alias("size"))
 
 
+def stale_edits(edits: DataFrame, versions: DataFrame) -> DataFrame:
+    """Edits (list_id, version) made on another version of a list than `versions` (list_id, version) names.
+
+    An edit without a version, or of a list without one, is stale.  One row per list and version.
+    """
+    now = versions.select("list_id", F.col("version").alias("current"))
+    asked = edits.select("list_id", "version").distinct()
+    return asked.join(now, "list_id", "left").where(~F.coalesce(F.col("version") == F.col("current"), F.lit(False)))
+
+
+def check_versions(edits: DataFrame, versions: DataFrame) -> None:
+    stale = stale_edits(edits, versions).orderBy("list_id", "version").limit(SHOWN).collect()
+    if stale:
+        said = ", ".join(f"list {r['list_id']}: {r['version']} given, {r['current']} now" for r in stale)
+        raise EditError(f"the list has changed since it was read ({said})")
+
+
 def append_at(items: DataFrame, additions: DataFrame) -> DataFrame:
     """Add `additions` (list_id, n, uri, at) behind each list, or at `at`; repeats stay.
 
@@ -97,25 +114,37 @@ def append_preview(items: DataFrame, additions: DataFrame) -> DataFrame:
 
 def replace(items: DataFrame, content: DataFrame, cleared: DataFrame | None = None) -> DataFrame:
     """New content for the lists named in `content` or `cleared` (emptied); others stay."""
-    edited = content.select("list_id").distinct()
-    if cleared is not None:
-        edited = edited.unionByName(cleared.select("list_id")).distinct()
-    return items.join(edited, "list_id", "left_anti").unionByName(content.select(*items.columns))
+    return items.join(_edited(content, cleared), "list_id", "left_anti").unionByName(content.select(*items.columns))
 
 
-def replace_preview(items: DataFrame, content: DataFrame) -> DataFrame:
+def _edited(content: DataFrame, cleared: DataFrame | None) -> DataFrame:
+    named = content.select("list_id")
+    return (named if cleared is None else named.unionByName(cleared.select("list_id"))).distinct()
+
+
+def replace_preview(items: DataFrame, content: DataFrame, cleared: DataFrame | None = None) -> DataFrame:
     """What is lost and what comes, place by place."""
-    edited = content.select("list_id").distinct()
+    edited = _edited(content, cleared)
     old = items.join(edited, "list_id", "left_semi").withColumnRenamed("uri", "old_uri")
     new = content.withColumnRenamed("uri", "new_uri")
     return old.join(new, ["list_id", "position"], "full_outer").select("list_id", "position", "old_uri", "new_uri")
 
 
-def reorder(items: DataFrame, moves: DataFrame) -> DataFrame:
+def replace_counts(items: DataFrame, content: DataFrame, cleared: DataFrame | None = None) -> DataFrame:
+    """Items that go and items that come, per list that is replaced or emptied."""
+    adding = content.groupBy("list_id").agg(F.count(F.lit(1)).alias("adding"))
+    return (_edited(content, cleared).join(list_sizes(items), "list_id", "left").join(adding, "list_id", "left")
+            .select("list_id", F.coalesce("size", F.lit(0)).alias("removing"), F.coalesce("adding", F.lit(0)).alias("adding")))
+
+
+def reorder(items: DataFrame, moves: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """Move [range_start, range_start + range_length) before index `insert_before`.
 
     `moves` has one row per list.  The new place follows from the old one.
+    With `versions` (list_id, version), moves carry the version they were made on and stale ones are refused.
     """
+    if versions is not None:
+        check_versions(moves, versions)
     p, start, length, to = (F.col(c) for c in ("position", "range_start", "range_length", "insert_before"))
     end = start + length
     inside = (p >= start) & (p < end)
@@ -150,10 +179,14 @@ def moved_items(items: DataFrame, moves: DataFrame) -> DataFrame:
     )
 
 
-def remove(items: DataFrame, removals: DataFrame, *, allowed: bool = False) -> DataFrame:
-    """Drop every occurrence of the given (list_id, uri) and close the gaps.  Off unless allowed."""
+def remove(items: DataFrame, removals: DataFrame, versions: DataFrame, *, allowed: bool = False) -> DataFrame:
+    """Drop every occurrence of the given (list_id, uri, version) and close the gaps.  Off unless allowed.
+
+    `versions` (list_id, version) are the lists' present ones; removals made on another are refused.
+    """
     if not allowed:
         raise EditError("removing list items is disabled; pass allowed=True")
+    check_versions(removals, versions)
     gone = removals.select("list_id", "uri").distinct().withColumn("_gone", F.lit(1))
     marked = items.join(gone, ["list_id", "uri"], "left").select(
         *items.columns, F.coalesce("_gone", F.lit(0)).alias("_gone"), F.floor(F.col("position") / BLOCK).alias("_block")

@@ -61,6 +61,23 @@ def test_replace_and_clear(spark):
     assert (content(out), content(out, 2), content(out, 3)) == ("zz", "xy", "")
 
 
+def test_replace_preview_names_emptied_lists(spark):
+    items, new, empty = make(spark, l1="abc", l2="xy", l3="m"), make(spark, l1="zz", l4="q"), edit(spark, "list_id long", (3,))
+    counts = L.replace_counts(items, new, empty).orderBy("list_id").collect()
+    assert [tuple(r) for r in counts] == [(1, 3, 2), (3, 1, 0), (4, 0, 1)]
+    places = L.replace_preview(items, new, empty).where("list_id = 3").collect()
+    assert [tuple(r) for r in places] == [(3, 0, "app:track:m", None)]
+
+
+def test_reorder_of_a_changed_list_is_refused(spark):
+    moves = edit(spark, "list_id long, range_start long, range_length long, insert_before long, version string", (1, 0, 1, 3, None))
+    now = edit(spark, "list_id long, version string", (1, "v2"))
+    items = make(spark, l1="abc")
+    with pytest.raises(EditError, match="changed since"):
+        L.reorder(items, moves, now)
+    assert content(L.reorder(items, moves.withColumn("version", F.lit("v2")), now)) == "bca"
+
+
 @pytest.mark.parametrize(("start", "length", "to", "want"), [
     (0, 1, 3, "bcadef"), (0, 2, 6, "cdefab"), (4, 2, 0, "efabcd"), (2, 2, 2, "abcdef"), (2, 2, 3, "abcdef"), (2, 2, 4, "abcdef"),
     (5, 9, 0, "fabcde"), (1, 1, 99, "acdefb"), (9, 2, 0, "abcdef"), (3, 1, 1, "adbcef"),
@@ -73,12 +90,16 @@ def test_reorder(spark, start, length, to, want):
 
 def test_remove(spark, monkeypatch):
     items = make(spark, l1="abcabcabdd", l2="aab")
-    gone = edit(spark, "list_id long, uri string", (1, "app:track:a"), (1, "app:track:d"), (1, "app:track:d"))
+    gone = edit(spark, "list_id long, uri string, version string", (1, "app:track:a", "v2"), (1, "app:track:d", "v2"), (1, "app:track:d", "v2"))
+    now = edit(spark, "list_id long, version string", (1, "v2"), (2, "v9"))
     with pytest.raises(EditError, match="disabled"):
-        L.remove(items, gone)
+        L.remove(items, gone, now)
+    for known in (now.withColumn("version", F.lit("v3")), now.where("list_id = 2")):
+        with pytest.raises(EditError, match="list 1: v2 given"):
+            L.remove(items, gone, known, allowed=True)
     for block in (1_000_000, 3, 1):
         monkeypatch.setattr(L, "BLOCK", block)
-        out = L.remove(items, gone, allowed=True)
+        out = L.remove(items, gone, now, allowed=True)
         assert (content(out), content(out, 2)) == ("bcbcb", "aab")
     assert tuple(L.remove_preview(items, gone).first()) == (1, 3, 7)
 
