@@ -191,7 +191,7 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
         fuzzy.fuzzy_ratio(F.col("title_norm"), F.col("stripped_norm")).alias("ratio"))
 
 
-# No SQL form of the ratio: checked against brute force in tests/test_match.py.
+# No SQL form of the ratio: checked against brute force in tests/test_text_match.py.
 AREA.add("res_fuzzy_ratio", similar)
 AREA.add("join_title_fuzzy", lambda s, d: similar(s, d).where(F.col("ratio") >= fuzzy.WEAK_RATIO))
 
@@ -202,16 +202,17 @@ def resolution(spark: SparkSession, sf_dir: str, **options) -> R.Resolution:
 
 RESOLVED_SQL = BEST_SQL + """
 , by_name as (select * from best where rn = 1)
-, rest as (select * from cand c where not exists (select 1 from by_name b where b.artist_norm = c.artist_norm
-    and b.title_norm = c.title_norm) and exists (select 1 from by_name b where b.artist_norm = c.artist_norm))
 , id_scored as (
   select c.artist_norm, c.title_norm, f.track_id, f.release, f.uri, f.artist_id, f.artist_name, f.name,
     case when f.title_norm = c.title_norm then 3 else 2 end as tier
-  from rest c join forms f on f.artist_id = c.verified_id
+  from cand c join forms f on f.artist_id = c.verified_id
   where f.marker is null and c.title_norm in (f.title_norm, f.stripped_norm)
-), by_id as (
-  select *, row_number() over (partition by artist_norm, title_norm order by tier desc, release, track_id) as rn from id_scored
-), found as (select * from by_name union all select * from by_id where rn = 1)
+    and exists (select 1 from by_name b where b.artist_norm = c.artist_norm)
+), either as (
+  select * exclude (rn) from by_name union all select * from id_scored
+), found as (
+  select * from either qualify row_number() over (partition by artist_norm, title_norm order by tier desc, release, track_id) = 1
+)
 , outcome as (
   select c.input_idx, c.artist, c.title, case when f.uri is null then 'unresolved' else 'resolved' end as status,
     f.uri, f.track_id, f.artist_name as matched_artist, f.name as matched_title,
