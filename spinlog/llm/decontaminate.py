@@ -12,6 +12,10 @@ count; an item is found in a document if at least `least` of its windows are the
 Windows with fewer than `literal` tokens that are no placeholders say too little and are left out.
 Null and empty texts, and items without a window, are never found.  Rows with equal doc_id count as one document.
 
+`find` follows this rule, which its SQL states as well.  `find_any`, for cleaning, also takes
+windows of lower-cased tokens in which only numbers and units are placeholders (copies in another case
+share those), and leaves out no more than the windows whose own names conflict.
+
 Only the windows of the benchmark are broadcast, and only below `BROADCAST_ROWS`;
 beyond it the join shuffles, with document windows without a partner left out by
 the join itself.
@@ -98,9 +102,68 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, literal: int =
                     F.when(F.col("changed"), F.lit("changed")).otherwise(F.lit("exact")).alias("kind")))
 
 
+def literal_form(token: Column) -> Column:
+    """The token in lower case, whatever its place; names are no placeholders."""
+    bare = F.lower(F.ltrim(token, F.lit(LEADING)))
+    return F.when(bare.isin(UNITS), F.lit("<unit>")).when(F.ascii(bare).between(48, 57), F.lit("<num>")).otherwise(bare)
+
+
+def windows_both(rows: DataFrame, id_column: str, size: int, literal: int = 0) -> DataFrame:
+    """id, place, raw, named, h: a row per window and form, one if both forms are equal; at least `literal` tokens are no placeholders."""
+    tokens = rows.select(id_column, F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("raw")).filter(F.size("raw") >= size)
+    forms = tokens.select(id_column, "raw", F.transform("raw", lambda t, i: canonical(t, i)).alias("a"), F.transform("raw", literal_form).alias("b"))
+    if literal:
+        said = lambda c, i: F.size(F.filter(F.slice(c, i + 1, size), lambda t: ~t.isin("<num>", "<name>", "<unit>"))) >= literal
+    else:
+        said = lambda c, i: F.lit(True)
+    coded = forms.select(id_column, "raw", "a", "b", *[F.transform(c, lambda t: F.xxhash64(t)).alias(f"{c}_codes") for c in "ab"])
+    places = F.sequence(F.lit(0), F.size("raw") - size)
+    each = F.transform(places, lambda i: F.struct(
+        i.alias("place"), F.slice("raw", i + 1, size).alias("raw"), said("a", i).alias("named"),
+        F.array_distinct(F.array_compact(F.array(*[F.when(said(c, i), F.xxhash64(F.slice(f"{c}_codes", i + 1, size))) for c in "ab"]))).alias("hs")))
+    return coded.select(id_column, F.inline(each).alias("place", "raw", "named", "hs")).select(id_column, "place", "raw", "named", F.explode("hs").alias("h"))
+
+
+def find_any(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, literal: int = LITERAL, least: float = LEAST) -> DataFrame:
+    """doc_id, item_id, n_windows, coverage, kind: all that `find` has, copies in another case, and items only some of whose values changed.
+
+    Numbers and units that are equal in the item may differ in the document (kind "mixed").  A name that stands for
+    several others at an offset takes only those windows out in which it is changed.  Coverage is the larger of that over all
+    windows and that over the windows `find` counts.
+    """
+    items = windows_both(benchmark.select("item_id", "text").filter(F.col("text").isNotNull()), "item_id", size, literal)
+    items = items.withColumn("names", F.transform("raw", lambda t, j: canonical(t, F.col("place") + j) == "<name>"))
+    items = items.select("item_id", F.col("place").alias("item_place"), "h", "named", F.col("raw").alias("item_raw"), "names")
+    of_named = F.when(F.col("named"), F.col("item_place"))
+    totals = items.groupBy("item_id").agg(F.countDistinct("item_place").alias("total"), F.countDistinct(of_named).alias("total_named"))
+    small = items.count() <= BROADCAST_ROWS
+    trim = lambda c: F.lower(F.ltrim(c, F.lit(LEADING)))
+    filled = F.transform(F.arrays_zip(F.col("names").alias("name"), F.col("item_raw").alias("item"), F.col("raw").alias("doc")),
+                         lambda x: F.struct(x["name"].alias("name"), trim(x["item"]).alias("item"), trim(x["doc"]).alias("doc")))
+    found = (windows_both(docs.select("doc_id", "text"), "doc_id", size).drop("named").join(F.broadcast(items) if small else items, "h")
+             .select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("offset"), "item_place", "named", filled.alias("filled")))
+    found = save(found, "shared_any")
+    keys = ["doc_id", "item_id", "offset"]
+    values = (found.select(*keys, F.inline("filled")).groupBy(*keys, "item")
+              .agg(F.max("name").alias("name"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high")
+              .groupBy(*keys).agg(F.collect_set(F.when(F.col("name"), F.col("item"))).alias("torn")))
+    joined = found.alias("l").join(values.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys], "left").select(
+        "l.*", F.coalesce("r.torn", F.array().cast("array<string>")).alias("torn"), F.col("r.torn").isNotNull().alias("mixed"))
+    sound = joined.filter(~F.exists("filled", lambda x: x["name"] & (x["item"] != x["doc"]) & F.array_contains("torn", x["item"])))
+    changed = F.exists("filled", lambda x: x["item"] != x["doc"])
+    return (sound.groupBy("doc_id", "item_id").agg(
+                F.countDistinct("item_place").alias("n_windows"), F.countDistinct(of_named).alias("n_named"),
+                F.max("mixed").alias("mixed"), F.max(changed).alias("changed"))
+            .join(F.broadcast(totals) if small else totals, "item_id")
+            .withColumn("coverage", F.greatest(F.col("n_windows") / F.col("total"), F.when(F.col("total_named") > 0, F.col("n_named") / F.col("total_named"))))
+            .filter(F.col("coverage") >= least)
+            .select("doc_id", "item_id", "n_windows", "coverage",
+                    F.when(F.col("mixed"), F.lit("mixed")).when(F.col("changed"), F.lit("changed")).otherwise(F.lit("exact")).alias("kind")))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` in which no item is found; rows without an id stay."""
-    return docs.join(find(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of `docs` in which no item is found by `find_any`; rows without an id stay."""
+    return docs.join(find_any(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def _sql_canonical(token: str, place: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from spinlog.llm import jaccard, simhash
+from spinlog.llm import decontaminate, jaccard, simhash
 
 
 def five_words(text):
@@ -32,3 +32,12 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == list(enumerate(group))
     fours = [simhash.fingerprint(t) for _, t in rows]
     assert any((fours[i] ^ fours[j]).bit_count() > 4 for i, j in pairs)  # what four bits leave unlinked
+
+
+def test_items_in_another_case_go(spark):
+    item = "a train leaves the town of Zagreb at 40 km per hour and meets Anna Kovac near Split station"
+    rows = [(1, "so " + item.upper()), (2, "so " + item.lower()), (3, "so " + item), (4, "nothing of the kind here"), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "short")], "item_id long, text string")
+    assert {r["doc_id"]: r["kind"] for r in decontaminate.find_any(docs.filter("doc_id > 0"), bench).collect()} == {1: "exact", 2: "exact", 3: "exact"}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {4, None}
