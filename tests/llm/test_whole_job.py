@@ -41,3 +41,13 @@ def test_items_in_another_case_go(spark):
     bench = spark.createDataFrame([(7, item), (8, "short")], "item_id long, text string")
     assert {r["doc_id"]: r["kind"] for r in decontaminate.find_any(docs.filter("doc_id > 0"), bench).collect()} == {1: "exact", 2: "exact", 3: "exact"}
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {4, None}
+
+
+def test_one_changed_value_loses_no_other_window(spark):
+    item = "a train leaves the town of Zagreb at 40 km per hour and after 40 minutes it meets another train near Zagreb station"
+    docs = spark.createDataFrame([(1, "so " + item.replace("at 40", "at 72")), (2, "so " + item.replace("near Zagreb", "near Paris")),
+                                  (3, "so " + item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["kind"], r["coverage"]) for r in decontaminate.find_any(docs, bench).collect()}
+    assert got[1] == ("mixed", 1.0) and got[3] == ("exact", 1.0) and 0.5 < got[2][1] < 1
+    assert decontaminate.clean(docs, bench).count() == 0
