@@ -52,7 +52,15 @@ BRACKETED_AT = re.compile(r"\s{0,3}(?:\[\s?(?:at|@)\s?\]|\(\s?(?:at|@)\s?\)|\{\s
 BRACKETED_DOT = re.compile(r"\s{0,3}(?:\[\s?(?:dot|\.)\s?\]|\(\s?(?:dot|\.)\s?\)|\{\s?(?:dot|\.)\s?\}|<\s?(?:dot|\.)\s?>|_dot_)\s{0,3}", re.I)
 BARE_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])( at |\s@\s?|@\s)(?=[A-Za-z0-9-]{1,63}(?:\s?\.\s?|\s?dot\s?| dot )[A-Za-z0-9])", re.I)
 BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])( dot )(?=[A-Za-z0-9])", re.I)
-HINT = re.compile(r"\b(?:dot|plus)\b|[\[({<_](?:\s?)(?:at|@|dot|\.)|" + rf"\b{SPELLED}[ ,-]{{1,2}}(?:{SPELLED}|[0-9])\b|[0-9][ ,-]{{1,2}}{SPELLED}\b|\s@|@\s", re.I)
+LONE = re.compile(rf"(?<![A-Za-z0-9]){SPELLED}(?=\s?(?:\.|dot )\s?(?:[0-9]|{SPELLED}))|(?<=[0-9.] ){SPELLED}(?![A-Za-z])", re.I)
+AFTER_DOT = re.compile(rf"(?<=[0-9]\.){SPELLED}(?![A-Za-z])", re.I)
+# What each transducer needs, so that most texts are left at once; PLUS needs its own word.
+GATES = [(("@", "at"), BRACKETED_AT), ((".", "dot"), BRACKETED_DOT), (tuple(NUMBERS), RUN), (tuple(NUMBERS), LONE), ((" dot ",), BARE_DOT),
+         (tuple(NUMBERS), AFTER_DOT), ((" at ", "@"), BARE_AT), (("plus",), PLUS)]
+DOTTED = re.compile(r"[A-Za-z0-9-]+((?:\.[A-Za-z0-9-]+)+)")
+# Endings by which a bare "at" before an undisguised dot is told from a missing blank ("at noon.then").
+ENDING = re.compile(r"com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|xyz|online|site|shop|tech|cloud|email|example|test|invalid|localhost"
+                    r"|[a-z]{2}")
 
 
 class Rewritten:
@@ -100,6 +108,14 @@ class Rewritten:
                 stop.append(self.where(end - 1)[1])
         self.text, self.at, self.source, self.copied, self.stop = "".join(out), at, source, copied, stop
 
+    def address(self, i: int) -> bool:
+        """May the domain at `i` follow a bare "at"?  Plain dots alone need a known ending, in one case."""
+        m = DOTTED.match(self.text, i)
+        if m is None or not all(self.copied[bisect_right(self.at, k) - 1] for k in range(m.start(1), m.end()) if self.text[k] == "."):
+            return True
+        last = m[1].rpartition(".")[2]
+        return last in (last.lower(), last.upper()) and ENDING.fullmatch(last.lower()) is not None
+
     def where(self, i: int) -> tuple[int, int]:
         k = bisect_right(self.at, i) - 1
         if self.copied[k]:
@@ -108,10 +124,16 @@ class Rewritten:
         return self.source[k], self.stop[k]
 
 
+def changeable(text: str) -> bool:
+    """Does a transducer match in `text`?  If none does, none changes it."""
+    low = text.lower()
+    return any(pattern.search(text) for words, pattern in GATES if any(w in low for w in words))
+
+
 def rewrite(text: str) -> Rewritten | None:
     """None: there is nothing in `text` that a transducer changes."""
     strange = STRANGE.search(text) is not None
-    if not strange and not HINT.search(text):
+    if not strange and not changeable(text):
         return None
     new = Rewritten(text)
     if strange:
@@ -119,11 +141,10 @@ def rewrite(text: str) -> Rewritten | None:
     new.replace(BRACKETED_AT, lambda m: "@")
     new.replace(BRACKETED_DOT, lambda m: ".")
     new.replace(RUN, lambda m: "".join(NUMBERS.get(w.lower(), w) for w in SPELLED_WORD.findall(m[0])))
-    new.replace(re.compile(rf"(?<![A-Za-z0-9]){SPELLED}(?=\s?(?:\.|dot )\s?(?:[0-9]|{SPELLED}))|(?<=[0-9.] ){SPELLED}(?![A-Za-z])", re.I),
-                lambda m: NUMBERS[m[0].lower()])
+    new.replace(LONE, lambda m: NUMBERS[m[0].lower()])
     new.replace(BARE_DOT, lambda m: ".")
-    new.replace(re.compile(rf"(?<=[0-9]\.){SPELLED}(?![A-Za-z])", re.I), lambda m: NUMBERS[m[0].lower()])
-    new.replace(BARE_AT, lambda m: "@")
+    new.replace(AFTER_DOT, lambda m: NUMBERS[m[0].lower()])
+    new.replace(BARE_AT, lambda m: "@" if m[0].lower() != " at " or new.address(m.end()) else None)
     new.replace(PLUS, lambda m: "+")
     return None if new.text == text else new
 

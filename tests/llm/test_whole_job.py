@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from spinlog.llm import decontaminate, jaccard, simhash
+from spinlog.llm import decontaminate, jaccard, pii, simhash
 
 
 def five_words(text):
@@ -51,3 +51,17 @@ def test_one_changed_value_loses_no_other_window(spark):
     got = {r["doc_id"]: (r["kind"], r["coverage"]) for r in decontaminate.find_any(docs, bench).collect()}
     assert got[1] == ("mixed", 1.0) and got[3] == ("exact", 1.0) and 0.5 < got[2][1] < 1
     assert decontaminate.clean(docs, bench).count() == 0
+
+
+def test_disguises_do_not_need_a_hint_elsewhere(monkeypatch):
+    for text, span in [("write to joe at example.com today", "joe at example.com"), ("host one.one.one.one up", "one.one.one.one"),
+                       ("host 192.168.one.five up", "192.168.one.five"), ("host 10.0.0.one up", "10.0.0.one")]:
+        (_, begin, end), = pii.all_spans(text)[1]
+        assert text[begin:end] == span
+    assert pii.all_spans("meet at noon.then go, plus a dot") == ([], [])
+    rng = random.Random(12)
+    bits = ["joe", " at ", "example", ".com", ".", " dot ", "dot", "@", " ", "[at]", "(dot)", "_at_", "one", "five", "192", "10", "0", "plus ", "+", "-", ", ", "noon.then"]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    gated = [pii.all_spans(t) for t in made]
+    monkeypatch.setattr(pii, "changeable", lambda text: True)
+    assert gated == [pii.all_spans(t) for t in made]
