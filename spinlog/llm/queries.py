@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinlog.llm import bitplane, decontaminate, license, pii, quality, repeats, sentencepiece_sa, simhash, topk, toxicity
+from spinlog.llm import (
+    bitplane, decontaminate, filter_audit, katz, license, pii, quality, repeats, sentencepiece_sa, simhash, spelling, topk, toxicity,
+)
 from spinlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +76,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz log probability of every text, and that of counted words with one added."""
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes in each order of the five, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, the near word each leads to, and the last one on that way."""
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bitplane": op1_bitplane,
     "op2_decontaminate": op2_decontaminate,
@@ -85,5 +102,8 @@ QUERIES: dict[str, Query] = {
     "op8_topk": op8_topk,
     "op9_license": op9_license,
     "op10_toxicity": op10_toxicity,
+    "op11_katz": op11_katz,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling": op13_spelling,
 }
-ORACLE: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op8_topk": OP8_SQL}
+ORACLE: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op8_topk": OP8_SQL, "op12_filter_audit": filter_audit.ORACLE}
