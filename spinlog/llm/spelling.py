@@ -84,10 +84,10 @@ def _node(back: Column, prefix: Column) -> Column:
 def trie(vocabulary: DataFrame) -> DataFrame:
     """node, kids: array of (sym, child, next, ends), for both tries; at most one child per letter of the alphabet.
 
-    Words beyond `LONG` letters need no reversed trie.
+    The reversed trie holds what a word of `LONG` letters can reach.
     """
     both = vocabulary.select(F.lit(False).alias("back"), F.col("word").alias("w")).union(
-        vocabulary.filter(F.length("word") <= LONG).select(F.lit(True), F.reverse("word")))
+        vocabulary.filter(F.length("word") <= LONG + 1).select(F.lit(True), F.reverse("word")))
     steps = both.select("back", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("d"))
     edges = steps.select(
         _node(F.col("back"), F.expr("substring(w, 1, d - 1)")).alias("node"), F.expr("substring(w, d, 1)").alias("sym"),
