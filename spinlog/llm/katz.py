@@ -210,7 +210,10 @@ def own_words(cut: DataFrame, parts: int) -> DataFrame:
 
 
 def _runs(ordered: np.ndarray) -> tuple[list[int], list[slice]]:
-    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, int)
+    """The values of a sorted array and where each stands."""
+    if not len(ordered):
+        return [], []
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     ends = np.append(heads[1:], len(ordered))
     return ordered[heads].tolist(), [slice(a, b) for a, b in zip(heads.tolist(), ends.tolist(), strict=True)]
 
