@@ -1,10 +1,10 @@
 """Spelling variants: words one edit apart, found by a relational trie frontier, and the form each one leads to.
 
 All words of the corpus stand in two tries, one over the words and one over the
-reversed words.  A node is the hash of its prefix; the edge table has a row per
-node with its children, the letters that follow each child and whether a word ends there.
+reversed words.  A node is the hash of its prefix; the edge table has a row for each child of a node, with
+the letters that follow the child and whether a word ends there, and is stored by level.
 The frontier holds states (word, position, node, edits).  One level joins it with
-the edge table on the node: a state without an edit goes on by the word's own letter, and spawns
+its edges on the node, so each edge is read once: a state without an edit goes on by the word's own letter, and spawns
 a state with one edit for each child that replaces that letter or stands before it; a state
 with one edit goes on by the word's own letter only, or ends.  States whose next letter does not
 follow their node are dropped before the next shuffle.  A one-edit state at the end of its word, on a node where a
@@ -33,19 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spinlog.llm.common import save
+from spinlog.llm.common import save, scratch
 
 RUNS = re.compile("[A-Za-zÀ-ÿ]+")
 MIN_LENGTH, MIN_COUNT, RATIO = 5, 3, 2
 LONG = 64
-FOLD_AT = 200_000  # distinct words a task holds before it sends them on
-_SMALL = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_PAIR = "w string, n long, pos int, node long, edits int"
+FOLD_AT = 500_000  # distinct words a task holds before it sends them on
 
 
-def torn(doc_id: int | None, run: str) -> str:
+def torn(run: str, h: int) -> str:
     """The run, without one letter if its hash says so."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
     if h % 97:
         return run
     at = h % len(run)
@@ -61,10 +58,13 @@ def words(docs: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
+        crc = zlib.crc32
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for run, n in Counter(RUNS.findall((text or "").translate(_SMALL))).items():
-                    word = torn(doc_id, run)
+                start = crc(f"{'' if doc_id is None else doc_id}:".encode())
+                small = (text or b"").lower().decode()  # of bytes: A-Z only
+                for run, n in Counter(RUNS.findall(small)).items():
+                    word = torn(run, crc(run.encode(), start))
                     if len(word) >= MIN_LENGTH:
                         held[word] += n
                 if len(held) >= FOLD_AT:
@@ -73,34 +73,48 @@ def words(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(counted, "word string, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    return read.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
 
 
 def _node(back: Column, prefix: Column) -> Column:
     return F.xxhash64(back, prefix)
 
 
+def _level(depth: Column) -> Column:
+    """Depths beyond `LONG` share levels: only starts of long words stand there, each of which walks less than `LONG`/2 levels."""
+    return F.when(depth <= LONG, depth).otherwise(LONG + 1 + depth % (LONG // 2)).cast("int")
+
+
+def _by_level(df: DataFrame, label: str) -> DataFrame:
+    path = scratch(df.sparkSession, label)
+    df.write.partitionBy("level").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def trie(vocabulary: DataFrame) -> DataFrame:
-    """node, kids: array of (sym, child, next, ends), for both tries; at most one child per letter of the alphabet.
+    """The edges of both tries, by level: node, sym, child, next (the letters that follow the child), ends (whether a word ends there).
 
+    A word's edges above the half where states of its own length, or of one letter less, start are left out.
     The reversed trie holds what a word of `LONG` letters can reach.
     """
-    both = vocabulary.select(F.lit(False).alias("back"), F.col("word").alias("w")).union(
-        vocabulary.filter(F.length("word") <= LONG + 1).select(F.lit(True), F.reverse("word")))
-    steps = both.select("back", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("d"))
+    shorter = F.length("word") - 1
+    first = F.when(F.length("word") > LONG, 0).otherwise(F.expr("(length(word) - 1) div 2"))
+    both = vocabulary.select(F.lit(False).alias("back"), F.col("word").alias("w"), first.alias("first")).union(
+        vocabulary.filter(F.length("word") <= LONG + 1).select(F.lit(True), F.reverse("word"), shorter - F.expr("(length(word) - 1) div 2")))
+    steps = both.select("back", "w", F.explode(F.sequence("first", F.length("w") - 1)).alias("d"))
     edges = steps.select(
-        _node(F.col("back"), F.expr("substring(w, 1, d - 1)")).alias("node"), F.expr("substring(w, d, 1)").alias("sym"),
-        _node(F.col("back"), F.expr("substring(w, 1, d)")).alias("child"), (F.col("d") == F.length("w")).alias("ends"),
-    ).groupBy("node", "sym", "child").agg(F.max("ends").alias("ends"))
+        _node(F.col("back"), F.expr("substring(w, 1, d)")).alias("node"), F.expr("substring(w, d + 1, 1)").alias("sym"),
+        _node(F.col("back"), F.expr("substring(w, 1, d + 1)")).alias("child"), _level(F.col("d")).alias("level"),
+        (F.col("d") + 1 == F.length("w")).alias("ends"),
+    ).groupBy("node", "sym", "child", "level").agg(F.max("ends").alias("ends"))
     edges = save(edges, "edges")
     following = edges.groupBy(F.col("node").alias("child")).agg(F.concat_ws("", F.collect_set("sym")).alias("next"))
-    kid = F.struct("sym", "child", F.coalesce("next", F.lit("")).alias("next"), "ends")
-    return edges.join(following, "child", "left").groupBy("node").agg(F.collect_list(kid).alias("kids"))
+    return edges.join(following, "child", "left").select("node", "sym", "child", F.coalesce("next", F.lit("")).alias("next"), "ends", "level")
 
 
 def _starts(vocabulary: DataFrame) -> DataFrame:
-    """States without an edit: w, n, back, pos, stop (a start walks up to here), node."""
+    """States without an edit, by level: w, n, back, pos, stop (a start walks up to here), node."""
     half = F.expr("length(word) div 2")
     short, long = vocabulary.filter(F.length("word") <= LONG), vocabulary.filter(F.length("word") > LONG)
     forth = short.select(F.col("word").alias("w"), "n", F.lit(False).alias("back"), half.alias("pos"), F.length("word").alias("stop"))
@@ -110,57 +124,50 @@ def _starts(vocabulary: DataFrame) -> DataFrame:
     cut = cut.withColumn("stop", F.least(F.col("pos") + LONG // 2 - 1, F.length("w")))
     every = forth.union(back).union(cut)
     return every.select("w", "n", "back", F.col("pos").cast("int"), F.col("stop").cast("int"),
-                        _node(F.col("back"), F.expr("substring(w, 1, pos)")).alias("node"), F.lit(0).alias("edits"),
-                        F.lit(None).cast("string").alias("whole"))
+                        _node(F.col("back"), F.expr("substring(w, 1, pos)")).alias("node"), F.lit(0).alias("edits"), _level(F.col("pos")).alias("level"))
 
 
-def _level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states one level further, ended ones included; `whole` is the new word of a long one."""
-    own = F.expr("substring(w, pos + 1, 1)")
-    goes_on = F.col("pos") < F.length("w")
+def _step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """The states one edge further, ended ones included; `whole` is the new word of a long one."""
+    size, own = F.length("w"), F.expr("substring(w, pos + 1, 1)")
+    long, clean, inside = size > LONG, F.col("edits") == 0, F.col("pos") < size
+    # A letter is not put in before itself, and the place between the halves belongs to the forward trie.
     before = F.when(F.col("back"), F.expr("if(pos > 0, substring(w, pos, 1), '')")).otherwise(own)
-    long = F.length("w") > LONG
-
-    def state(kid: Column, pos: Column, edits: int, whole: Column) -> Column:
-        return F.struct(pos.cast("int").alias("pos"), F.lit(edits).alias("edits"), kid.child.alias("node"),
-                        kid.next.alias("next"), kid.ends.alias("ends"), whole.alias("whole"))
-
-    none = F.lit(None).cast("string")
-    untouched = F.when((F.col("edits") == 0) & goes_on & (F.col("pos") < F.col("stop")), F.transform(
-        F.filter("kids", lambda k: k.sym == own), lambda k: state(k, F.col("pos") + 1, 0, none)))
-    replaced = F.when((F.col("edits") == 0) & goes_on, F.transform(
-        F.filter("kids", lambda k: k.sym > own),
-        lambda k: state(k, F.col("pos") + 1, 1, F.when(long, F.concat(F.expr("substring(w, 1, pos)"), k.sym, F.expr("substring(w, pos + 2)"))))))
-    # The place between the halves belongs to the forward trie.
     open_place = ~F.col("back") | (F.col("pos") > F.expr("length(w) - length(w) div 2"))
-    put_in = F.when((F.col("edits") == 0) & open_place, F.transform(
-        F.filter("kids", lambda k: k.sym != before),
-        lambda k: state(k, F.col("pos") + 0, 1, F.when(long, F.concat(F.expr("substring(w, 1, pos)"), k.sym, F.expr("substring(w, pos + 1)"))))))
-    followed = F.when((F.col("edits") == 1) & goes_on, F.transform(
-        F.filter("kids", lambda k: k.sym == own), lambda k: state(k, F.col("pos") + 1, 1, none)))
-    kind = "array<struct<pos:int,edits:int,node:bigint,next:string,ends:boolean,whole:string>>"
-    nothing = F.array().cast(kind)
-    steps = F.concat(*[F.coalesce(x, nothing) for x in (untouched, replaced, put_in, followed)])
-    moved = (frontier.join(edges, "node")
-             .select("w", "n", "back", "stop", F.explode(steps).alias("s"))
-             .select("w", "n", "back", "stop", "s.*"))
-    rest = F.expr("substring(w, pos + 1, 1)")
-    alive = (F.when(F.col("whole").isNotNull(), True)
-             .when(F.col("edits") == 0, F.col("next") != "")
-             .when(F.col("pos") == F.length("w"), F.col("ends"))
-             .otherwise(F.contains(F.col("next"), rest)))
-    done = F.col("whole").isNotNull() | ((F.col("edits") == 1) & (F.col("pos") == F.length("w")))
-    return moved.filter(alive).select("w", "n", "back", "stop", "pos", "edits", "node", "whole", done.alias("done"))
+
+    def goes_on(pos: Column) -> Column:
+        return long | F.when(pos == size, F.col("ends")).otherwise(F.contains(F.col("next"), F.substring("w", pos + 1, F.lit(1))))
+
+    kept = clean & inside & (F.col("sym") == own) & (F.col("pos") < F.col("stop")) & (F.col("next") != "")
+    replaced = clean & inside & (F.col("sym") > own) & goes_on(F.col("pos") + 1)
+    followed = ~clean & inside & (F.col("sym") == own) & goes_on(F.col("pos") + 1)
+    put_in = clean & open_place & (F.col("sym") != before) & goes_on(F.col("pos"))
+    moved = (frontier.join(edges.drop("level"), "node").filter(kept | replaced | followed | put_in)
+             .select("*", F.explode(F.array(F.when(kept | replaced | followed, F.col("pos") + 1), F.when(put_in, F.col("pos")))).alias("to"))
+             .filter("to is not null"))
+    edited = ~clean | (F.col("to") == F.col("pos")) | (F.col("sym") != own)
+    head, tail = F.expr("substring(w, 1, pos)"), F.substring("w", F.col("to") + 1, size)
+    return moved.select(
+        "w", "n", "back", F.col("to").alias("pos"), "stop", F.col("child").alias("node"), edited.cast("int").alias("edits"),
+        F.when(long & edited, F.concat(head, "sym", tail)).alias("whole"), (edited & (long | (F.col("to") == size))).alias("done"))
 
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:
     """word, n, near, near_n: both directions of every pair of words one edit apart."""
-    edges = save(trie(vocabulary), "trie")
-    frontier, ended = save(_starts(vocabulary), "starts"), []
-    while not frontier.isEmpty():
-        moved = save(_level(frontier, edges), "frontier")
-        ended.append(moved.filter("done"))
-        frontier = moved.filter("not done").drop("done")
+    edges, starts = _by_level(trie(vocabulary), "trie"), _by_level(_starts(vocabulary), "starts")
+    begun = {r["level"] for r in starts.select("level").distinct().collect()}  # at most 1.5 `LONG` levels
+    ended, waiting = [], None
+    for level in range(LONG + 1 + LONG // 2):
+        frontier = starts.filter(F.col("level") == level).drop("level") if level in begun else None
+        # What walks on from depth `LONG` passes over the level where later starts begin.
+        if waiting is not None and level != LONG + 1:
+            frontier, waiting = waiting if frontier is None else frontier.unionByName(waiting), None
+        if frontier is not None:
+            moved = save(_step(frontier, edges.filter(F.col("level") == level)), "frontier")
+            ended.append(moved.filter("done"))
+            on = moved.filter("not done").drop("done", "whole")
+            if not on.isEmpty():
+                waiting = on if waiting is None else waiting.unionByName(on)
     if not ended:
         return vocabulary.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
     states = ended[0]

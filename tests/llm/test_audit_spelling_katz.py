@@ -117,11 +117,12 @@ def test_spelling_against_all_gaps(spark, monkeypatch):
     assert grouped(spelling.group(frame(spark, rows))) == want
 
 
-def test_spelling_on_a_table_and_on_nothing(spark):
+def test_spelling_on_a_table_and_on_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert grouped(spelling.group(docs)) == brute_groups([(r.doc_id, r.text) for r in docs.collect()])
     assert grouped(spelling.group(frame(spark, AWKWARD).limit(0))) == []
     assert grouped(spelling.group(frame(spark, [(1, "once"), (2, None)]))) == []
+    monkeypatch.setattr(spelling, "LONG", 16)
     long = "q" * 300
     rows = [(i, f"{long} {long}z {long} {long}z x{long}") for i in range(1, 9)]
     assert grouped(spelling.group(frame(spark, rows))) == brute_groups(rows)
