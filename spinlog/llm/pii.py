@@ -16,6 +16,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -141,9 +142,9 @@ def rewrite(text: str) -> Rewritten | None:
     new.replace(BRACKETED_AT, lambda m: "@")
     new.replace(BRACKETED_DOT, lambda m: ".")
     new.replace(RUN, lambda m: "".join(NUMBERS.get(w.lower(), w) for w in SPELLED_WORD.findall(m[0])))
-    new.replace(LONE, lambda m: NUMBERS[m[0].lower()])
+    new.replace(LONE, lambda m: NUMBERS.get(m[0].lower()))
     new.replace(BARE_DOT, lambda m: ".")
-    new.replace(AFTER_DOT, lambda m: NUMBERS[m[0].lower()])
+    new.replace(AFTER_DOT, lambda m: NUMBERS.get(m[0].lower()))
     new.replace(BARE_AT, lambda m: "@" if m[0].lower() != " at " or new.address(m.end()) else None)
     new.replace(PLUS, lambda m: "+")
     return None if new.text == text else new
@@ -191,10 +192,12 @@ def all_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[
     new = rewrite(text)
     if new is None:
         return base, base
+    starts, reach = [b for _, b, _ in base], list(accumulate((e for _, _, e in base), max))
     added = set()
     for kind, begin, end in detect(new.text):
         begin, end = new.where(begin)[0], new.where(end - 1)[1]
-        if not any(b <= begin and end <= e for _, b, e in base):
+        before = bisect_right(starts, begin)
+        if not before or reach[before - 1] < end:  # no base span holds it
             added.add((kind, begin, end))
     return base, ordered([*base, *added])
 
