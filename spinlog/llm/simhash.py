@@ -55,15 +55,17 @@ def fingerprint(text: str | None, n_words: int = WORDS) -> int:
     return value
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the long columns `also`."""
 
     def hashed(batches):
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), *map(batch.column, also)],
+                                             names=["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    ddl = ", ".join(f"{c} long" for c in ("doc_id", "fp", *also))
+    return docs.select(F.col("doc_id").cast("long"), "text", *also).mapInArrow(hashed, ddl)
 
 
 def anchors(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,11 +185,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near duplicates: of each component the document of the smallest id stays.
+    """The rows of `docs` without near duplicates: of each component the row of the smallest id stays.
 
-    Rows that repeat the id of a document that stays go as well; rows without an id stay.
+    Rows are told apart by id and text, so rows of one id whose texts are unlike all stay, each for its component.  A
+    row without an id stays only if its component has none with one.  Of rows that repeat id and text one stays.
     """
-    found = near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    digest = F.xxhash64("text")
+    hashed = save(fingerprints(docs.select("doc_id", "text", digest.alias("_digest")), "_digest"), "fingerprints")
+    labels = components(links(save(hashed.select("fp").distinct(), "distinct")))
+    rooted = hashed.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_digest"))
+    kept = rooted.groupBy("root").agg(best.alias("best")).select(F.struct("best.doc_id", "best._digest").alias("_row"))
+    # Null ids are equal inside a struct, and both steps below share its partitioning.
+    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("_digest"))
+    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
