@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spinlog.llm import decontaminate, jaccard, pii, sentencepiece_sa, toxicity
+from spinlog.llm import decontaminate, pii, sentencepiece_sa, simhash, toxicity
 from spinlog.llm.common import save, table
 from spinlog.llm.queries import PIECE_BPE
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays; links are pairs with a five-word Jaccard similarity of 0.8 or more."""
-    return jaccard.keep_one(docs)
+    """One document of each component stays; fingerprints of four-word shingles are linked at 4 or fewer differing bits."""
+    return simhash.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
