@@ -225,6 +225,43 @@ select run_id, files as files_ingested, cast(coalesce(lag(files) over (order by
 union all select 3, 0, cast(sum(files) as integer), 0, '', 'ok' from n""")
 
 
+# Records by batch: copies of two months come second, the last years third.
+BATCH = """case when substring(get_json_object(payload, '$.ts'), 1, 7) in ('1997-03', '1997-04') and k0 >= 2000000000000 then 2
+  when substring(get_json_object(payload, '$.ts'), 1, 4) >= '2000' then 3 else 1 end"""
+BATCHES_CTE = RECORDS_CTE + """
+, dealt as (select *, cast(date_trunc('month', ts_utc) as date) as utc_month,
+    case when strftime(ts_utc, '%Y-%m') in ('1997-03', '1997-04') and k0 >= 2000000000000 then 2
+      when extract(year from ts_utc) >= 2000 then 3 else 1 end as batch from first_)
+"""
+
+
+def month_store(spark: SparkSession, sf_dir: str) -> HistoryStore:
+    """Three runs whose files touch most months, two of them again, and the last ones."""
+    store, exported = HistoryStore(spark, work_dir(spark, "store")), work_dir(spark, "export")
+    for batch in (1, 2, 3):
+        text = export_files(spark, sf_dir, f"{BATCH} = {batch}").select(F.decode("content", "UTF-8").alias("value"))
+        text.write.mode("append").option("maxRecordsPerFile", 1).text(exported)
+        ingest(store, exported, fmt=FMT, local_timezone=ZONE, pattern="*.txt")
+    return store
+
+
+def month_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which run wrote each month last, and its rows."""
+    store = month_store(spark, sf_dir)
+    runs = store.runs().select(F.col("attempt").alias("version"), "run_id")
+    months = store.months(store.last()["plays_version"]).groupBy("utc_month", "version").agg(F.sum("rows").alias("rows"))
+    stored = store.stored_plays(store.last()["plays_version"]).groupBy("utc_month").agg(F.count(F.lit(1)).alias("stored"))
+    return months.join(F.broadcast(runs), "version").join(stored, "utc_month").select("utc_month", "run_id", "rows", "stored")
+
+
+AREA.add("sink_month_rebuild", month_versions, BATCHES_CTE + """
+select utc_month, cast(max(batch) as bigint) as run_id, count(*) filter (where rn = 1) as rows,
+  count(*) filter (where rn = 1) as stored from dealt group by utc_month""")
+AREA.add("plays_play_id_batches",
+         lambda s, d: month_store(s, d).plays().select("play_id", "ts_utc", "track_uri", "played_month"), RECORDS_CTE + """
+select row_number() over (order by ts_utc, track_uri nulls last) as play_id, ts_utc, track_uri, played_month from norm""")
+
+
 def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = export_files(spark, sf_dir)
     hashes = export.file_hashes(files)

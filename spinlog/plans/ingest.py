@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinlog.errors import IngestError
-from spinlog.operators.plays import normalize
+from spinlog.operators.plays import drop_repeats, normalize
 from spinlog.schema import SKIP_MS, SUBSTANTIAL_MS, ExportFormat
+from spinlog.session import materialize
 from spinlog.sources import export
-from spinlog.sources.store import HistoryStore, new_attempt, utc_now
+from spinlog.sources.store import SOURCE_ORDER, HistoryStore, new_attempt, utc_now, with_utc_month
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,10 @@ def ingest(
     substantial_ms: int = SUBSTANTIAL_MS,
     pattern: str = "*.json",
 ) -> IngestReport:
-    """Takes in the files not seen before and rebuilds the fact table.
+    """Takes in the files not seen before and rebuilds the months of the fact table that they touch.
 
-    Without new files, and with the settings of the last run, the fact table
-    stays as it is: the run only adds its row.
+    With other settings than the last run's all months are built anew from the verbatim records.  Without
+    new files, and with the same settings, the fact table stays as it is: the run only adds its row.
     """
     fmt = fmt or ExportFormat()
     spark = store.spark
@@ -76,11 +77,15 @@ def ingest(
         # Field names are a vocabulary, not data: all of them stand in the run row.
         fields = sorted(r["field"] for r in export.unknown_fields(raw).collect())
 
-    if n_new or last is None or last["settings"] != settings:
-        order = ["source_file", "source_index", "ingest_run_id"]
+    anew = last is None or last["settings"] != settings
+    if anew:
         raw_plays = store.raw_plays(also=(run, attempt) if n_new else None)
         plays = normalize(raw_plays, fmt, local_timezone, skip_ms_threshold, substantial_ms)
-        version, total_plays = attempt, store.write_plays(plays, order, attempt)
+        version, total_plays = attempt, store.write_plays(plays, attempt)
+    elif n_new:
+        fresh = normalize(store.raw_of(run, attempt), fmt, local_timezone, skip_ms_threshold, substantial_ms)
+        version = attempt
+        total_plays = store.write_plays(merge_months(store, fresh, last["plays_version"]), attempt, last["plays_version"])
     else:
         version, total_plays = last["plays_version"], last["total_plays"]
 
@@ -104,6 +109,18 @@ def ingest(
     return IngestReport(run, n_new, total - n_new, rows, fields, total_plays)
 
 
+def merge_months(store: HistoryStore, fresh: DataFrame, version: str) -> DataFrame:
+    """All plays of the months that `fresh` touches: its own and those stored, each play once.
+
+    Which of two copies stays is decided by the order of their sources, which is stored with each row,
+    so the stored winner of earlier copies is as good as all of them.
+    """
+    fresh = materialize(with_utc_month(fresh), "fresh")
+    touched = [r["utc_month"] for r in fresh.select("utc_month").distinct().collect()]  # months of the DATE type at most
+    stored = store.stored_plays(version, touched).select(*fresh.columns)
+    return drop_repeats(stored.unionByName(fresh), SOURCE_ORDER)
+
+
 def report_frame(hashes: DataFrame, ingested: DataFrame, checked: DataFrame) -> DataFrame:
     """The counts of a run as one row, from the steps above."""
     new = export.new_files(hashes, ingested)

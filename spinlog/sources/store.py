@@ -2,14 +2,18 @@
 
     raw_plays/ingest_run_id=N/attempt=A        verbatim records of run N
     ingested_files/ingest_run_id=N/attempt=A
-    plays/version=A              fact rows, by month, with their place in the id order
-    play_parts/version=A         rows before each part (one small row per task)
+    plays/version=A/utc_month=M  fact rows of the months that attempt A wrote, with their place in the id order
+    play_months/version=A        which version of each month is live as of A, with the rows of each of its parts
     ingest_runs                  one row per finished run, written last
 
 Each attempt at a run has a name of its own, so nothing is ever overwritten: a
 run that fails leaves folders no reader looks at, because their name is not in
-`ingest_runs`.  A run without new files writes its row only and names the
-fact rows of an earlier one.  One writer at a time.
+`ingest_runs`.  A run writes the months its new records fall into, and a list of
+months that takes all others from the runs before; its row makes both visible at once, so a reader sees
+all months as they were or as they are.  A run without new files writes its row only.  One writer at a time.
+
+Months are those of `ts_utc`: copies of a play share it, so they meet in one month, and
+months follow each other in the order of ids whatever the zone does to local time.
 """
 
 from __future__ import annotations
@@ -21,18 +25,26 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from spinlog.operators.numbering import number_placed, part_offsets, place_in_order
+from spinlog.operators.numbering import place_in_order
 from spinlog.operators.plays import select_plays
 from spinlog.operators.predicates import PARTITION
 from spinlog.plans.views import VIEWS, publish_views
 from spinlog.schema import INGEST_RUNS, INGESTED_FILES, PLAYS, RAW_PLAYS
 
-_PLACED = T.StructType(
+SOURCE_ORDER = ["source_file", "source_index", "ingest_run_id"]
+_SOURCED = T.StructType(
     [f for f in PLAYS if f.name != "play_id"]
-    + [T.StructField("_part", T.IntegerType()), T.StructField("_pos", T.LongType())]
+    + [T.StructField("source_file", T.StringType()), T.StructField("source_index", T.LongType()),
+       T.StructField("ingest_run_id", T.LongType()), T.StructField("utc_month", T.DateType())]
+)
+_PLACED = T.StructType([*_SOURCED, T.StructField("_part", T.IntegerType()), T.StructField("_pos", T.LongType())])
+_STORED = T.StructType([*_PLACED, T.StructField("version", T.StringType())])
+_MONTHS = T.StructType(
+    [T.StructField("utc_month", T.DateType()), T.StructField("version", T.StringType()), T.StructField("_part", T.IntegerType()),
+     T.StructField("_first", T.LongType()), T.StructField("rows", T.LongType())]
 )
-_PARTS = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())])
 
 
 def utc_now() -> dt.datetime:
@@ -43,6 +55,10 @@ def new_attempt() -> str:
     return f"a{uuid.uuid4().hex}"
 
 
+def with_utc_month(plays: DataFrame) -> DataFrame:
+    return plays.withColumn("utc_month", F.trunc("ts_utc", "month"))
+
+
 def _folder(run: int, attempt: str) -> str:
     return f"ingest_run_id={run}/attempt={attempt}"
 
@@ -95,15 +111,39 @@ class HistoryStore:
         """Verbatim records of all finished runs, and of the unfinished one `also` (number, attempt)."""
         return self._read("raw_plays", RAW_PLAYS, self._finished() + ([_folder(*also)] if also else []))
 
+    def raw_of(self, run: int, attempt: str) -> DataFrame:
+        return self._read("raw_plays", RAW_PLAYS, [_folder(run, attempt)])
+
+    def months(self, version: str) -> DataFrame:
+        """The live parts of a version: one row per month and task that wrote it."""
+        return self.spark.read.schema(_MONTHS).parquet(self.path("play_months", f"version={version}"))
+
+    def stored_plays(self, version: str, only: list[dt.date] | None = None) -> DataFrame:
+        """Fact rows as they are stored, of all live months or of some."""
+        live = self.months(version).select("version", "utc_month").distinct()
+        if only is not None:
+            live = live.where(F.col("utc_month").isin(only))
+        folders = [f"version={r['version']}/utc_month={r['utc_month']}" for r in live.collect()]  # one per month at most
+        return self._read("plays", _STORED, sorted(folders))
+
     def plays(self) -> DataFrame | None:
-        """The fact table of the last finished run, or None without one."""
+        """The fact table of the last finished run, or None without one.
+
+        `play_id` is the place in the order of all rows: the rows of earlier months and parts, and the place in
+        the row's own part.  Offsets are unique by part, so the optimizer drops their join where no id is asked for.
+        """
         last = self.last()
         if last is None:
             return None
         version = last["plays_version"]
-        placed = self.spark.read.schema(_PLACED).parquet(self.path("plays", f"version={version}"))
-        parts = self.spark.read.schema(_PARTS).parquet(self.path("play_parts", f"version={version}"))
-        plays = select_plays(number_placed(placed, parts, "play_id"))
+        earlier = Window.orderBy("utc_month", "_part").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("rows").over(earlier), F.lit(0))
+        offsets = (
+            self.months(version).withColumn("_shift", before - F.col("_first"))
+            .groupBy("version", "utc_month", "_part").agg(F.max("_shift").alias("_shift"))
+        )
+        placed = self.stored_plays(version).join(F.broadcast(offsets), ["version", "utc_month", "_part"], "left")
+        plays = select_plays(placed.withColumn("play_id", F.col("_shift") + F.col("_pos") + 1))
         note = {**plays.schema["played_month"].metadata, PARTITION: True}
         return plays.withMetadata("played_month", note)
 
@@ -137,20 +177,22 @@ class HistoryStore:
         stamped.write.parquet(target)
         return self.spark.read.schema(stamped.schema).parquet(target)
 
-    def write_plays(self, plays: DataFrame, tie_break: list[str], version: str) -> int:
-        """Sorted once, written once; the id is the place in that order.  Returns the row count."""
-        order = [F.col(c).asc_nulls_last() for c in ("ts_utc", "track_uri", *tie_break)]
+    def write_plays(self, plays: DataFrame, version: str, since: str | None = None) -> int:
+        """Sorted once, written once, by month; months not in `plays` stay as of version `since`.  Returns all rows."""
+        order = [F.col(c).asc_nulls_last() for c in ("ts_utc", "track_uri", *SOURCE_ORDER)]
         target = self.path("plays", f"version={version}")
-        placed = place_in_order(plays, order).select(
+        placed = place_in_order(with_utc_month(plays), order).select(
             *[F.col(f.name).cast(f.dataType) for f in _PLACED]
         )
-        placed.write.partitionBy("played_month").parquet(target)
-        stored = self.spark.read.schema(_PLACED).parquet(target)
-        parts_path = self.path("play_parts", f"version={version}")
-        part_offsets(stored).select(F.col("_part"), F.col("_before").cast("bigint")).coalesce(1).write.parquet(
-            parts_path
-        )
-        return stored.count()
+        placed.write.partitionBy("utc_month", "played_month").parquet(target)
+        months = self.spark.read.schema(_PLACED).parquet(target).groupBy("utc_month", "_part").agg(
+            F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("rows"))
+        months = months.select("utc_month", F.lit(version).alias("version"), "_part", "_first", "rows")
+        if since is not None:
+            kept = self.months(since).join(F.broadcast(months.select("utc_month").distinct()), "utc_month", "left_anti")
+            months = kept.select(*_MONTHS.names).unionByName(months)
+        months.coalesce(1).write.parquet(self.path("play_months", f"version={version}"))
+        return self.months(version).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
 
     def finish_run(self, row: dict) -> None:
         """The commit: readers see the run from here on."""

@@ -94,9 +94,9 @@ def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_file, content): each block of 500 keys rendered as one JSON array."""
-    per_file = export_records(spark, sf_dir).groupBy("file_no").agg(
+def export_files(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """(source_file, content): each block of 500 keys rendered as one JSON array, of the records `where` holds for."""
+    per_file = export_records(spark, sf_dir).where(where).groupBy("file_no").agg(
         F.sort_array(F.collect_list(F.struct("k0", "payload"))).alias("r")
     )
     text = F.concat(F.lit("["), F.array_join("r.payload", ",\n"), F.lit("]"))

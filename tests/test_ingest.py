@@ -274,3 +274,74 @@ def test_broken_files_are_found(spark, tmp_path):
     (tmp_path / "good.json").write_text('[{"a": 1}]')
     found = {r.source_file for r in export.violations(export.scan_export(spark, str(tmp_path))).collect()}
     assert found == {f"bad{n:02d}.json" for n in range(len(BROKEN))}
+
+
+def parts(place, version):
+    return {(r.utc_month, r.version) for r in place.store.months(version).collect()}
+
+
+def test_only_touched_months_are_written(place, tmp_path):
+    months = [f"{2015 + n // 12}-{n % 12 + 1:02d}" for n in range(80)]
+    place.put("a.json", [record(1, ts=f"{m}-{d:02d}T10:00:00Z", app_track_uri=f"app:track:{d}") for m in months for d in (1, 9, 17)])
+    place.load()
+    first = place.store.last()["plays_version"]
+    old = place.store.plays()
+    place.put("0.json", [record(1, ts="2016-02-09T10:00:00Z", app_track_uri="app:track:9", platform="earlier file"),  # a copy
+                         record(1, ts="2020-07-30T10:00:00Z", platform="new"), record(1, ts=None)])
+    assert place.load().total_plays_after_rebuild == 241
+    second = place.store.last()["plays_version"]
+    touched = {dt.date(2016, 2, 1), dt.date(2020, 7, 1)}
+    assert {m for m, v in parts(place, second) if v == second} == touched and len(parts(place, second)) == 80
+    assert {f.parent.parent.name for f in (tmp_path / "store" / "plays" / f"version={second}").rglob("*.parquet")} == {
+        f"utc_month={m}" for m in touched}
+    rows = place.rows("play_id", "ts_utc", "platform")
+    assert [r[0] for r in rows] == list(range(1, 242)) and [r[1] for r in rows] == sorted(r[1] for r in rows)
+    assert {r[1].month for r in rows if r[2] == "earlier file"} == {2} and sum(r[2] == "new" for r in rows) == 1
+    assert old.count() == 240 and first != second  # who read before goes on with what there was
+
+
+def test_months_over_three_batches_equal_a_full_load(place, spark, tmp_path):
+    def batch(n):
+        return [record(1, ts=f"20{10 + (k * 7 + n) % 9}-{(k * 5) % 12 + 1:02d}-{k % 28 + 1:02d}T{k % 24:02d}:30:00Z",
+                       app_track_uri=f"app:track:{k % 5}" if k % 6 else None, ms_played=1000 * (k % 3), platform=f"{n}.{k}")
+                for k in range(60 * n, 60 * n + 90)]
+
+    for n in (2, 0, 1):
+        place.put(f"{n}.json", batch(n))
+        place.load(local_timezone="America/St_Johns")
+    whole = HistoryStore(spark, str(tmp_path / "whole"))
+    ingest(whole, str(place.dir), fmt=FMT, local_timezone="America/St_Johns")
+    assert place.rows(*PLAYS.names) == [tuple(r) for r in whole.plays().orderBy("play_id").collect()]
+    assert place.load(local_timezone="UTC").total_plays_after_rebuild == whole.plays().count()  # all months anew
+    assert len({v for _, v in parts(place, place.store.last()["plays_version"])}) == 1
+
+
+def test_ids_follow_utc_where_local_months_overlap(place):
+    # At 02:31 UTC on 2009-11-01 the clock there went from 00:01 back to 23:01 of the day, and month, before.
+    place.put("a.json", [record(1, ts=f"2009-11-01T02:{m}:30Z", app_track_uri=f"app:track:{m}") for m in (29, 30, 31, 32)])
+    place.load(local_timezone="America/St_Johns")
+    place.put("b.json", [record(1, ts="2009-11-01T02:30:45Z", app_track_uri="app:track:x"), record(1, ts="2009-10-31T23:30:45Z")])
+    place.load(local_timezone="America/St_Johns")
+    rows = place.rows("play_id", "ts_utc", "played_month")
+    assert [r[0] for r in rows] == [1, 2, 3, 4, 5, 6] and [r[1] for r in rows] == sorted(r[1] for r in rows)
+    assert [r[2].month for r in rows] == [10, 10, 11, 11, 10, 10]
+
+
+def test_no_join_without_an_id(place):
+    place.put("a.json", [record(1), record(2)])
+    place.load()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plays = place.store.plays()
+    assert "Join" in plan(plays)
+    assert "Join" not in plan(plays.drop("play_id")) and "Join" not in plan(listening_summary(plays, "2024-01-01", "2024-12-31"))
+    assert "Join" not in plan(plays.groupBy("track_uri").count())
+
+
+def test_runs_whose_plays_are_all_dropped(place):
+    place.put("a.json", [record(1, ts=None)])
+    assert place.load().total_plays_after_rebuild == 0
+    assert place.store.plays().count() == 0
+    place.put("b.json", [record(1)])
+    assert place.load().total_plays_after_rebuild == 1
+    place.put("c.json", [record(2, ts=None)])
+    assert place.load().total_plays_after_rebuild == 1 and place.rows("play_id") == [(1,)]
