@@ -13,7 +13,7 @@ from spinlog.errors import IngestError
 from spinlog.operators.plays import drop_repeats, normalize
 from spinlog.schema import SKIP_MS, SUBSTANTIAL_MS, ExportFormat
 from spinlog.session import materialize
-from spinlog.sources import export
+from spinlog.sources import export, ranges
 from spinlog.sources.store import SOURCE_ORDER, HistoryStore, new_attempt, utc_now, with_utc_month
 
 
@@ -63,7 +63,7 @@ def ingest(
     export.check_not_empty(files, total)
     if not total:
         raise IngestError(f"no {pattern} files in {directory}")
-    new = store.write_files(export.new_files(export.file_hashes(files), store.ingested_files()), run, attempt)
+    new = store.write_files(export.new_files(ranges.file_hashes(spark, directory, pattern), store.ingested_files()), run, attempt)
     n_new = new.count()
 
     rows, fields = 0, []

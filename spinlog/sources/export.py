@@ -1,8 +1,8 @@
 """Export files: one JSON array of play objects per file.
 
-A file is one row, parsed by Spark's JSON functions into one row per record with
-the checks attached.  Spark refuses files beyond `spark.sql.sources.binaryFile.maxLength`
-(2 GB at most) and names them: such an export has to be cut by whoever makes it.
+Directories are read by `ranges`: many tasks share a large file, one row per record
+with the checks attached.  `file_hashes` and `whole_file_records` say the same of
+files that already are rows of a table.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spinlog.errors import IngestError
 from spinlog.schema import ExportFormat
+from spinlog.sources import ranges
 
 RECORD_COLUMNS = ["source_file", "source_index", "payload", "problem"]
 
@@ -58,25 +59,25 @@ _BRACED_STRING = r'[\[,]\s*"\s*(?:\{|\\u007[bB])'
 def whole_file_records(files: DataFrame) -> DataFrame:
     """Files as (source_file, content) -> one row per record, or one row per broken file.
 
-    The text is wrapped in one more array, so anything behind the closing
-    bracket breaks the parse instead of being ignored.
+    The text is wrapped in one more array with an empty one behind it, so anything
+    behind the closing bracket breaks the parse or hides the second array instead of being ignored.
     """
     text = F.col("text")
-    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+    wrapped = F.concat(F.lit("["), text, F.lit(",[]]"))
     strings = F.from_json(wrapped, "array<array<string>>")
     parsed = files.select("source_file", F.decode("content", "UTF-8").alias("text")).select(
         "source_file", "text", strings.alias("nested")
     )
     is_array = text.rlike(r"^\s*\[")
-    is_json = F.from_json(wrapped, "array<string>").isNotNull() & ~text.rlike(r"^\s*$")
+    is_json = F.size(F.from_json(wrapped, "array<string>")) == 2
     maps = F.from_json(wrapped, "array<array<map<string,string>>>")
     file_problem = (
         F.when(~is_array & is_json, "the file is JSON, but no array of records")
-        .when(F.col("nested").isNull() | (F.size("nested") != 1), "no JSON in it")
-        .when(text.rlike(_BRACED_STRING) & (maps.isNull() | F.exists(maps[0], lambda m: m.isNull())),
+        .when(F.col("nested").isNull() | (F.size("nested") != 2), "no JSON in it")
+        .when(text.rlike(_BRACED_STRING) & (maps.isNull() | F.exists(F.get(maps, F.lit(0)), lambda m: m.isNull())),
               "a text stands where a record should")
     )
-    checked = parsed.select("source_file", file_problem.alias("problem"), F.col("nested")[0].alias("records"))
+    checked = parsed.select("source_file", file_problem.alias("problem"), F.get("nested", F.lit(0)).alias("records"))
     # A broken file becomes one row without a payload.  The outer explode keeps the
     # optimizer from inferring a filter on the array, which would parse twice; the
     # row it makes of an empty file is dropped.
@@ -134,9 +135,8 @@ def unknown_fields(checked: DataFrame) -> DataFrame:
 def scan_export(spark: SparkSession, directory: str, pattern: str = "*.json", only: DataFrame | None = None) -> DataFrame:
     """Every record of a directory as (source_file, source_index, payload, problem).
 
-    `only` restricts the scan to some files (a `source_file` column).
+    `only` restricts the scan to some files (a `source_file` column); their names, which Spark's own listing holds
+    on the driver as well, choose the files before any is read.
     """
-    files = file_listing(spark, directory, pattern).select("source_file", "content")
-    if only is not None:
-        files = files.join(only, "source_file", "left_semi")
-    return whole_file_records(files).select(*RECORD_COLUMNS)
+    names = None if only is None else [r["source_file"] for r in only.select("source_file").collect()]
+    return ranges.records(spark, directory, pattern, names).select(*RECORD_COLUMNS)
