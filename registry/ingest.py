@@ -262,6 +262,13 @@ AREA.add("plays_play_id_batches",
 select row_number() over (order by ts_utc, track_uri nulls last) as play_id, ts_utc, track_uri, played_month from norm""")
 
 
+AREA.add("sink_month_totals", lambda s, d: month_store(s, d).month_totals().drop("version"), RECORDS_CTE + """
+select cast(date_trunc('month', ts_utc) as date) as utc_month, played_month, artist_name, album_name, track_uri, track_name,
+  min(ts_utc) as first_played, max(ts_utc) as last_played, count(*) as plays, cast(sum(ms_played) as bigint) as ms,
+  count(ms_played) as timed, count(*) filter (where is_skip) as derived_skips, count(*) filter (where skipped_raw) as raw_skips
+from norm where track_uri is not null or artist_name is not null group by all""")
+
+
 def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = export_files(spark, sf_dir)
     hashes = export.file_hashes(files)

@@ -178,14 +178,14 @@ select c_custkey as list_id, c_name as name, case when c_custkey % 2 = 0 then c_
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as edits, appended to a JSON-lines log twice and read back."""
+    """Orders as edits, appended to a JSON-lines log by two jobs, one of which runs twice, and read back."""
     edits = table(spark, sf_dir, "orders").selectExpr(
         "cast(o_orderkey as string) as list_id", "o_orderpriority as name", "o_orderdate as edited_at",
         "if(o_orderstatus = 'P', 'dry_run', 'executed') as outcome")
     path = work_dir(spark, "audit")
-    for action in ("rename", "replace"):
-        audit.append_audit(audit.audit_rows(edits, action, ["name", "list_id"]), path)
-    return spark.read.schema("ts string, action string, payload_hash string, token string, outcome string, snapshot_id string").json(path)
+    for action in ("rename", "replace", "rename"):
+        audit.append_audit(audit.audit_rows(edits, action, ["name", "list_id"]), path, f"{action} of a day")
+    return audit.read_audit(spark, path).drop("batch")
 
 
 AREA.add("sink_audit_append", audited, """

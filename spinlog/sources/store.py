@@ -3,6 +3,7 @@
     raw_plays/ingest_run_id=N/attempt=A        verbatim records of run N
     ingested_files/ingest_run_id=N/attempt=A
     plays/version=A/utc_month=M  fact rows of the months that attempt A wrote, with their place in the id order
+    month_totals/version=A/utc_month=M   what the views add up, of the same months
     play_months/version=A        which version of each month is live as of A, with the rows of each of its parts
     ingest_runs                  one row per finished run, written last
 
@@ -30,7 +31,8 @@ from pyspark.sql.window import Window
 from spinlog.operators.numbering import place_in_order
 from spinlog.operators.plays import select_plays
 from spinlog.operators.predicates import PARTITION
-from spinlog.plans.views import VIEWS, publish_views
+from spinlog.plans.month_views import KEYS, MONTH_VIEWS, month_totals
+from spinlog.plans.views import VIEWS
 from spinlog.schema import INGEST_RUNS, INGESTED_FILES, PLAYS, RAW_PLAYS
 
 SOURCE_ORDER = ["source_file", "source_index", "ingest_run_id"]
@@ -41,6 +43,12 @@ _SOURCED = T.StructType(
 )
 _PLACED = T.StructType([*_SOURCED, T.StructField("_part", T.IntegerType()), T.StructField("_pos", T.LongType())])
 _STORED = T.StructType([*_PLACED, T.StructField("version", T.StringType())])
+_TOTALS = T.StructType(
+    [T.StructField(c, T.DateType() if c.endswith("_month") else T.StringType()) for c in KEYS]
+    + [T.StructField(c, T.TimestampNTZType()) for c in ("first_played", "last_played")]
+    + [T.StructField(c, T.LongType()) for c in ("plays", "ms", "timed", "derived_skips", "raw_skips")]
+    + [T.StructField("version", T.StringType())]
+)
 _MONTHS = T.StructType(
     [T.StructField("utc_month", T.DateType()), T.StructField("version", T.StringType()), T.StructField("_part", T.IntegerType()),
      T.StructField("_first", T.LongType()), T.StructField("rows", T.LongType())]
@@ -120,11 +128,19 @@ class HistoryStore:
 
     def stored_plays(self, version: str, only: list[dt.date] | None = None) -> DataFrame:
         """Fact rows as they are stored, of all live months or of some."""
+        return self._read("plays", _STORED, self._live(version, only))
+
+    def _live(self, version: str, only: list[dt.date] | None = None) -> list[str]:
+        """Folders of the live months: one per month at most."""
         live = self.months(version).select("version", "utc_month").distinct()
         if only is not None:
             live = live.where(F.col("utc_month").isin(only))
-        folders = [f"version={r['version']}/utc_month={r['utc_month']}" for r in live.collect()]  # one per month at most
-        return self._read("plays", _STORED, sorted(folders))
+        return sorted(f"version={r['version']}/utc_month={r['utc_month']}" for r in live.collect())
+
+    def month_totals(self) -> DataFrame | None:
+        """Totals of all live months, or None without a finished run."""
+        last = self.last()
+        return None if last is None else self._read("month_totals", _TOTALS, self._live(last["plays_version"]))
 
     def plays(self) -> DataFrame | None:
         """The fact table of the last finished run, or None without one.
@@ -148,16 +164,19 @@ class HistoryStore:
         return plays.withMetadata("played_month", note)
 
     def views(self) -> dict[str, DataFrame]:
-        plays = self.plays()
-        return {} if plays is None else {name: view(plays) for name, view in VIEWS.items()}
+        """The five views; those that month totals can give read no plays."""
+        plays, totals = self.plays(), self.month_totals()
+        if plays is None:
+            return {}
+        return {name: MONTH_VIEWS[name](totals) if name in MONTH_VIEWS else view(plays) for name, view in VIEWS.items()}
 
     def publish(self) -> list[str]:
         """Temporary views for `plays`, its five views and the provenance tables."""
         plays = self.plays()
         if plays is None:
             return []
-        names = publish_views(plays)
-        for name, df in {"raw_plays": self.raw_plays(), "ingested_files": self.ingested_files(),
+        names = []
+        for name, df in {"plays": plays, **self.views(), "raw_plays": self.raw_plays(), "ingested_files": self.ingested_files(),
                          "ingest_runs": self.runs()}.items():
             df.createOrReplaceTempView(name)
             names.append(name)
@@ -185,7 +204,10 @@ class HistoryStore:
             *[F.col(f.name).cast(f.dataType) for f in _PLACED]
         )
         placed.write.partitionBy("utc_month", "played_month").parquet(target)
-        months = self.spark.read.schema(_PLACED).parquet(target).groupBy("utc_month", "_part").agg(
+        stored = self.spark.read.schema(_PLACED).parquet(target)
+        totals = month_totals(stored).select(*[F.col(f.name).cast(f.dataType) for f in _TOTALS if f.name != "version"])
+        totals.write.partitionBy("utc_month").parquet(self.path("month_totals", f"version={version}"))
+        months = stored.groupBy("utc_month", "_part").agg(
             F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("rows"))
         months = months.select("utc_month", F.lit(version).alias("version"), "_part", "_first", "rows")
         if since is not None:

@@ -11,6 +11,7 @@ from spinlog.errors import IngestError
 from spinlog.operators import plays as P
 from spinlog.plans.ingest import check_zone, ingest
 from spinlog.plans.queries import listening_summary, store_status
+from spinlog.plans.views import VIEWS
 from spinlog.schema import PLAYS, ExportFormat
 from spinlog.sources import export
 from spinlog.sources.store import HistoryStore
@@ -294,6 +295,8 @@ def test_only_touched_months_are_written(place, tmp_path):
     assert {m for m, v in parts(place, second) if v == second} == touched and len(parts(place, second)) == 80
     assert {f.parent.parent.name for f in (tmp_path / "store" / "plays" / f"version={second}").rglob("*.parquet")} == {
         f"utc_month={m}" for m in touched}
+    assert {f.parent.name for f in (tmp_path / "store" / "month_totals" / f"version={second}").rglob("*.parquet")} == {
+        f"utc_month={m}" for m in touched}
     rows = place.rows("play_id", "ts_utc", "platform")
     assert [r[0] for r in rows] == list(range(1, 242)) and [r[1] for r in rows] == sorted(r[1] for r in rows)
     assert {r[1].month for r in rows if r[2] == "earlier file"} == {2} and sum(r[2] == "new" for r in rows) == 1
@@ -311,6 +314,10 @@ def test_months_over_three_batches_equal_a_full_load(place, spark, tmp_path):
         place.load(local_timezone="America/St_Johns")
     whole = HistoryStore(spark, str(tmp_path / "whole"))
     ingest(whole, str(place.dir), fmt=FMT, local_timezone="America/St_Johns")
+    views = place.store.views()
+    for name, view in VIEWS.items():
+        want = view(place.store.plays())
+        assert views[name].columns == want.columns and sorted(views[name].collect(), key=repr) == sorted(want.collect(), key=repr)
     assert place.rows(*PLAYS.names) == [tuple(r) for r in whole.plays().orderBy("play_id").collect()]
     assert place.load(local_timezone="UTC").total_plays_after_rebuild == whole.plays().count()  # all months anew
     assert len({v for _, v in parts(place, place.store.last()["plays_version"])}) == 1
