@@ -34,7 +34,7 @@ from spinlog.llm.common import scratch
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 16 << 20
 KNOWN_CHUNKS = 500_000
-TEXTS_AT_ONCE = 1500
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 1500, 16 << 20
 
 DOC_PART = "struct<seq:long,doc_id:long,local:long,n_tokens:long,part:int,parts_end:boolean,ids:int>"
 SCHEMA = ("kind string, shard int, block int, n_ids int, width int, planes array<binary>, "
@@ -78,16 +78,34 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, {}
+    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    return tokenizer, "|".join([UNSAFE, *added]), Memory()
+
+
+class Memory:
+    """Ids of chunks in two generations: those met since the last turn, and the ones before, which go with the next."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.known) > KNOWN_CHUNKS // 2:
+            self.older, self.known = self.known, {}
+
+    def missing(self, chunks: list[str]) -> list[str]:
+        """Those of `chunks` that neither has; the older ones are taken over."""
+        again = {c: self.older[c] for c in chunks if c in self.older}
+        self.known.update(again)
+        return [c for c in chunks if c not in again]
 
 
 def encode(texts: pa.Array, tokenizer_path: str) -> list[np.ndarray]:
     """Ids of each text (no nulls).  Distinct words are found by Arrow; each is encoded once as long as it is remembered."""
-    tokenizer, known = _tokenizer(tokenizer_path)
-    if len(known) > KNOWN_CHUNKS:
-        known.clear()
-    unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+    tokenizer, whole, memory = _tokenizer(tokenizer_path)
+    memory.turn()
+    known = memory.known
+    unsafe = pc.match_substring_regex(texts, whole).to_numpy(zero_copy_only=False)
     out: list = [None] * len(texts)
     if unsafe.any():
         rows = np.flatnonzero(unsafe).tolist()
@@ -107,7 +125,7 @@ def encode(texts: pa.Array, tokenizer_path: str) -> list[np.ndarray]:
     keys = [" " + w for w in names] + [names[k] for k in firsts.tolist()]
     found = list(map(known.get, keys))
     if None in found:
-        learn([k for k, i in zip(keys, found, strict=True) if i is None], tokenizer, known)
+        learn(memory.missing([k for k, i in zip(keys, found, strict=True) if i is None]), tokenizer, known)
         found = [i if i is not None else known[k] for k, i in zip(keys, found, strict=True)]
     table = np.frombuffer(b"".join(found), "<u4")
     lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -121,6 +139,19 @@ def encode(texts: pa.Array, tokenizer_path: str) -> list[np.ndarray]:
     return out
 
 
+def some(texts: pa.Array):
+    """Runs of texts, bounded in number and, but for one longer text, in bytes."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > begin and (k - begin == TEXTS_AT_ONCE or held + size > BYTES_AT_ONCE):
+            yield texts.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size
+    if begin < len(sizes):
+        yield texts.slice(begin)
+
+
 def is_word(chunk: str) -> bool:
     return chunk not in ("", " ") and not BLANK.search(chunk, chunk[0] == " ")
 
@@ -242,8 +273,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, bloc
             return row
 
         for batch in batches:
-            ids_of = (ids for k in range(0, batch.num_rows, TEXTS_AT_ONCE)
-                      for ids in encode(batch.column("text").slice(k, TEXTS_AT_ONCE), tokenizer_path))
+            ids_of = (ids for texts in some(batch.column("text")) for ids in encode(texts, tokenizer_path))
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
                 ids = np.append(ids, np.uint32(end_id))

@@ -51,7 +51,6 @@ def test_token_files_against_the_tokenizer(spark, awkward):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BYTE_BPE)
-    tokenizer.encode_special_tokens = True
     rows = [(r["start"], r["n_tokens"], r["ids_crc32"]) for r in bitplane.token_files(awkward[0], BYTE_BPE).collect()]
     at, want = 0, []
     for _, text in sorted(awkward[1], key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")):
@@ -77,7 +76,6 @@ def test_chunks_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BYTE_BPE)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(3)
     made = ["".join(rng.choice("ab cd's  \n\t\ré漢\x85\x1c\xa0 1.,!?") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     for text, ids in zip(made, bitplane.encode(pa.array(made), BYTE_BPE), strict=True):

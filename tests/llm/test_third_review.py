@@ -5,9 +5,13 @@ from __future__ import annotations
 import random
 import time
 
-import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
-from spinlog.llm import pii, simhash
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from spinlog.llm import bitplane, pii, simhash
+from spinlog.llm.queries import BYTE_BPE
 
 
 def test_unlike_rows_of_one_id_stay(spark):
@@ -53,6 +57,25 @@ def test_added_spans_lie_in_no_base_span():
         assert every == pii.ordered([*base, *want])
 
 
+def test_ids_are_the_librarys_own(monkeypatch):
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    rng = random.Random(7)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", " ", "a", "\n", "word", " cd's", "\u00e9", "\u00a0", "12"]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    monkeypatch.setattr(bitplane, "KNOWN_CHUNKS", 40)  # many turns of the memory
+    monkeypatch.setattr(bitplane, "TEXTS_AT_ONCE", 7)
+    monkeypatch.setattr(bitplane, "BYTES_AT_ONCE", 100)
+    got = [ids for texts in bitplane.some(pa.array(made)) for ids in bitplane.encode(texts, BYTE_BPE)]
+    assert len(got) == len(made)
+    for text, ids in zip(made, got, strict=True):
+        assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_token_files_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert bitplane.token_files(docs, BYTE_BPE).count() == 0
+
+
 def test_many_spans_in_one_text():
     text = "joe@a.com 10.0.0.1 " * 8000 + "\u0435@b.org"
     begin = time.process_time()
