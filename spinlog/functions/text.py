@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Typographic quotes and dashes and what they compare as.
 TYPOGRAPHIC = {
@@ -20,6 +20,8 @@ TYPOGRAPHIC = {
     "−": "-",
 }
 
+_TYPOGRAPHIC = str.maketrans(TYPOGRAPHIC)
+
 # White space as Unicode sees it, plus the four ASCII separators.
 _WS = r"[\s\x1c-\x1f]"
 _PLAIN = r"^[\x09-\x0d\x20-\x7e]*\z"
@@ -36,28 +38,67 @@ def _tidy(text: Column) -> Column:
     return trim_space(F.regexp_replace(bare, rf"(?U){_WS}+", " "))
 
 
-def _fold_unicode(text: Column) -> Column:
-    """Compatibility decomposition without marks, case-folded.  NULL in, NULL out.
+def fold_letter(letter: str) -> str:
+    """Compatibility decomposition without marks, case-folded.  A text's fold is that of its letters in turn."""
+    decomposed = unicodedata.normalize("NFKD", letter.translate(_TYPOGRAPHIC))
+    return "".join(c for c in decomposed if not unicodedata.combining(c)).casefold()
 
-    The function is local so that it travels to the executors by value.
-    """
-    table = str.maketrans(TYPOGRAPHIC)
 
-    @F.pandas_udf(StringType())
-    def fold_series(texts: pd.Series) -> pd.Series:
-        def fold(value: str) -> str:
-            decomposed = unicodedata.normalize("NFKD", value.translate(table))
-            return "".join(c for c in decomposed if not unicodedata.combining(c)).casefold()
+_HANGUL = ("\uac00", "\ud7a3")  # syllables are taken apart by rule
+
+
+@lru_cache(maxsize=1)
+def _fold_tables() -> tuple[str, str, str, list[str]]:
+    """Letters that fold to one, with those; letters that fold to nothing last; letters that fold to several, with those."""
+    single, gone, several = {}, [], {}
+    for code in range(sys.maxunicode + 1):
+        letter = chr(code)
+        if 0xD800 <= code < 0xE000 or _HANGUL[0] <= letter <= _HANGUL[1]:
+            continue
+        folded = fold_letter(letter)
+        if not folded:
+            gone.append(letter)
+        elif len(folded) > 1:
+            several[letter] = folded
+        elif folded != letter:
+            single[letter] = folded
+    return "".join([*single, *gone]), "".join(single.values()), "".join(several), list(several.values())
+
+
+def _ranges(letters: str) -> str:
+    """A character class of sorted letters."""
+    codes = list(map(ord, letters))
+    heads = [c for k, c in enumerate(codes) if k == 0 or codes[k - 1] != c - 1]
+    tails = [c for k, c in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] != c + 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(heads, tails, strict=True))
+
+
+def _hangul(letter: Column) -> Column:
+    """A syllable's two or three parts, counted from the first of their kind."""
+    number = F.conv(F.hex(F.encode(letter, "UTF-16BE")), 16, 10).cast("int") - ord(_HANGUL[0])
+    parts = ["".join(chr(first + k) for k in range(n)) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27))]
+    ahead, middle, last = (F.floor(number / 588), F.floor(number % 588 / 28), number % 28)
+    return F.concat(F.substring(F.lit(parts[0]), ahead.cast("int") + 1, F.lit(1)), F.substring(F.lit(parts[1]), middle.cast("int") + 1, F.lit(1)),
+                    F.when(last == 0, "").otherwise(F.substring(F.lit(parts[2]), last, F.lit(1))))
+
+
+def _fold_unicode(text: Column) -> Column:
+    """`fold_letter` over a text, in the JVM.  Texts without a letter that folds to several are translated at once."""
+    letters, single, several, folds = _fold_tables()
+    stop = "\x01"
+    folded = F.split(F.lit(stop.join(folds)), stop)
 
-        return texts.map(fold, na_action="ignore")
+    def fold(letter: Column) -> Column:
+        return (F.when(letter.between(*_HANGUL), _hangul(letter))
+                .otherwise(F.coalesce(F.get(folded, F.instr(F.lit(several), letter) - 1), F.translate(letter, letters, single))))
 
-    return fold_series(text)
+    one_by_one = F.concat_ws("", F.transform(F.split(text, ""), fold))
+    strange = f"[{_ranges(several)}{_HANGUL[0]}-{_HANGUL[1]}]"
+    return F.when(text.rlike(strange), one_by_one).otherwise(F.translate(text, letters, single))
 
 
 def normalize_text(text: Column) -> Column:
-    """Plain ASCII stays in the JVM; only other texts are handed to Python."""
-    plain = text.rlike(_PLAIN)
-    folded = F.coalesce(F.when(plain, F.lower(text)), _fold_unicode(F.when(~plain, text)))
+    folded = F.when(text.rlike(_PLAIN), F.lower(text)).otherwise(_fold_unicode(text))
     return _tidy(F.coalesce(folded, F.lit("")))
 
 
