@@ -83,7 +83,7 @@ def _hangul(letter: Column) -> Column:
 
 
 def _fold_unicode(text: Column) -> Column:
-    """`fold_letter` over a text, in the JVM.  Texts without a letter that folds to several are translated at once."""
+    """`fold_letter` over a text, in the JVM.  Runs without a letter that folds to several are translated at once."""
     letters, single, several, folds = _fold_tables()
     stop = "\x01"
     folded = F.split(F.lit(stop.join(folds)), stop)
@@ -92,9 +92,16 @@ def _fold_unicode(text: Column) -> Column:
         return (F.when(letter.between(*_HANGUL), _hangul(letter))
                 .otherwise(F.coalesce(F.get(folded, F.instr(F.lit(several), letter) - 1), F.translate(letter, letters, single))))
 
-    one_by_one = F.concat_ws("", F.transform(F.split(text, ""), fold))
     strange = f"[{_ranges(several)}{_HANGUL[0]}-{_HANGUL[1]}]"
-    return F.when(text.rlike(strange), one_by_one).otherwise(F.translate(text, letters, single))
+
+    def run(part: Column) -> Column:
+        one_by_one = F.concat_ws("", F.transform(F.split(part, ""), fold))
+        return F.when(part.rlike(strange), one_by_one).otherwise(F.translate(part, letters, single))
+
+    # Most letters of most texts are plain: only the runs between are looked up.
+    border = r"(?<=[\x00-\x7f])(?=[^\x00-\x7f])|(?<=[^\x00-\x7f])(?=[\x00-\x7f])"
+    return F.concat_ws("", F.transform(
+        F.split(text, border), lambda part: F.when(part.rlike(r"\A[\x00-\x7f]*\z"), F.lower(part)).otherwise(run(part))))
 
 
 def normalize_text(text: Column) -> Column:
