@@ -184,8 +184,8 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(o_orderstatus = 'P', 'dry_run', 'executed') as outcome")
     path = work_dir(spark, "audit")
     for action in ("rename", "replace", "rename"):
-        audit.append_audit(audit.audit_rows(edits, action, ["name", "list_id"]), path, f"{action} of a day")
-    return audit.read_audit(spark, path).drop("batch")
+        audit.append_batch(audit.audit_rows(edits, action, ["name", "list_id"]), path, f"{action} of a day")
+    return audit.read_batches(spark, path).drop("batch")
 
 
 AREA.add("sink_audit_append", audited, """

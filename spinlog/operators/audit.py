@@ -35,16 +35,21 @@ def audit_rows(edits: DataFrame, action: str, arguments: list[str], when: str =
     )
 
 
-def append_audit(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Appends the lines as they are; a job that runs twice leaves them twice (see `append_batch`)."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def append_batch(rows: DataFrame, path: str, batch: str) -> bool:
     """Appends the lines of a batch once, however often the job that makes them runs; False if they were there.
 
         lines/batch=B/attempt=A     JSON lines, seen by no reader until
         commits                     has a row for the batch and the attempt
 
     A job that fails before its commit leaves a folder that nobody reads; run again under the same batch id
-    it writes another.  Should two attempts commit, the first by name counts.  Without an id the batch is a new one.
+    it writes another.  Should two attempts commit, the first by name counts.
     """
-    spark, batch = rows.sparkSession, batch or uuid.uuid4().hex
+    spark = rows.sparkSession
     if not _commits(spark, path).where(F.col("batch") == batch).isEmpty():
         return False
     attempt = uuid.uuid4().hex
@@ -54,7 +59,7 @@ def append_audit(rows: DataFrame, path: str, batch: str | None = None) -> bool:
     return True
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """The lines of all committed batches, with their `batch`."""
     live = _commits(spark, path).groupBy("batch").agg(F.min("attempt").alias("attempt"))
     folders = [f"{path}/lines/{_folder(r['batch'], r['attempt'])}" for r in live.collect()]  # one per finished job
