@@ -14,13 +14,13 @@ a rare pair in common never meet.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from spinlog.functions.blocks import ratios
+
 WEAK_RATIO = 0.85
 
 # Letters from frequent to rare; any order is exact, this one keeps groups small.
@@ -76,19 +76,11 @@ def length_fits(a: Column, b: Column) -> Column:
     return F.least(a, b) * 40 >= (a + b) * 17
 
 
-def fuzzy_ratio(wanted: Column, found: Column) -> Column:
-    """The ratio itself, per pair; local so that it travels to the executors by value."""
+def fuzzy_ratio(wanted: Column, found: Column, least: float = 0.0) -> Column:
+    """The ratio per pair, a whole Arrow batch at once.  Where it cannot reach `least`, some value below `least`."""
 
     @F.pandas_udf(DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        # A matcher indexes its second text once; equal ones are taken together.
-        values = pd.Series(0.0, index=a.index)
-        matcher = SequenceMatcher(None)
-        for found_text, rows in b.groupby(b, sort=False).groups.items():
-            matcher.set_seq2(found_text)
-            for row in rows:
-                matcher.set_seq1(a[row])
-                values[row] = matcher.ratio()
-        return values
+        return pd.Series(ratios(a.tolist(), b.tolist(), least), index=a.index)
 
     return ratio(wanted, found)

@@ -121,19 +121,57 @@ def exact_and_strong(wanted: DataFrame, index: DataFrame, artist_key: str) -> Da
     )
 
 
-def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
+CROWDED = 2_000
+BROADCAST_BLOCKS = 1_000_000  # of 16 bytes
+
+
+def in_cells(probes: DataFrame, titles: DataFrame, on: list[str], limit: int = CROWDED) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `probe_cell` and `title_cell` to join on beside `on`, so that no block is one task's work.
+
+    Blocks with more than `limit` rows on a side are cut there into cells by a hash of the row; a row goes to every
+    cell of the other side, so each pair meets in exactly one.  Sizes are measured, by a hash of `on`: blocks that
+    share a hash are cut alike.
+    """
+    block = F.xxhash64(*on).alias("block")
+    sizes = probes.select(block, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(
+        titles.select(block, F.lit(0).alias("p"), F.lit(1).alias("t")))
+    cells = [F.ceil(F.sum(side) / limit).cast("int").alias(name) for side, name in (("p", "probe_cells"), ("t", "title_cells"))]
+    crowded = materialize(
+        sizes.groupBy("block").agg(*cells).where((F.col("probe_cells") > 1) | (F.col("title_cells") > 1))
+        .select("block", *[F.greatest(c, F.lit(1)).alias(c) for c in ("probe_cells", "title_cells")]), "crowded")
+    few = crowded.count()
+    if not few:
+        return tuple(side.withColumns({"probe_cell": F.lit(0), "title_cell": F.lit(0)}) for side in (probes, titles))
+    if few <= BROADCAST_BLOCKS:
+        crowded = F.broadcast(crowded)
+
+    def cut(side: DataFrame, own: str, other: str) -> DataFrame:
+        row = F.xxhash64(*[c for c in side.columns if side.schema[c].dataType.typeName() != "struct"])
+        count = {c: F.coalesce(F.col(f"{c}_cells"), F.lit(1)) for c in (own, other)}
+        placed = side.withColumn("block", block).join(crowded, "block", "left").withColumn(
+            f"{own}_cell", F.pmod(row, count[own]).cast("int"))
+        every = F.explode_outer(F.sequence(F.lit(0), count[other] - 1))
+        return placed.withColumn(f"{other}_cell", every).drop("block", "probe_cells", "title_cells")
+
+    return cut(probes, "probe", "title"), cut(titles, "title", "probe")
+
+
+def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str, limit: int = CROWDED) -> DataFrame:
     """Distinct (wanted, catalogue title) pairs that may reach the ratio; none that does is missing."""
     credits = of_artists(index.withColumnRenamed(artist_key, "artist_key"), wanted)
-    titles = (
+    folded = (
         credits.withColumns({p: F.col(p) if p != artist_key else F.col("artist_key") for p in _PICK})
         .groupBy("artist_key", "stripped_norm", *_MASKS)
         .agg(_best())
-        .withColumn("signature", F.explode_outer(fuzzy.signatures(F.col("stripped_norm"))))
     )
+    # Written once, for both the sizes of blocks and the join read it.
+    titles = materialize(folded, "titles").withColumn("signature", F.explode_outer(fuzzy.signatures(F.col("stripped_norm"))))
     probes = wanted.withColumn("signature", F.explode_outer(fuzzy.signatures(F.col("title_norm"))))
     lengths = fuzzy.length_fits(F.length("title_norm"), F.length("stripped_norm"))
+    on = ["artist_key", "signature"]
+    probes, titles = in_cells(*(side.where(F.col("signature").isNotNull()) for side in (probes, titles)), on, limit)
     return (
-        probes.join(titles, ["artist_key", "signature"])
+        probes.join(titles, [*on, "probe_cell", "title_cell"])
         .where(lengths & _allowed())
         .select(*WANTED, "stripped_norm", *_MASKS, "best")
         .dropDuplicates([*WANTED, "stripped_norm", *_MASKS])
@@ -145,7 +183,7 @@ FIRST_TRIED = 16
 
 def similar_enough(pairs: DataFrame) -> DataFrame:
     """The best catalogue title that reaches the ratio, per wanted key."""
-    ratio = fuzzy.fuzzy_ratio(F.col("title_norm"), F.col("stripped_norm"))
+    ratio = fuzzy.fuzzy_ratio(F.col("title_norm"), F.col("stripped_norm"), fuzzy.WEAK_RATIO)
     return (
         pairs.withColumn("ratio", ratio)
         .where(F.col("ratio") >= fuzzy.WEAK_RATIO)

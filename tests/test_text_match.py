@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spinlog.functions import fuzzy, markers, text
+from spinlog.functions.blocks import ratios
 from spinlog.operators import match
 
 
@@ -130,3 +132,45 @@ def test_weak_pairs_equal_brute_force(spark):
     got = {(r[0], r[1]) for r in pairs.where(F.col("r") >= fuzzy.WEAK_RATIO).collect()}
     want = {(a, b) for a in wanted for b in found if SequenceMatcher(None, a, b).ratio() >= fuzzy.WEAK_RATIO}
     assert got == want and want
+
+
+def test_ratios_of_a_batch_equal_difflib():
+    rng = random.Random(5)
+    words = [*pool(31, 400), "", "a", "é漢😀", "x" * 250, "ab" * 120, "x" * 199]
+    pairs = [(rng.choice(words), rng.choice(words)) for _ in range(20_000)]
+    pairs += [(w, w) for w in words] + [("x" * 250, "y" + "x" * 230), ("abcab", "abab"), ("abxab", "abyab")]
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    first, second = map(list, zip(*pairs))
+    assert ratios(first, second).tolist() == want
+    bounded = ratios(first, second, fuzzy.WEAK_RATIO)
+    for got, ratio in zip(bounded, want):
+        assert got == ratio if ratio >= fuzzy.WEAK_RATIO else got < fuzzy.WEAK_RATIO and got >= ratio
+    assert ratios([], []).tolist() == [] and np.isnan(ratios([None, "a"], ["a", None])).all()
+
+
+def test_a_hot_block_is_cut_into_cells(spark):
+    """One artist with a third of all titles, all sharing one rare pair of letters: no cell is large, no pair is lost."""
+    rng = random.Random(9)
+    words = [f"zq{''.join(rng.choice('abcde') for _ in range(10))}" for _ in range(400)]
+    found = [("hot" if i < 200 else f"a{i}", w) for i, w in enumerate(words * 2)]
+    index = spark.createDataFrame(
+        [(f"t{i}", "u", w, None, "2000", "2000", w, w, 0, 0, 0, a, a, a) for i, (a, w) in enumerate(found)],
+        "track_id string, uri string, name string, isrc string, release string, year string, title_norm string,"
+        "stripped_norm string, title_mask int, album_mask int, artist_pos int, artist_id string, artist_name string, artist_norm string")
+    wanted = sorted({w[:5] + w[6:] for w in words[:200]} | {w[:-1] + "q" for w in words[:200]})
+    asked = spark.createDataFrame([("hot", w, 0, "", "hot", 0) for w in wanted],
+                                  "artist_norm string, title_norm string, excused_album int, want_year string, artist_key string, excused_title int")
+    sides = [asked.select("artist_key", "title_norm").withColumn("signature", F.lit("zq1")),
+             index.where("artist_norm = 'hot'").select(F.col("artist_norm").alias("artist_key"), "stripped_norm").withColumn("signature", F.lit("zq1"))]
+    cut = match.in_cells(*sides, ["artist_key", "signature"], 20)
+    keys = ["artist_key", "signature", "probe_cell", "title_cell"]
+    for side in cut:
+        sizes = [r["count"] for r in side.groupBy(*keys).count().collect()]
+        assert max(sizes) <= 5 * sorted(sizes)[len(sizes) // 2] and max(sizes) < 60 and len(sizes) >= 190
+    assert cut[0].join(cut[1], keys).count() == len(wanted) * 200  # every pair in exactly one cell
+    ratio = fuzzy.fuzzy_ratio(F.col("title_norm"), F.col("stripped_norm"), fuzzy.WEAK_RATIO)
+    for limit in (20, 2000):
+        pairs = match.weak_pairs(asked, index, "artist_norm", limit).withColumn("r", ratio)
+        got = sorted((r["title_norm"], r["stripped_norm"]) for r in pairs.where(F.col("r") >= fuzzy.WEAK_RATIO).collect())
+        want = sorted((a, b) for a in wanted for b in words[:200] if SequenceMatcher(None, a, b).ratio() >= fuzzy.WEAK_RATIO)
+        assert got == want and want
