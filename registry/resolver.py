@@ -12,8 +12,9 @@ from spinlog.functions import fuzzy, markers, text
 from spinlog.operators import cache as C
 from spinlog.operators import match
 from spinlog.operators import resolve as R
+from spinlog.operators.cache_store import CacheStore
 from spinlog.plans.build_list import ordered_items
-from spinlog.session import materialize
+from spinlog.session import materialize, work_dir
 from spinlog.sources.testtables import candidates, catalog_tracks, table
 
 AREA = Area()
@@ -292,6 +293,29 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 AREA.add("res_cache_upsert", upserted, CACHE_SQL + """
 select case when k % 3 <> 0 and k % 4 = 0 then 'search_relaxed' else 'search' end as method, k % 3 = 0 as is_negative, count(*) as n
 from cache group by 1, 2""")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two upserts through the store, and what is alive then: whole rows."""
+    store = CacheStore(spark, work_dir(spark, "cache"), buckets=8)
+    old = cache_rows(spark, sf_dir)
+    store.upsert(old)
+    store.upsert(old.where("cast(track_id as bigint) % 4 = 0").withColumns(
+        {"method": F.lit("search_relaxed"), "search_calls": F.lit(3), "resolved_at": F.lit(AS_OF).cast("timestamp_ntz")}))
+    live = C.alive(F.col("resolved_at"), F.col("is_negative"), F.lit(AS_OF).cast("timestamp_ntz"))
+    return store.read().where(live).withColumn("resolved_at", F.col("resolved_at").cast("string"))
+
+
+AREA.add("res_cache_store", stored, CACHE_SQL + """
+, rows as (select *, k % 3 = 0 as negative, k % 3 <> 0 and k % 4 = 0 as again from cache)
+select norm_key, negative as is_negative, case when not negative then 'app:track:' || k end as track_uri,
+  case when not negative then cast(k as varchar) end as track_id, case when not negative then 'ar' end as artist_id,
+  cast(null as varchar) as matched_artist_name, cast(null as varchar) as matched_title, cast(null as varchar) as isrc,
+  case when not negative then case when k % 5 = 0 then 'weak' else 'exact' end end as confidence,
+  case when again then 'search_relaxed' else 'search' end as method,
+  cast(timestamp '2024-06-01 00:00:00' - to_days(cast(case when again then 0 else k % 40 end as integer)) as varchar) as resolved_at,
+  case when again then 3 else 1 end as search_calls
+from rows where again or k % 40 <= case when negative then 7 else 30 end""")
 AREA.add(
     "res_validate_candidates",
     lambda s, d: R.bad_candidates(candidates(s, d).withColumn("title", F.when(F.col("input_idx") % 7 > 0, F.col("title"))))
