@@ -5,15 +5,17 @@ that occur once in both are anchors, the longest increasing subsequence of their
 places is kept, and the gaps between them are aligned in the same way.  Coverage is
 the share of the template's words that are aligned.  Each region with coverage of
 `least` or more is one finding; a text may hold several licenses, or one several
-times.  Version numbers are words, so near versions differ by a word.  Null and empty texts have none.
+times.  The words that name a license and its version (NAMES) must all be aligned, side by side: a short sentence of
+another license resembles the template in all other words.  Null and empty texts have none.
 Regions are found in one pass over the text, their length is bounded by the
-template's, so a very long text costs as much as many short ones.
+template's, so a very long text costs as much as many short ones.  Repeated rows and null ids are scanned row by row;
+other columns are not read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +56,19 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
 }
 
+# Words of a template that must stand side by side in a text; texts of licenses that don't name them have none.
+NAMES = {
+    "Apache-2.0": ["Apache License Version 2.0"],
+    "Apache-2.0-notice": ["Apache License Version 2.0"],
+    "MIT": ["MIT License"],
+    "GPL-3.0": ["GNU General Public License version 3"],
+    "GPL-2.0": ["GNU General Public License version 2"],
+    "GPL-notice": ["GNU General Public License", "version 3"],
+    "CC-BY-NC-4.0": ["CC BY NC 4.0"],
+    "CC-BY-4.0": ["CC BY 4.0"],
+    "CC-BY-SA-4.0": ["CC BY SA 4.0"],
+}
+
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -113,10 +128,20 @@ def _once(words: list[str], begin: int, end: int) -> dict[str, int]:
     return {w: i for w, i in seen.items() if i >= 0}
 
 
+def _place(phrase: list[str], template: list[str]) -> tuple[int, int]:
+    """Where the phrase begins in its template, and its length."""
+    for i in range(len(template) - len(phrase) + 1):
+        if template[i:i + len(phrase)] == phrase:
+            return i, len(phrase)
+    raise ValueError(f"not in the template: {' '.join(phrase)}")
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], least: float) -> None:
+    def __init__(self, templates: dict[str, str], least: float, names: dict[str, list[str]] | None = None) -> None:
         self.least = least
         self.templates = {name: words_of(text) for name, text in templates.items()}
+        self.named = {name: [_place(words_of(p), self.templates[name]) for p in phrases]
+                      for name, phrases in (names or {}).items() if name in self.templates}
         self.uses: dict[str, list[str]] = {}
         for name, words in self.templates.items():
             for w in set(words):
@@ -135,11 +160,17 @@ class Scanner:
         for name, at in places.items():
             found += self._regions(name, words, np.array(at))
         found.sort(key=lambda f: (-f[2], -f[1], f[0], f[3]))
-        kept: list = []
+        kept: list = []  # by place; they don't overlap, so only neighbours can
         for f in found:
-            if all(f[4] <= k[3] or k[4] <= f[3] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f[3])
+            i = bisect_left(kept, f[3], key=lambda k: k[3])
+            if (i == 0 or kept[i - 1][4] <= f[3]) and (i == len(kept) or f[4] <= kept[i][3]):
+                insort(kept, f, key=lambda k: k[3])
+        return kept
+
+    def _is_named(self, name: str, pairs: list[tuple[int, int]]) -> bool:
+        """Every phrase of the name is aligned without a gap."""
+        at = {b: a for a, b in pairs}
+        return all(all(p + i in at and at[p + i] == at[p] + i for i in range(n)) for p, n in self.named.get(name, ()) if n)
 
     def _regions(self, name: str, words: list[str], at: np.ndarray) -> list:
         template = self.templates[name]
@@ -155,6 +186,10 @@ class Scanner:
             if len(pairs) >= need:  # words that merely resemble a beginning may come first: the best start nearby counts
                 last = int(np.searchsorted(at, first + span))
                 tried = [(int(at[j]), align(words[int(at[j]):int(at[j]) + span], template)) for j in range(k, last) if dense[j]]
+                tried = [t for t in tried if len(t[1]) >= need and self._is_named(name, t[1])]
+                if not tried:  # of another license or version; all starts up to here were looked at
+                    begin = first + span
+                    continue
                 first, pairs = max(tried, key=lambda t: (len(t[1]), -t[0]))
                 stop = first + pairs[-1][0] + 1
                 out.append((name, len(pairs) / len(template), len(pairs), first + pairs[0][0], stop))
@@ -162,11 +197,16 @@ class Scanner:
         return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, license, coverage, n_aligned, first_word, end_word: one row per finding."""
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST,
+         names: dict[str, list[str]] | None = None) -> DataFrame:
+    """doc_id, license, coverage, n_aligned, first_word, end_word: one row per finding.
+
+    `names` are NAMES for the templates of this module, and none for others unless given.
+    """
+    names = NAMES if names is None and templates is TEMPLATES else names
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates, least)
+        scanner = Scanner(templates, least, names)
         for frame in batches:
             rows = [(doc_id, *f) for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True)
                     for f in scanner.scan(text)]
