@@ -3,9 +3,10 @@
 1. Every 200-byte window has an anchor: the leftmost of its 32-byte grams with the least hash.
    Windows with one anchor at similar offsets form a block, and all windows of a
    block contain one core of 116 bytes.  Equal windows have equal cores, so only
-   blocks whose core occurs elsewhere go on.  Nothing is lost: this deals the
+   blocks whose core occurs elsewhere go on: a first scan counts hashes of cores, a second makes
+   the blocks of texts with repeated ones again.  Nothing is lost: this deals the
    suffixes to partitions by content, as a sample sort would by order.
-2. The contexts of such blocks (their windows' bytes) are folded: a context that
+2. The contexts of such blocks (their windows' bytes) are folded by a 64-bit digest: a context that
    occurs twice has all its windows repeated, and goes on once.
 3. Contexts of one core meet in one task, where each is cut to what it has in common
    with its nearest neighbours on both sides of the core.  All suffixes left are sorted by the
@@ -15,7 +16,8 @@
    prefixes are repeats.
 4. What is repeated returns to its documents, and is cut out there.
 
-A null text counts as empty.  Texts below 200 bytes lose nothing.  Copies of a text go on as one, with their number.  Hot cores are rare by construction: equal contexts are one row, and contexts that
+A null text counts as empty.  Texts below 200 bytes lose nothing.  A text with a copy is removed
+whole; it goes on as one, with their number, for other texts' sake.  Hot cores are rare by construction: equal contexts are one row, and contexts that
 share 116 bytes but no 200-byte window differ close to the core on both sides.
 """
 
@@ -37,6 +39,8 @@ BLOCK = 85
 CORE = LENGTH - BLOCK + 1
 BATCH_BYTES = 4 << 20
 SORT_BYTES = 1 << 20
+ENTRIES = 1 << 20
+BUCKET_BYTES = 32 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -160,22 +164,125 @@ def repeated(contexts: list[bytes]) -> list[np.ndarray]:
     return [hit[b:b + s - LENGTH + 1] for b, s in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
-def _block_rows(batches):
+def _batches_of_blocks(batch):
+    """(first row, row behind, data, places of documents, blocks) of runs of rows of about BATCH_BYTES."""
+    body = batch.column("body")
+    size, at = np.array([len(b) for b in body.to_pylist()], np.int64), 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), BATCH_BYTES, "right")) + at)
+        begins = np.concatenate([[0], np.cumsum(size[at:stop])])
+        yield at, stop, begins, blocks(np.frombuffer(b"".join(body.slice(at, stop - at).to_pylist()), np.uint8), begins)
+        at = stop
+
+
+def _distinct(core: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs by core, and whether a pair's core has other keys too."""
+    order = np.lexsort((key, core))
+    core, key = core[order], key[order]
+    other = core[1:] != core[:-1]
+    new = np.concatenate([[True], other | (key[1:] != key[:-1])])[:len(core)]
+    core, key = core[new], key[new]
+    beside = core[1:] == core[:-1]
+    return core, key, np.concatenate([beside, [False]])[:len(core)] | np.concatenate([[False], beside])[:len(core)]
+
+
+def _bucket(mixed: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _packed(bucket: np.ndarray, words: np.ndarray, kind: int) -> pa.RecordBatch:
+    """One row per bucket (in ascending order) with its rows of `words` as bytes."""
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[:len(bucket)])
+    width = 8 * words.shape[1]
+    offsets = np.append(edges, len(bucket)).astype(np.int32) * np.int32(width)
+    data = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(words))])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), pa.array(np.full(len(edges), kind, np.int8)), data],
+                                      names=["bucket", "kind", "data"])
+
+
+SINGLE, KNOWN, HITS = 0, 1, 2
+
+
+def _core_entries(buckets: int):
+    """Core hashes with the key of their text, dealt to buckets by core.
+
+    About ENTRIES of them are folded at a time.  A core that two texts share there, or one text has twice,
+    is known to be repeated: it goes on once, and its texts go to buckets by core and text,
+    so no bucket grows with the texts that share one core, or with the copies of one text.
+    """
+    def rows(batches):
+        cores, keys, twice, held = [], [], [], 0
+
+        def emit():
+            core, key, shared = _distinct(np.concatenate(cores), np.concatenate(keys))
+            own = np.unique(np.concatenate(twice))
+            known = shared | np.isin(core, own)
+            yield _packed(_bucket(core[~known], buckets), np.column_stack([core[~known], key[~known]]), SINGLE)
+            once = np.unique(core[known])
+            yield _packed(_bucket(once, buckets), once.reshape(-1, 1), KNOWN)
+            core, key = core[known], key[known]
+            target = _bucket((core ^ (key * _P)) * _MIX, buckets)
+            order = np.argsort(target, kind="stable")
+            yield _packed(target[order], np.column_stack([core[order], key[order]]), HITS)
+
+        for batch in batches:
+            k1 = batch.column("k1").to_numpy().view(np.uint64)
+            for at, _, _, (doc, _, _, _, core) in _batches_of_blocks(batch):
+                core = core.view(np.uint64)
+                order = np.lexsort((core, doc))
+                again = (core[order][1:] == core[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+                cores.append(core)
+                keys.append(k1[doc + at])
+                twice.append(core[order][1:][again])
+                held += len(core)
+                if held >= ENTRIES:
+                    yield from emit()
+                    cores, keys, twice, held = [], [], [], 0
+        if held:
+            yield from emit()
+
+    return rows
+
+
+def _repeated_cores(batches):
+    """Rows (k1, core) of cores that occur elsewhere, bucket by bucket (the rows come in order of bucket)."""
+    now, held = None, ([], [], [])
+
+    def close():
+        single, known, hits = (np.frombuffer(b"".join(h), np.uint64) for h in held)
+        for h in held:
+            h.clear()
+        core, key, shared = _distinct(single[::2], single[1::2])
+        keep = shared | np.isin(core, np.unique(known))
+        more_core, more_key, _ = _distinct(hits[::2], hits[1::2])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in ((key[keep], more_key), (core[keep], more_core))],
+                                          names=["k1", "core"])
+
+    for batch in batches:
+        for bucket, kind, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True):
+            if bucket != now and now is not None:
+                yield close()
+            now = bucket
+            held[kind].append(data)
+    yield close()
+
+
+FOUND = pa.struct([("core", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("lead", pa.int32())])
+
+
+def _found(batches):
+    """The blocks of texts whose cores are repeated, made again beside the text."""
     for batch in batches:
-        known = [batch.column(c) for c in ("doc_id", "k1", "k2")]
-        body = batch.column("body")
-        size, at = np.array([len(b) for b in body.to_pylist()], np.int64), 0
-        while at < len(size):
-            stop = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), BATCH_BYTES, "right")) + at)
-            data = np.frombuffer(b"".join(body.slice(at, stop - at).to_pylist()), np.uint8)
-            begins = np.concatenate([[0], np.cumsum(size[at:stop])])
-            doc, start, n, lead, core = blocks(data, begins)
-            rows = pa.array(doc + at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(core), *(c.take(rows) for c in known), pa.array((start - begins[doc]).astype(np.int32)),
-                 pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32))],
-                names=["core", "doc_id", "k1", "k2", "start", "n", "lead"])
-            at = stop
+        cores = np.unique(batch.column("cores").flatten().to_numpy())
+        for at, stop, begins, (doc, start, n, lead, core) in _batches_of_blocks(batch):
+            keep = np.isin(core, cores)
+            doc = doc[keep]
+            values = [core[keep], (start[keep] - begins[doc]).astype(np.int32), n[keep].astype(np.int32), lead[keep].astype(np.int32)]
+            found = pa.StructArray.from_arrays([pa.array(v) for v in values], fields=list(FOUND))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(stop - at + 1)).astype(np.int32)), found)
+            part = batch.slice(at, stop - at)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("k1", "k2", "docs", "body")), lists],
+                                             names=["k1", "k2", "docs", "body", "found"])
 
 
 def _contexts(with_bytes: bool):
@@ -303,26 +410,31 @@ def remove(docs: DataFrame) -> DataFrame:
     body = F.coalesce("text", F.lit("")).cast("binary")
     rows = (docs.select(F.col("doc_id").cast("long"), body.alias("body"))
             .withColumns({"k1": F.xxhash64("body"), "k2": F.hash("body")}))
-    keyed = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1 << 63)))
-    found = save(keyed.mapInArrow(_block_rows, "core long, doc_id long, k1 long, k2 int, start int, n int, lead int"), "blocks")
-    again = found.groupBy("core").agg(F.count("*").alias("times")).filter("times > 1").select("core")
-    # The first block of a text starts at 0: their number is that of the copies.
-    wanted = (found.join(again, "core").groupBy("k1", "k2")
-              .agg(F.min("doc_id").alias("doc_id"), F.greatest(F.lit(1), F.sum((F.col("start") == 0).cast("int"))).alias("docs"),
-                   F.collect_set(F.struct("core", "start", "n", "lead")).alias("found")))
-    # Only texts that share a core go on, with their bytes.
-    shared = save(keyed.join(wanted, ["doc_id", "k1", "k2"]), "sharing")
+    keyed = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1 << 63))).filter(F.length("body") >= LENGTH)
+    copies = save(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"),
+                                                F.first(F.length("body")).cast("long").alias("n_bytes")), "copies")
+    size = copies.agg(F.sum(F.col("docs") * F.col("n_bytes"))).first()[0] or 0
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+    cores = (keyed.select("k1", "body").mapInArrow(_core_entries(buckets), "bucket int, kind byte, data binary")
+             .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_cores, "k1 long, core long"))
+    wanted = cores.groupBy("k1").agg(F.collect_set("core").alias("cores")).join(copies.drop("n_bytes"), "k1")
+    # Only texts that share a core go on, one of equal ones, with their bytes.
+    shared = save(keyed.join(wanted, ["doc_id", "k1", "k2"]).select("k1", "k2", "docs", "body", "cores")
+                  .mapInArrow(_found, "k1 long, k2 int, docs long, body binary, found array<struct<core:long,start:int,n:int,lead:int>>"), "sharing")
+    single = shared.filter("docs = 1")  # a text with a copy is repeated as a whole
     folded = (shared.select("body", "found", "docs")
               .mapInArrow(_contexts(True), "core long, digest long, lead int, context binary, docs long")
               .groupBy("core", "digest").agg(F.first("lead").alias("lead"), F.first("context").alias("context"), F.sum("docs").alias("docs")))
     runs = save(folded.repartition("core").sortWithinPartitions("core")
                 .mapInArrow(_sorted_groups, "core long, digest long, runs array<int>"), "runs")
-    places = shared.select("body", "found", "k1", "k2").mapInArrow(_contexts(False), "core long, digest long, k1 long, k2 int, start int")
+    places = single.select("body", "found", "k1", "k2").mapInArrow(_contexts(False), "core long, digest long, k1 long, k2 int, start int")
     pieces = (places.join(runs, ["core", "digest"]).groupBy("k1", "k2")
               .agg(F.collect_list(F.struct("start", "runs")).alias("pieces")))
-    cut = (shared.select("k1", "k2", "body").join(pieces, ["k1", "k2"])
-           .mapInArrow(_cut, "k1 long, k2 int, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["k1", "k2"]))
+    cut = (single.select("k1", "k2", "body").join(pieces, ["k1", "k2"])
+           .mapInArrow(_cut, "k1 long, k2 int, n_removed long, n_spans long, kept_sha256 string"))
+    gone = copies.filter("docs > 1").select("k1", "k2", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
+                                            F.sha2(F.lit(b""), 256).alias("kept_sha256"))
     whole = rows.select("doc_id", "k1", "k2", F.length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha"))
-    return whole.join(cut, ["k1", "k2"], "left").select(
+    return whole.join(cut.unionByName(gone), ["k1", "k2"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
