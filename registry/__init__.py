@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-AREAS = ["plays", "ingest", "resolver", "library", "lists", "guard"]
+AREAS = ["plays", "ingest", "resolver", "resolver_rows", "library", "lists", "guard"]
 
 
 class Area:
