@@ -93,11 +93,21 @@ def of_artists(credits: DataFrame, wanted: DataFrame, on: str = "artist_key") ->
     return credits.join(wanted.select(on).distinct(), on, "left_semi")
 
 
-def exact_and_strong(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
+def _credit(apart: bool) -> list[Column]:
+    """The credited name, where it takes part in a search."""
+    return [F.col("artist_norm").alias("credit_norm")] if apart else []
+
+
+def _other_name(apart: bool) -> Column:
+    return F.col("credit_norm") != F.col("artist_norm") if apart else F.lit(True)
+
+
+def exact_and_strong(wanted: DataFrame, index: DataFrame, artist_key: str, apart: bool = False) -> DataFrame:
     """The best exact or strong match of each wanted key, with its search stage.
 
     Stage 1 takes equal titles, stage 2 titles equal without endings, both of
-    the wanted year if one is given; stage 3 drops the year.
+    the wanted year if one is given; stage 3 drops the year.  `apart` leaves out
+    credits under the wanted name.
     """
     same = F.struct(F.col("title_norm").alias("key"), F.lit(3).alias("tier"))
     shorter = F.struct(F.col("stripped_norm").alias("key"), F.lit(2).alias("tier"))
@@ -106,7 +116,7 @@ def exact_and_strong(wanted: DataFrame, index: DataFrame, artist_key: str) -> Da
     tracks = (
         credits.withColumn("form", F.explode_outer(forms))
         .withColumns({p: F.col(p) if p != artist_key else F.col("artist_key") for p in _PICK})
-        .groupBy("artist_key", F.col("form.key").alias("title_key"), F.col("form.tier").alias("tier"), "year", *_MASKS)
+        .groupBy("artist_key", F.col("form.key").alias("title_key"), F.col("form.tier").alias("tier"), "year", *_MASKS, *_credit(apart))
         .agg(_best())
     )
     right_year = (F.col("want_year") == "") | (F.col("want_year") == F.col("year"))
@@ -114,7 +124,7 @@ def exact_and_strong(wanted: DataFrame, index: DataFrame, artist_key: str) -> Da
     return (
         wanted.withColumn("title_key", F.col("title_norm"))
         .join(tracks, ["artist_key", "title_key"])
-        .where(_allowed())
+        .where(_allowed() & _other_name(apart))
         .groupBy(*WANTED)
         .agg(F.min(F.struct(stage.alias("stage"), (-F.col("tier")).alias("neg_tier"), "best")).alias("m"))
         .select(*WANTED, "m.stage", (-F.col("m.neg_tier")).alias("tier"), "m.best")
@@ -156,25 +166,26 @@ def in_cells(probes: DataFrame, titles: DataFrame, on: list[str], limit: int = C
     return cut(probes, "probe", "title"), cut(titles, "title", "probe")
 
 
-def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str, limit: int = CROWDED) -> DataFrame:
+def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str, limit: int = CROWDED, apart: bool = False) -> DataFrame:
     """Distinct (wanted, catalogue title) pairs that may reach the ratio; none that does is missing."""
     credits = of_artists(index.withColumnRenamed(artist_key, "artist_key"), wanted)
     folded = (
         credits.withColumns({p: F.col(p) if p != artist_key else F.col("artist_key") for p in _PICK})
-        .groupBy("artist_key", "stripped_norm", *_MASKS)
+        .groupBy("artist_key", "stripped_norm", *_MASKS, *_credit(apart))
         .agg(_best())
     )
     # Written once, for both the sizes of blocks and the join read it.
     titles = materialize(folded, "titles").withColumn("signature", F.explode_outer(fuzzy.signatures(F.col("stripped_norm"))))
     probes = wanted.withColumn("signature", F.explode_outer(fuzzy.signatures(F.col("title_norm"))))
     lengths = fuzzy.length_fits(F.length("title_norm"), F.length("stripped_norm"))
-    on = ["artist_key", "signature"]
+    on, credit = ["artist_key", "signature"], ["credit_norm"] * apart
     probes, titles = in_cells(*(side.where(F.col("signature").isNotNull()) for side in (probes, titles)), on, limit)
     return (
         probes.join(titles, [*on, "probe_cell", "title_cell"])
-        .where(lengths & _allowed())
-        .select(*WANTED, "stripped_norm", *_MASKS, "best")
-        .dropDuplicates([*WANTED, "stripped_norm", *_MASKS])
+        .where(lengths & _allowed() & _other_name(apart))
+        .select(*WANTED, "stripped_norm", *_MASKS, *credit, "best")
+        .dropDuplicates([*WANTED, "stripped_norm", *_MASKS, *credit])
+        .drop(*credit)
     )
 
 
@@ -192,14 +203,14 @@ def similar_enough(pairs: DataFrame) -> DataFrame:
     )
 
 
-def weak(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
+def weak(wanted: DataFrame, index: DataFrame, artist_key: str, apart: bool = False) -> DataFrame:
     """Similar titles.  The best one is the first in catalogue order, not the most similar.
 
     So the first few pairs of a key are tried before all others: where many
     titles are alike one of them fits, and the rest need no ratio.  Keys still
     open then get all their pairs tried.
     """
-    pairs = materialize(weak_pairs(wanted, index, artist_key), "pairs")
+    pairs = materialize(weak_pairs(wanted, index, artist_key, apart=apart), "pairs")
     columns = [*WANTED, F.lit(3).alias("stage"), F.lit(1).alias("tier"), "best"]
     place = F.row_number().over(Window.partitionBy(*WANTED).orderBy("best"))
     head = pairs.withColumn("place", place).where(F.col("place") <= FIRST_TRIED).drop("place")
@@ -222,3 +233,16 @@ def search(wanted: DataFrame, index: DataFrame, artist_key: str) -> DataFrame:
     first = materialize(exact_and_strong(wanted, index, artist_key), "first")
     rest = materialize(wanted.join(first.select(*WANTED), WANTED, "left_anti"), "rest")
     return first if rest.isEmpty() else first.unionByName(weak(rest, index, artist_key))
+
+
+def search_verified(wanted: DataFrame, index: DataFrame, by_name: DataFrame) -> DataFrame:
+    """What the verified artist's id adds to `by_name`, the result of the search by name.
+
+    Credits under the wanted name were met there, so only those under other names are read;
+    keys that have a better match than a similar title, by name or here, need no similar ones.
+    """
+    wanted = wanted.withColumn("excused_title", markers.excused_mask(F.col("title_norm")))
+    first = materialize(exact_and_strong(wanted, index, "artist_id", apart=True), "first")
+    solved = first.select(*WANTED).unionByName(by_name.where("tier > 1").select(*WANTED))
+    rest = materialize(wanted.join(solved, WANTED, "left_anti"), "rest")
+    return first if rest.isEmpty() else first.unionByName(weak(rest, index, "artist_id", apart=True))

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from spinlog.errors import CandidateError
 from spinlog.operators import cache as C
-from spinlog.operators.match import STAGES, TIERS, WANTED, catalog_index, of_artists, search, wanted_keys
+from spinlog.operators.match import STAGES, TIERS, WANTED, catalog_index, of_artists, search, search_verified, wanted_keys
 from spinlog.session import materialize
 
 LOW_CONFIDENCE = 0.7
@@ -124,7 +124,7 @@ def resolve(
     if not left.isEmpty():
         better = F.min(F.struct("stage", (-F.col("tier")).alias("neg_tier"), "best")).alias("m")
         found = (
-            by_name.unionByName(search(left, index, "artist_id")).groupBy(*WANTED).agg(better)
+            by_name.unionByName(search_verified(left, index, by_name)).groupBy(*WANTED).agg(better)
             .select(*WANTED, "m.stage", (-F.col("m.neg_tier")).alias("tier"), "m.best")
         )
 
