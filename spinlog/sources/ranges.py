@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from spinlog.session import materialize, work_dir
 
 END = b"}"
-WHOLE_FILE = 1 << 42  # a split as large as this holds any file
+PER_TASK, PER_FILE = 128 << 20, 4 << 20  # bytes a task hashes, if no file is longer, and what a file counts beside its own
 _BLANK = b" \t\r\n"
 _HASHES = "source_file string, file_hash string"
 _SUMMARY = "source_file string, start long, size long, bytes long, quotes long, deeper0 long, deeper1 long, begin string"
@@ -60,11 +60,21 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
+def _unsplit(spark: SparkSession, directory: str, pattern: str) -> SparkSession:
+    """A session that cuts no file of the directory, and deals many small files to one task."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select("length")
+    files, total, longest = listed.agg(F.count("length"), F.sum("length"), F.max("length")).first()
+    share = ((total or 0) + files * PER_FILE) // spark.sparkContext.defaultParallelism
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(max(longest or 0, min(PER_TASK, share), 1)))
+    session.conf.set("spark.sql.files.openCostInBytes", str(PER_FILE))
+    session.conf.set("spark.sql.files.minPartitionNum", "1")  # more would make splits smaller than the longest file
+    return session
+
+
 def file_hashes(spark: SparkSession, directory: str, pattern: str = "*.json") -> DataFrame:
     """source_file, file_hash: the SHA-256 of each file's bytes (files without a byte have no row)."""
-    unsplit = spark.newSession()
-    unsplit.conf.set("spark.sql.files.maxPartitionBytes", str(WHOLE_FILE))
-    unsplit.conf.set("spark.sql.files.openCostInBytes", str(WHOLE_FILE))
+    unsplit = _unsplit(spark, directory, pattern)
 
     def hashed(batches):
         digest = last = None
