@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from spinlog.functions import fuzzy, markers
 from spinlog.functions.text import normalize_text, strip_suffixes
-from spinlog.session import materialize
+from spinlog.session import materialize, spread
 
 WANTED = ["artist_norm", "title_norm", "excused_album", "want_year"]
 TIERS = {3: "exact", 2: "strong", 1: "weak"}
@@ -36,7 +36,7 @@ def catalog_index(catalog: DataFrame) -> DataFrame:
 
     Build it once per catalogue and keep it as a table; every lookup reads it.
     """
-    flat = catalog.select(
+    flat = spread(catalog).select(
         F.col("id").alias("track_id"),
         "uri",
         "name",
@@ -64,7 +64,7 @@ def catalog_index(catalog: DataFrame) -> DataFrame:
 
 def wanted_keys(candidates: DataFrame) -> DataFrame:
     """Candidates with their comparison forms; equal requests get equal keys."""
-    return candidates.select(
+    return spread(candidates).select(
         "*",
         normalize_text(F.col("artist")).alias("artist_norm"),
         normalize_text(F.col("title")).alias("title_norm"),
@@ -156,6 +156,12 @@ def in_cells(probes: DataFrame, titles: DataFrame, on: list[str], limit: int = C
     return cut(probes, "probe", "title"), cut(titles, "title", "probe")
 
 
+def signed(rows: DataFrame, text: str, label: str) -> DataFrame:
+    """A row per signature of its text; they are computed once, by many tasks, and stored."""
+    stored = materialize(spread(rows).withColumn("signatures", fuzzy.signatures(F.col(text))), label)
+    return stored.withColumn("signature", F.explode_outer("signatures")).drop("signatures")
+
+
 def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str, limit: int = CROWDED) -> DataFrame:
     """Distinct (wanted, catalogue title) pairs that may reach the ratio; none that does is missing."""
     credits = of_artists(index.withColumnRenamed(artist_key, "artist_key"), wanted)
@@ -164,14 +170,16 @@ def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str, limit: int
         .groupBy("artist_key", "stripped_norm", *_MASKS)
         .agg(_best())
     )
-    # Written once, for both the sizes of blocks and the join read it.
-    titles = materialize(folded, "titles").withColumn("signature", F.explode_outer(fuzzy.signatures(F.col("stripped_norm"))))
-    probes = wanted.withColumn("signature", F.explode_outer(fuzzy.signatures(F.col("title_norm"))))
+    # Written once with their signatures, for both the sizes of blocks and the join read them.
+    titles = signed(folded, "stripped_norm", "titles")
+    probes = signed(wanted, "title_norm", "probes")
     lengths = fuzzy.length_fits(F.length("title_norm"), F.length("stripped_norm"))
     on = ["artist_key", "signature"]
     probes, titles = in_cells(*(side.where(F.col("signature").isNotNull()) for side in (probes, titles)), on, limit)
+    # Dealt by number: adaptive execution sizes tasks by compressed bytes, and copies of titles compress to almost none.
+    on, tasks = [*on, "probe_cell", "title_cell"], int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        probes.join(titles, [*on, "probe_cell", "title_cell"])
+        probes.repartition(tasks, *on).join(titles.repartition(tasks, *on), on)
         .where(lengths & _allowed())
         .select(*WANTED, "stripped_norm", *_MASKS, "best")
         .dropDuplicates([*WANTED, "stripped_norm", *_MASKS])

@@ -49,3 +49,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to a few tasks per core, for work that holds no rows.
+
+    Scans deal by bytes and adaptive execution by shuffled bytes, so short rows that are
+    costly to work on would all be left to a few tasks, and to the memory of these.
+    """
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
