@@ -130,8 +130,10 @@ def in_cells(probes: DataFrame, titles: DataFrame, on: list[str], limit: int = C
 
     Blocks with more than `limit` rows on a side are cut there into cells by a hash of the row; a row goes to every
     cell of the other side, so each pair meets in exactly one.  Sizes are measured, by a hash of `on`: blocks that
-    share a hash are cut alike.
+    share a hash are cut alike.  Both sides come dealt by number, for adaptive execution sizes tasks by compressed
+    bytes, and copies of titles compress to almost none.
     """
+    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.xxhash64(*on).alias("block")
     sizes = probes.select(block, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(
         titles.select(block, F.lit(0).alias("p"), F.lit(1).alias("t")))
@@ -141,7 +143,7 @@ def in_cells(probes: DataFrame, titles: DataFrame, on: list[str], limit: int = C
         .select("block", *[F.greatest(c, F.lit(1)).alias(c) for c in ("probe_cells", "title_cells")]), "crowded")
     few = crowded.count()
     if not few:
-        return tuple(side.withColumns({"probe_cell": F.lit(0), "title_cell": F.lit(0)}) for side in (probes, titles))
+        return tuple(side.repartition(tasks, *on).withColumns({"probe_cell": F.lit(0), "title_cell": F.lit(0)}) for side in (probes, titles))
     if few <= BROADCAST_BLOCKS:
         crowded = F.broadcast(crowded)
 
@@ -151,7 +153,8 @@ def in_cells(probes: DataFrame, titles: DataFrame, on: list[str], limit: int = C
         placed = side.withColumn("block", block).join(crowded, "block", "left").withColumn(
             f"{own}_cell", F.pmod(row, count[own]).cast("int"))
         every = F.explode_outer(F.sequence(F.lit(0), count[other] - 1))
-        return placed.withColumn(f"{other}_cell", every).drop("block", "probe_cells", "title_cells")
+        celled = placed.withColumn(f"{other}_cell", every).drop("block", "probe_cells", "title_cells")
+        return celled.repartition(tasks, *on, "probe_cell", "title_cell")
 
     return cut(probes, "probe", "title"), cut(titles, "title", "probe")
 
@@ -176,10 +179,8 @@ def weak_pairs(wanted: DataFrame, index: DataFrame, artist_key: str, limit: int
     lengths = fuzzy.length_fits(F.length("title_norm"), F.length("stripped_norm"))
     on = ["artist_key", "signature"]
     probes, titles = in_cells(*(side.where(F.col("signature").isNotNull()) for side in (probes, titles)), on, limit)
-    # Dealt by number: adaptive execution sizes tasks by compressed bytes, and copies of titles compress to almost none.
-    on, tasks = [*on, "probe_cell", "title_cell"], int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        probes.repartition(tasks, *on).join(titles.repartition(tasks, *on), on)
+        probes.join(titles, [*on, "probe_cell", "title_cell"])
         .where(lengths & _allowed())
         .select(*WANTED, "stripped_norm", *_MASKS, "best")
         .dropDuplicates([*WANTED, "stripped_norm", *_MASKS])
