@@ -80,11 +80,9 @@ def write_export(spark: SparkSession, sf_dir: str, batch: str = "true", target:
 
 
 def fields_of(records: DataFrame) -> DataFrame:
-    pick = {"ts": "ts", "ms_played": "ms_played", "app_episode_uri": "episode_uri", "username": "username"}
-    return records.select(
-        "source_index", *[F.get_json_object("payload", f"$.{k}").alias(v) for k, v in pick.items()],
-        F.get_json_object("payload", "$.episode_show_name").alias("episode_show"),
-    )
+    pick = {"ts": "ts", "ms_played": "ms_played", "app_episode_uri": "episode_uri", "username": "username",
+            "episode_show_name": "episode_show"}
+    return records.select("source_index", F.json_tuple("payload", *pick).alias(*pick.values()))
 
 
 FIELDS_SQL = (

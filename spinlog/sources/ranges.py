@@ -8,17 +8,21 @@ running sums over a file's ranges give each its beginning.  The second pass cuts
 the commas of the outer array.  An element that lies in several ranges is put together by its
 index; all others never leave their task.  Each element is then checked by Spark's JSON parser.
 
+A file that is small, and that Spark would not cut, needs no first pass: it begins outside of everything.
+It is read as one row, cut in one go, and its elements are parsed before they are stored.
+
 The SHA-256 of a file has no parallel form: one task streams each file, and holds one batch of rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,23 +30,29 @@ from spinlog.session import materialize, work_dir
 
 END = b"}"
 PER_TASK, PER_FILE = 128 << 20, 4 << 20  # bytes a task hashes, if no file is longer, and what a file counts beside its own
+WHOLE, PER_BATCH, PER_OPEN = 4 << 20, 16, 256 << 10  # bytes of a file cut in one go, such files to a batch, and what one counts beside its bytes
 _BLANK = b" \t\r\n"
 _HASHES = "source_file string, file_hash string"
 _SUMMARY = "source_file string, start long, size long, bytes long, quotes long, deeper0 long, deeper1 long, begin string"
 _PIECES = "source_file string, start long, at long, head boolean, tail boolean, outside boolean, text binary"
+_CUT = "source_file string, source_index long, text binary, array boolean, balanced boolean, around string"
+
+
+def _file_name() -> Column:
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
-def _texts(spark: SparkSession, directory: str, pattern: str, only: list[str] | None = None) -> DataFrame:
+def _texts(spark: SparkSession, directory: str, pattern: str, only: list[str] | None = None, above: int = 0) -> DataFrame:
     """The texts between one `}` and the next, with the range they begin in; in order within a range.
 
-    `only` names files; Spark reads no others.
+    `only` names files, of more than `above` bytes; Spark reads no others.
     """
     lines = spark.read.option("lineSep", END.decode()).option("pathGlobFilter", pattern).text(directory)
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    lines = lines.where(F.col("_metadata.file_size") > above)
     if only is not None:
-        lines = lines.where(name.isin(only))
+        lines = lines.where(_file_name().isin(only))
     return lines.select(
-        name.alias("source_file"), F.col("_metadata.file_block_start").alias("start"),
+        _file_name().alias("source_file"), F.col("_metadata.file_block_start").alias("start"),
         F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("text"))
 
 
@@ -227,13 +237,84 @@ def _pieces(texts: DataFrame, beginnings: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, _PIECES)
 
 
+def _whole_limit(spark: SparkSession) -> int:
+    """Up to how many bytes a file is cut in one go: never more than Spark gives a task of a file."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    return min(WHOLE, int(number) << 10 * " kmgtp".index(unit or " "))
+
+
+_MARKS, _DEPTHS = np.zeros(256, bool), np.zeros(256, np.int8)
+_MARKS[list(b'"{}[],')] = True
+_DEPTHS[list(b"{[")], _DEPTHS[list(b"}]")] = 1, -1
+
+
+def _cut_whole(content: bytes) -> tuple[list[bytes], bool, bool, str]:
+    """The elements of a whole file, is it an array, is it balanced, and what stands around the elements."""
+    # Pairs of backslashes first: what then stands before a quote escapes it.
+    plain = content.replace(b"\\\\", b"..").replace(b'\\"', b"..") if b"\\" in content else content
+    data = np.frombuffer(plain, np.uint8)
+    marks = np.flatnonzero(_MARKS[data])
+    kinds = data[marks]
+    string = (np.cumsum(kinds == ord('"')) & 1).astype(bool)
+    after = np.cumsum(np.where(string, 0, _DEPTHS[kinds]), dtype=np.int64)
+    array = content.lstrip(_BLANK)[:1] == b"["
+    balanced = not len(marks) or bool(not string[-1] and after[-1] == 0)
+    if array and balanced and (after[:-1] >= 1).all():  # one array, and blanks or plain text behind it
+        first, end = int(marks[0]), int(marks[-1])
+        cuts = [first, *marks[(kinds == ord(",")) & ~string & (after == 1)].tolist(), end]
+        around = content[first:first + 1] + content[end:].translate(None, _BLANK)
+        return [content[a + 1:b] for a, b in zip(cuts, cuts[1:])], array, balanced, around[:3].decode("latin-1")
+    cutter = _Cutter(("", 0, 0, 0, True, True, array))
+    *pieces, outside = [*cutter.feed([content]), *cutter.finish()]
+    return [p[-1] for p in pieces], array, balanced, outside[-1].decode("latin-1")
+
+
+def _whole_files(spark: SparkSession, directory: str, pattern: str, only: list[str] | None, limit: int) -> DataFrame:
+    """The elements of the files of up to `limit` bytes, and per file one row without index of what the file shows."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.openCostInBytes", str(PER_OPEN))
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PER_BATCH))
+    files = session.read.option("pathGlobFilter", pattern).text(directory, wholetext=True)
+    files = files.where(F.col("_metadata.file_size").between(1, limit))
+    if only is not None:
+        files = files.where(_file_name().isin(only))
+
+    def cut(batches):
+        for batch in batches:
+            for name, content in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                elements, array, balanced, around = _cut_whole(content)
+                n = len(elements)
+                kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.string())
+                columns = (pa.repeat(name, n), pa.array(range(n)), pa.array(elements, pa.binary()), *(pa.nulls(n, t) for t in kinds[3:]))
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _CUT.split(", ")])
+                yield _batch([(name, None, None, array, balanced, around)], _CUT)
+
+    return files.select(_file_name().alias("source_file"), F.col("value").cast("binary").alias("text")).mapInArrow(cut, _CUT)
+
+
 # A text that could pass for an object once its quotes are gone.
 _BRACED = r'^\s*"\s*(?:\{|\\u007[bB])'
 
 
+def _checked(elements: DataFrame) -> DataFrame:
+    """What Spark's JSON parser makes of each element's bytes, beside the columns that stand with them; parsed once."""
+    text = F.decode("text", "UTF-8")
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    others = [c for c in elements.columns if c != "text"]
+    return elements.select(*others, text.alias("text"), parsed.alias("parsed")).select(
+        *others, F.get("parsed", F.lit(0)).alias("payload"), F.col("text").rlike(r"^\s*$").alias("blank"),
+        (F.col("parsed").isNull() | (F.size("parsed") != 1)).alias("broken"), F.col("text").rlike(_BRACED).alias("braced"))
+
+
 def records(spark: SparkSession, directory: str, pattern: str = "*.json", only: list[str] | None = None) -> DataFrame:
     """source_file, source_index, payload, problem: one row per element of the files' arrays, or one row per broken file."""
-    texts = _texts(spark, directory, pattern, only)
+    limit = _whole_limit(spark)
+    small = _checked(_whole_files(spark, directory, pattern, only, limit))
+    path = work_dir(spark, "elements")
+    small.write.parquet(path)
+    small = spark.read.schema(small.schema).parquet(path)
+
+    texts = _texts(spark, directory, pattern, only, limit)
     beginnings = materialize(_beginnings(_summaries(texts)), "ranges")
     pieces = materialize(_pieces(texts, beginnings), "pieces")
 
@@ -244,29 +325,26 @@ def records(spark: SparkSession, directory: str, pattern: str = "*.json", only:
         "source_index", F.col("before") + F.col("at"))
     joined = F.aggregate(F.sort_array(F.collect_list(F.struct("start", "text"))), F.lit(b""), lambda a, x: F.concat(a, x.text))
     across = placed.where("not (head and tail)").groupBy("source_file", "source_index").agg(joined.alias("text"))
-    elements = placed.where("head and tail").select("source_file", "source_index", "text").unionByName(across)
-    text = F.decode("text", "UTF-8")
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-    elements = elements.select("source_file", "source_index", text.alias("text"), parsed.alias("parsed"))
+    large = _checked(placed.where("head and tail").select("source_file", "source_index", "text").unionByName(across))
 
-    blank = F.col("text").rlike(r"^\s*$")
-    broken = F.col("parsed").isNull() | (F.size("parsed") != 1)
+    elements = small.where("source_index is not null").select(*large.columns).unionByName(large)
     inner = elements.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(blank, 1)).alias("blanks"), F.count(F.when(broken & ~blank, 1)).alias("broken"),
-        F.coalesce(F.max(F.col("text").rlike(_BRACED)), F.lit(False)).alias("braced"))
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("blank"), 1)).alias("blanks"),
+        F.count(F.when(F.col("broken") & ~F.col("blank"), 1)).alias("broken"), F.coalesce(F.max("braced"), F.lit(False)).alias("braced"))
     outer = ranges.groupBy("source_file").agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("start", "around")))["around"], "").alias("around"))
-    whole = beginnings.groupBy("source_file").agg(F.max("array").alias("array"), F.min("balanced").alias("balanced"))
+    whole = beginnings.groupBy("source_file").agg(F.max("array").alias("array"), F.min("balanced").alias("balanced")).join(outer, "source_file")
+    whole = whole.unionByName(small.where("source_index is null").select("source_file", "array", "balanced", "around"))
     fine = F.col("balanced") & (F.col("broken") == 0) & ((F.col("blanks") == 0) | (F.col("array") & (F.col("n") == 1)))
-    files = whole.join(outer, "source_file").join(inner, "source_file", "left").select(
+    files = whole.join(inner, "source_file", "left").select(
         "source_file",
         F.when(~F.col("array") & fine, "the file is JSON, but no array of records")
         .when(~F.col("array") | ~fine | (F.col("around") != "[]"), "no JSON in it")
         .when(F.col("braced"), "a text stands where a record should").alias("problem"))
     bad = materialize(files.where("problem is not null"), "broken")
-    payload = F.get("parsed", F.lit(0))
-    good = elements.where(~blank).join(bad, "source_file", "left_anti").select(
-        "source_file", "source_index", payload.alias("payload"),
+    payload = F.col("payload")
+    good = elements.where("not blank").join(bad, "source_file", "left_anti").select(
+        "source_file", "source_index", "payload",
         F.when(payload.isNull() | ~payload.startswith("{"), "this entry is no record").alias("problem"))
     return good.unionByName(bad.select(
         "source_file", F.lit(None).cast("bigint").alias("source_index"), F.lit(None).cast("string").alias("payload"), "problem"))

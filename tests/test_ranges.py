@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,34 @@ def test_ranges_give_what_whole_files_give(spark, made, size):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_small_files_are_read_in_one_pass_and_large_ones_in_two(spark, made, monkeypatch):
+    place, content = made
+    ranged = []
+    count = ranges._summaries
+    monkeypatch.setattr(ranges, "_summaries", lambda texts: ranged.append({r[0] for r in texts.select("source_file").collect()}) or count(texts))
+    ranges.records(spark, str(place))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        ranges.records(spark, str(place))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ranged == [set(), {name for name, data in content.items() if len(data) > 3000}]
+    assert ranged[1]
+
+
+def test_a_file_in_one_go_is_cut_as_its_ranges_are():
+    rng = random.Random(5)
+    texts = [*files(rng).values(), b"", b"[", b"]", b"][", b'"', b"[{}]}", b"[1],[2]", b"\xef\xbb\xbf[{}]", b'[{"a":"\xff"}]', b'[1]"', b"[1]]["]
+    texts += [bytes(rng.choice(b'[]{}",\\a \n') for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    texts += [b"[" + t + b"]" for t in texts]
+    for text in texts:
+        elements, array, balanced, around = ranges._cut_whole(text)
+        data = np.frombuffer(text, np.uint8)
+        string = (np.cumsum(ranges._quotes(data)) & 1).astype(bool)
+        assert array == (text.lstrip(b" \t\r\n")[:1] == b"[")
+        assert balanced == (not string[-1:].any() and ranges._deeper(data, string).sum() == 0), text
+        cutter = ranges._Cutter(("", 0, 0, 0, True, True, array))
+        *pieces, outside = [*cutter.feed([text]), *cutter.finish()]
+        assert (elements, around) == ([p[-1] for p in pieces], outside[-1].decode("latin-1")), text
