@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinlog.errors import IngestError
-from spinlog.operators.plays import drop_repeats, normalize
+from spinlog.operators.plays import derive_columns, drop_repeats, extract_fields, normalize
 from spinlog.schema import SKIP_MS, SUBSTANTIAL_MS, ExportFormat
 from spinlog.session import materialize
 from spinlog.sources import export, ranges
@@ -58,19 +58,20 @@ def ingest(
     run, attempt = (last["run_id"] if last else 0) + 1, new_attempt()
     settings = json.dumps([fmt.provider, local_timezone, skip_ms_threshold, substantial_ms])
 
-    files = export.file_listing(spark, directory, pattern)
-    total = files.select("path").count()
-    export.check_not_empty(files, total)
+    files = export.listed(spark, directory, pattern)
+    hashes = ranges.file_hashes(spark, directory, pattern, files)
+    total = hashes.count()
+    export.check_not_empty(export.named_files(files), total)
     if not total:
         raise IngestError(f"no {pattern} files in {directory}")
-    new = store.write_files(export.new_files(ranges.file_hashes(spark, directory, pattern), store.ingested_files()), run, attempt)
+    new = store.write_files(export.new_files(hashes, store.ingested_files()), run, attempt)
     n_new = new.count()
 
     rows, fields = 0, []
     if n_new:
         # When every file is new there is nothing to filter, and no join.
         only = None if n_new == total else new.select("source_file")
-        records = export.scan_export(spark, directory, pattern, only)
+        records = export.scan_export(spark, directory, pattern, only, files)
         raw = store.write_raw(export.check_keys(records, fmt), run, attempt)
         export.raise_first(raw)
         rows = raw.count()
@@ -83,7 +84,8 @@ def ingest(
         plays = normalize(raw_plays, fmt, local_timezone, skip_ms_threshold, substantial_ms)
         version, total_plays = attempt, store.write_plays(plays, attempt)
     elif n_new:
-        fresh = normalize(store.raw_of(run, attempt), fmt, local_timezone, skip_ms_threshold, substantial_ms)
+        fresh = extract_fields(store.raw_of(run, attempt), fmt)  # with its copies, which the merge drops among all others
+        fresh = derive_columns(fresh, local_timezone, skip_ms_threshold, substantial_ms)
         version = attempt
         total_plays = store.write_plays(merge_months(store, fresh, last["plays_version"]), attempt, last["plays_version"])
     else:
@@ -110,7 +112,7 @@ def ingest(
 
 
 def merge_months(store: HistoryStore, fresh: DataFrame, version: str) -> DataFrame:
-    """All plays of the months that `fresh` touches: its own and those stored, each play once.
+    """All plays of the months that `fresh` touches: its own, copies or not, and those stored, each play once.
 
     Which of two copies stays is decided by the order of their sources, which is stored with each row,
     so the stored winner of earlier copies is as good as all of them.

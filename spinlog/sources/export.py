@@ -20,10 +20,18 @@ RECORD_COLUMNS = ["source_file", "source_index", "payload", "problem"]
 
 def file_listing(spark: SparkSession, directory: str, pattern: str = "*.json") -> DataFrame:
     """(source_file, path, content) of a flat directory; content is read only if used."""
+    return named_files(listed(spark, directory, pattern))
+
+
+def listed(spark: SparkSession, directory: str, pattern: str = "*.json") -> DataFrame:
+    """The directory listed once, for `ranges`."""
     try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+        return ranges.listing(spark, directory, pattern)
     except AnalysisException as exc:
         raise IngestError(f"{directory} is not a readable directory") from exc
+
+
+def named_files(files: DataFrame) -> DataFrame:
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("source_file"), "path", "content"
     )
@@ -31,9 +39,9 @@ def file_listing(spark: SparkSession, directory: str, pattern: str = "*.json") -
 
 def check_not_empty(files: DataFrame, found: int) -> None:
     """Spark skips files without a byte; they are not JSON, so they must not pass unseen."""
-    listed = files.inputFiles()
-    if len(listed) != found:
-        names = {path.rsplit("/", 1)[-1] for path in listed}
+    # The names stay in the JVM unless one is wanted: each costs a call to fetch.
+    if len(files._jdf.inputFiles()) != found:
+        names = {path.rsplit("/", 1)[-1] for path in files.inputFiles()}
         read = {r["source_file"] for r in files.select("source_file").collect()}
         raise IngestError(f"{min(names - read)}: no JSON in it (the file is empty).")
 
@@ -132,11 +140,11 @@ def unknown_fields(checked: DataFrame) -> DataFrame:
     return checked.select(F.explode("unknown_keys").alias("field")).distinct()
 
 
-def scan_export(spark: SparkSession, directory: str, pattern: str = "*.json", only: DataFrame | None = None) -> DataFrame:
+def scan_export(
+    spark: SparkSession, directory: str, pattern: str = "*.json", only: DataFrame | None = None, files: DataFrame | None = None
+) -> DataFrame:
     """Every record of a directory as (source_file, source_index, payload, problem).
 
-    `only` restricts the scan to some files (a `source_file` column); their names, which Spark's own listing holds
-    on the driver as well, choose the files before any is read.
+    `only` restricts the scan to some files (a `source_file` column); `files` is the directory as `listed` before.
     """
-    names = None if only is None else [r["source_file"] for r in only.select("source_file").collect()]
-    return ranges.records(spark, directory, pattern, names).select(*RECORD_COLUMNS)
+    return ranges.records(spark, directory, pattern, only, files).select(*RECORD_COLUMNS)

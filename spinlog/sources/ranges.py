@@ -11,7 +11,11 @@ index; all others never leave their task.  Each element is then checked by Spark
 A file that is small, and that Spark would not cut, needs no first pass: it begins outside of everything.
 It is read as one row, cut in one go, and its elements are parsed before they are stored.
 
-The SHA-256 of a file has no parallel form: one task streams each file, and holds one batch of rows.
+The SHA-256 of a file has no parallel form: one task streams each large file, and holds one batch of rows;
+that of a small file is taken from its one row.
+
+A folder may hold very many files.  It is listed once (`listing`) for all that is asked of it, and many
+names are joined, as a filter that spells them out would stand in every plan and every message about one.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,8 +35,10 @@ from spinlog.session import materialize, work_dir
 END = b"}"
 PER_TASK, PER_FILE = 128 << 20, 4 << 20  # bytes a task hashes, if no file is longer, and what a file counts beside its own
 WHOLE, PER_BATCH, PER_OPEN = 4 << 20, 16, 256 << 10  # bytes of a file cut in one go, such files to a batch, and what one counts beside its bytes
+FEW = 1000  # names that a plan may spell out
 _BLANK = b" \t\r\n"
 _HASHES = "source_file string, file_hash string"
+_TEXTS = "source_file string, start long, size long, text binary"
 _SUMMARY = "source_file string, start long, size long, bytes long, quotes long, deeper0 long, deeper1 long, begin string"
 _PIECES = "source_file string, start long, at long, head boolean, tail boolean, outside boolean, text binary"
 _CUT = "source_file string, source_index long, text binary, array boolean, balanced boolean, around string"
@@ -42,16 +48,36 @@ def _file_name() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
-def _texts(spark: SparkSession, directory: str, pattern: str, only: list[str] | None = None, above: int = 0) -> DataFrame:
+def listing(spark: SparkSession, directory: str, pattern: str = "*.json") -> DataFrame:
+    """The files as Spark's binary source has them, listed once; small files share a task."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.openCostInBytes", str(PER_OPEN))
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PER_BATCH))
+    return session.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+
+
+def _wanted(files: DataFrame, only: DataFrame | list[str] | None) -> DataFrame:
+    """The files that `only` names: few names choose the files before any is read, many are joined."""
+    if only is None:
+        return files
+    if isinstance(only, DataFrame):
+        only = only.select("source_file").distinct()
+        names = [r["source_file"] for r in only.limit(FEW + 1).collect()]
+        if len(names) > FEW:
+            # As many names as the listing holds on the driver, at most.
+            return files.withColumn("source_file", _file_name()).join(F.broadcast(only), "source_file", "left_semi")
+        only = names
+    return files.withColumn("source_file", _file_name()).where(_file_name().isin(only))
+
+
+def _texts(spark: SparkSession, directory: str, pattern: str, only: DataFrame | list[str] | None = None, above: int = 0) -> DataFrame:
     """The texts between one `}` and the next, with the range they begin in; in order within a range.
 
-    `only` names files, of more than `above` bytes; Spark reads no others.
+    `only` names files, of more than `above` bytes.
     """
     lines = spark.read.option("lineSep", END.decode()).option("pathGlobFilter", pattern).text(directory)
     lines = lines.where(F.col("_metadata.file_size") > above)
-    if only is not None:
-        lines = lines.where(_file_name().isin(only))
-    return lines.select(
+    return _wanted(lines.select("value", "_metadata"), only).select(
         _file_name().alias("source_file"), F.col("_metadata.file_block_start").alias("start"),
         F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("text"))
 
@@ -70,21 +96,40 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def _unsplit(spark: SparkSession, directory: str, pattern: str) -> SparkSession:
-    """A session that cuts no file of the directory, and deals many small files to one task."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select("length")
-    files, total, longest = listed.agg(F.count("length"), F.sum("length"), F.max("length")).first()
-    share = ((total or 0) + files * PER_FILE) // spark.sparkContext.defaultParallelism
+def _large(files: DataFrame, above: int) -> Row:
+    """How many files are larger, their bytes and the longest; the others are not opened."""
+    sizes = files.where(F.col("_metadata.file_size") > above).select(F.col("length").alias("size"))
+    return sizes.agg(F.count("size").alias("files"), F.sum("size").alias("total"), F.max("size").alias("longest")).first()
+
+
+def _unsplit(spark: SparkSession, large: Row) -> SparkSession:
+    """A session that cuts no file, and deals several to one task."""
+    share = (large["total"] + large["files"] * PER_FILE) // spark.sparkContext.defaultParallelism
     session = spark.newSession()
-    session.conf.set("spark.sql.files.maxPartitionBytes", str(max(longest or 0, min(PER_TASK, share), 1)))
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(max(large["longest"], min(PER_TASK, share))))
     session.conf.set("spark.sql.files.openCostInBytes", str(PER_FILE))
     session.conf.set("spark.sql.files.minPartitionNum", "1")  # more would make splits smaller than the longest file
     return session
 
 
-def file_hashes(spark: SparkSession, directory: str, pattern: str = "*.json") -> DataFrame:
-    """source_file, file_hash: the SHA-256 of each file's bytes (files without a byte have no row)."""
-    unsplit = _unsplit(spark, directory, pattern)
+def file_hashes(spark: SparkSession, directory: str, pattern: str = "*.json", files: DataFrame | None = None) -> DataFrame:
+    """source_file, file_hash: the SHA-256 of each file's bytes (files without a byte have no row).
+
+    `files` is the folder's `listing`, if it was made before.
+    """
+    files = listing(spark, directory, pattern) if files is None else files
+    limit = _whole_limit(spark)
+    small = files.where(F.col("_metadata.file_size").between(1, limit))
+    path = work_dir(spark, "hashes")
+    small.select(_file_name().alias("source_file"), F.sha2("content", 256).alias("file_hash")).write.parquet(path)
+    large = _large(files, limit)
+    if large["files"]:
+        _streamed_hashes(_texts(_unsplit(spark, large), directory, pattern, above=limit)).write.mode("append").parquet(path)
+    return spark.read.schema(_HASHES).parquet(path)
+
+
+def _streamed_hashes(texts: DataFrame) -> DataFrame:
+    """The hash of each file from its texts in order, of which a task holds one batch."""
 
     def hashed(batches):
         digest = last = None
@@ -109,9 +154,7 @@ def file_hashes(spark: SparkSession, directory: str, pattern: str = "*.json") ->
         if last is not None:
             yield out()
 
-    path = work_dir(spark, "hashes")
-    _texts(unsplit, directory, pattern).mapInArrow(hashed, _HASHES).write.parquet(path)
-    return spark.read.schema(_HASHES).parquet(path)
+    return texts.mapInArrow(hashed, _HASHES)
 
 
 def _quotes(data: np.ndarray) -> np.ndarray:
@@ -269,52 +312,66 @@ def _cut_whole(content: bytes) -> tuple[list[bytes], bool, bool, str]:
     return [p[-1] for p in pieces], array, balanced, outside[-1].decode("latin-1")
 
 
-def _whole_files(spark: SparkSession, directory: str, pattern: str, only: list[str] | None, limit: int) -> DataFrame:
+def _whole_files(files: DataFrame, only: DataFrame | list[str] | None, limit: int) -> DataFrame:
     """The elements of the files of up to `limit` bytes, and per file one row without index of what the file shows."""
-    session = spark.newSession()
-    session.conf.set("spark.sql.files.openCostInBytes", str(PER_OPEN))
-    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PER_BATCH))
-    files = session.read.option("pathGlobFilter", pattern).text(directory, wholetext=True)
-    files = files.where(F.col("_metadata.file_size").between(1, limit))
-    if only is not None:
-        files = files.where(_file_name().isin(only))
+    files = _wanted(files.where(F.col("_metadata.file_size").between(1, limit)).select("content", "_metadata"), only)
+
+    names, kinds = [c.split()[0] for c in _CUT.split(", ")], (pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.string())
 
     def cut(batches):
         for batch in batches:
+            elements, places, counts, shown = [], [], [], []
             for name, content in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-                elements, array, balanced, around = _cut_whole(content)
-                n = len(elements)
-                kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.string())
-                columns = (pa.repeat(name, n), pa.array(range(n)), pa.array(elements, pa.binary()), *(pa.nulls(n, t) for t in kinds[3:]))
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _CUT.split(", ")])
-                yield _batch([(name, None, None, array, balanced, around)], _CUT)
+                found, *seen = _cut_whole(content)
+                elements += found
+                places += range(len(found))
+                counts.append(len(found))
+                shown.append((name, None, None, *seen))
+            files = pa.array([row[0] for row in shown], kinds[0]).take(pa.array(np.repeat(np.arange(len(counts)), counts), kinds[1]))
+            columns = [files, pa.array(places, kinds[1]), pa.array(elements, kinds[2]), *(pa.nulls(len(elements), t) for t in kinds[3:])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield _batch(shown, _CUT)
 
-    return files.select(_file_name().alias("source_file"), F.col("value").cast("binary").alias("text")).mapInArrow(cut, _CUT)
+    return files.select(_file_name().alias("source_file"), F.col("content").alias("text")).mapInArrow(cut, _CUT)
 
 
 # A text that could pass for an object once its quotes are gone.
 _BRACED = r'^\s*"\s*(?:\{|\\u007[bB])'
+_SPACES = " \t\n\x0b\f\r"  # what \s is
 
 
 def _checked(elements: DataFrame) -> DataFrame:
-    """What Spark's JSON parser makes of each element's bytes, beside the columns that stand with them; parsed once."""
+    """What Spark's JSON parser makes of each element's bytes, beside the columns that stand with them; parsed once.
+
+    A blank text has no element, so it is one of the broken, and a braced one begins with a quote: only these meet a pattern.
+    """
     text = F.decode("text", "UTF-8")
     parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
     others = [c for c in elements.columns if c != "text"]
+    broken = F.col("parsed").isNull() | (F.size("parsed") != 1)
+    quoted = F.ltrim("text", F.lit(_SPACES)).startswith('"')
     return elements.select(*others, text.alias("text"), parsed.alias("parsed")).select(
-        *others, F.get("parsed", F.lit(0)).alias("payload"), F.col("text").rlike(r"^\s*$").alias("blank"),
-        (F.col("parsed").isNull() | (F.size("parsed") != 1)).alias("broken"), F.col("text").rlike(_BRACED).alias("braced"))
+        *others, F.get("parsed", F.lit(0)).alias("payload"),
+        F.when(F.col("text").isNotNull(), F.when(broken, F.col("text").rlike(r"^\s*$")).otherwise(False)).alias("blank"), broken.alias("broken"),
+        F.when(F.col("text").isNotNull(), F.when(quoted, F.col("text").rlike(_BRACED)).otherwise(False)).alias("braced"))
+
 
+def records(
+    spark: SparkSession, directory: str, pattern: str = "*.json", only: DataFrame | list[str] | None = None, files: DataFrame | None = None
+) -> DataFrame:
+    """source_file, source_index, payload, problem: one row per element of the files' arrays, or one row per broken file.
 
-def records(spark: SparkSession, directory: str, pattern: str = "*.json", only: list[str] | None = None) -> DataFrame:
-    """source_file, source_index, payload, problem: one row per element of the files' arrays, or one row per broken file."""
+    `only` names the files to read (a `source_file` column or a list); `files` is the folder's `listing`, if it was made before.
+    """
+    files = listing(spark, directory, pattern) if files is None else files
     limit = _whole_limit(spark)
-    small = _checked(_whole_files(spark, directory, pattern, only, limit))
+    small = _checked(_whole_files(files, only, limit))
     path = work_dir(spark, "elements")
     small.write.parquet(path)
     small = spark.read.schema(small.schema).parquet(path)
 
-    texts = _texts(spark, directory, pattern, only, limit)
+    # Without large files there is nothing to list again for the reader that cuts them.
+    texts = _texts(spark, directory, pattern, only, limit) if _large(files, limit)["files"] else spark.createDataFrame([], _TEXTS)
     beginnings = materialize(_beginnings(_summaries(texts)), "ranges")
     pieces = materialize(_pieces(texts, beginnings), "pieces")
 
