@@ -25,7 +25,7 @@ def utc_timestamp(text: Column) -> Column:
     has_time = text.rlike(r"\d:\d")
     parsed = F.when(has_time & text.rlike(_ZONED), zoned).otherwise(text.try_cast("timestamp_ntz"))
     bad = F.raise_error(F.concat(F.lit("not a time: "), text)).cast("timestamp_ntz")
-    return F.when(text.isNull() | parsed.isNotNull(), parsed).otherwise(bad)
+    return F.when(text.isNotNull(), F.coalesce(parsed, bad))  # the costly text is parsed in one place only
 
 
 def lenient_bigint(text: Column) -> Column:
@@ -43,7 +43,8 @@ def extract_fields(raw: DataFrame, fmt: ExportFormat) -> DataFrame:
     keys = fmt.mapped()
     text_schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
     rest = [c for c in raw.columns if c != "payload"]
-    parsed = raw.select(*rest, F.from_json("payload", text_schema).alias("r"))
+    # Through a generator, below which the filter on `ts` can't be pushed: it would parse each record once more.
+    parsed = raw.select(*rest, F.explode(F.array(F.from_json("payload", text_schema))).alias("r"))
 
     def typed(key: str, name: str) -> Column:
         value = F.col(f"r.{key}")
@@ -68,14 +69,15 @@ def drop_repeats(extracted: DataFrame, order: list[str]) -> DataFrame:
     `order` must be unique per record.  min(struct) aggregates on the map side,
     so even a third of all rows being copies of one play leaves each task with
     a single row.  Records without a URI carry their own order columns in the
-    key: each is a group of one, and no NULL key collects them.
+    key: each is a group of one, and no NULL key collects them.  The time comes first in the
+    key, as sorts compare its bytes at once, where all URIs begin alike.
     """
     uri = F.coalesce("track_uri", "episode_uri")
     own = [F.when(uri.isNull(), F.col(c)).alias(f"_own_{c}") for c in order]
     rest = [c for c in extracted.columns if c not in (*order, "ts_utc", "ms_played")]
     first = F.min(F.struct(*order, *rest)).alias("first")
     return (
-        extracted.groupBy(uri.alias("_uri"), "ts_utc", "ms_played", *own)
+        extracted.groupBy("ts_utc", "ms_played", uri.alias("_uri"), *own)
         .agg(first)
         .select("ts_utc", "ms_played", "first.*")
         .select(*extracted.columns)

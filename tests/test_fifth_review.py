@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from spinlog.operators.plays import extract_fields
+from spinlog.schema import RAW_PLAYS, ExportFormat
 from spinlog.sources import export, ranges
 
 
@@ -27,3 +29,13 @@ def test_names_of_many_files_stand_in_no_plan(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == {(n, 0) for n in wanted} | {("large.json", i) for i in range(2000)}
     assert len(plans) == 2 and not [n for n in wanted for plan in plans if "FileScan" in plan and n in plan]
+
+
+def test_a_record_is_parsed_once(spark):
+    """The filter on `ts` parsed each record again, and a time was read twice."""
+    rows = [(1, "f", i, p) for i, p in enumerate(['{"ts":"2020-01-01T00:00:00Z","ms_played":"5"}', '{"ts":null}', "{}", None])]
+    fields = extract_fields(spark.createDataFrame(rows, RAW_PLAYS), ExportFormat())
+    assert [(r.source_index, str(r.ts_utc), r.ms_played) for r in fields.collect()] == [(0, "2020-01-01 00:00:00", 5)]
+    plan = fields._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert plan.count("try_cast(r") and plan.count("as timestamp_ntz) END") == 1
