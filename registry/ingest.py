@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from itertools import groupby
+from urllib.parse import unquote, urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,12 +75,35 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit(1).cast("bigint").alias("ingest_run_id"), "source_file", "source_index", "payload")
 
 
-def write_export(spark: SparkSession, sf_dir: str, batch: str = "true", target: str | None = None) -> str:
-    """The derived export, or the files `batch` holds for, as real files of one JSON array each."""
+def write_export(spark: SparkSession, sf_dir: str, batch: str = "true", target: str | None = None, label: str = "all") -> str:
+    """The derived export, or the records `batch` holds for, as real files of one JSON array each.
+
+    `label` keeps the names of several calls for one folder apart.
+    """
     target = target or work_dir(spark, "export")
-    files = export_files(spark, sf_dir).withColumn("file_no", F.regexp_extract("source_file", r"part_(\d+)", 1).cast("bigint"))
-    text = files.where(batch).select(F.decode("content", "UTF-8").alias("value"))
-    text.write.mode("append").option("maxRecordsPerFile", 1).text(target)
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    at = urlsplit(target)
+    if (at.scheme or urlsplit(default).scheme) != "file":
+        text = export_files(spark, sf_dir, batch).select(F.decode("content", "UTF-8").alias("value"))
+        text.write.mode("append").option("maxRecordsPerFile", 1).text(target)
+        return target
+    # In a local or mounted folder Hadoop's writer would start two processes for each file (`chmod`, for it and its checksum).
+    folder = unquote(at.path) if at.scheme else target
+
+    def write(rows):
+        for file_no, records in groupby(rows, key=lambda r: r["file_no"]):
+            part = f"{folder}/_{uuid.uuid4().hex}"  # hidden from readers until it is whole
+            with open(part, "wb") as f:
+                f.write(b"[")
+                for i, record in enumerate(records):
+                    f.write((",\n" if i else "").encode() + record["payload"].encode())
+                f.write(b"]\n")
+            os.replace(part, f"{folder}/part_{'null' if file_no is None else f'{file_no:013d}'}-{label}.txt")
+
+    os.makedirs(folder, exist_ok=True)
+    records = export_records(spark, sf_dir).where(batch).select("file_no", "k0", "payload")
+    # As `export_files` has them; no file is held as one row.
+    records.repartition("file_no").sortWithinPartitions("file_no", "k0", "payload").select("file_no", "payload").foreachPartition(write)
     return target
 
 
@@ -198,7 +226,7 @@ def full_ingest(spark: SparkSession, sf_dir: str) -> HistoryStore:
     exported = work_dir(spark, "export")
     for batch in ("file_no % 3 = 0", "file_no % 3 > 0", None):
         if batch:
-            write_export(spark, sf_dir, batch, exported)
+            write_export(spark, sf_dir, batch, exported, "first" if batch.endswith("= 0") else "rest")
         ingest(store, exported, fmt=FMT, local_timezone=ZONE, pattern="*.txt")
     return store
 
@@ -224,8 +252,8 @@ union all select 3, 0, cast(sum(files) as integer), 0, '', 'ok' from n""")
 
 
 # Records by batch: copies of two months come second, the last years third.
-BATCH = """case when substring(get_json_object(payload, '$.ts'), 1, 7) in ('1997-03', '1997-04') and k0 >= 2000000000000 then 2
-  when substring(get_json_object(payload, '$.ts'), 1, 4) >= '2000' then 3 else 1 end"""
+BATCH = """case when substring(ts, 1, 7) in ('1997-03', '1997-04') and k0 >= 2000000000000 then 2
+  when substring(ts, 1, 4) >= '2000' then 3 else 1 end"""
 BATCHES_CTE = RECORDS_CTE + """
 , dealt as (select *, cast(date_trunc('month', ts_utc) as date) as utc_month,
     case when strftime(ts_utc, '%Y-%m') in ('1997-03', '1997-04') and k0 >= 2000000000000 then 2
@@ -237,8 +265,7 @@ def month_store(spark: SparkSession, sf_dir: str) -> HistoryStore:
     """Three runs whose files touch most months, two of them again, and the last ones."""
     store, exported = HistoryStore(spark, work_dir(spark, "store")), work_dir(spark, "export")
     for batch in (1, 2, 3):
-        text = export_files(spark, sf_dir, f"{BATCH} = {batch}").select(F.decode("content", "UTF-8").alias("value"))
-        text.write.mode("append").option("maxRecordsPerFile", 1).text(exported)
+        write_export(spark, sf_dir, f"{BATCH} = {batch}", exported, f"batch{batch}")
         ingest(store, exported, fmt=FMT, local_timezone=ZONE, pattern="*.txt")
     return store
 

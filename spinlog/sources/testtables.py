@@ -54,7 +54,7 @@ def plays_from_lineitem(spark: SparkSession, sf_dir: str, zone: str = ZONE) -> D
 
 
 def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as export records: (file number, index, JSON payload).
+    """Orders as export records: (file number, index, time as text, JSON payload).
 
     A file holds the orders of one block of 500 consecutive keys, so its size
     does not grow with the table.  Every 7th key is a podcast, every 11th has
@@ -68,12 +68,13 @@ def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus as s",
         "o_orderpriority as p",
     )
+    orders = orders.withColumn("ts", F.expr("date_format(t, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"))
     repeats = orders.where("k % 5 = 0").selectExpr("k + 2000000000000 as k0", "*")
     both = orders.selectExpr("k as k0", "*").unionByName(repeats)
     record = F.to_json(
         F.expr(
             "named_struct("
-            "'ts', date_format(t, \"yyyy-MM-dd'T'HH:mm:ss'Z'\"), 'ms_played', ms,"
+            "'ts', ts, 'ms_played', ms,"
             "'master_metadata_track_name', case when k % 7 <> 0 then if(k % 11 = 0, '', concat('song ', k % 97)) end,"
             "'master_metadata_album_artist_name', case when k % 7 <> 0 then if(k % 11 = 0, '', concat('artist ', c)) end,"
             "'master_metadata_album_album_name', case when k % 7 <> 0 then concat('album ', k % 13) end,"
@@ -90,12 +91,15 @@ def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"ignoreNullFields": "false"},
     )
     return both.select(
-        F.expr("k0 div 500").alias("file_no"), F.col("k0"), record.alias("payload")
+        F.expr("k0 div 500").alias("file_no"), F.col("k0"), "ts", record.alias("payload")
     )
 
 
 def export_files(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """(source_file, content): each block of 500 keys rendered as one JSON array, of the records `where` holds for."""
+    """(source_file, content): each block of 500 keys rendered as one JSON array, of the records `where` holds for.
+
+    `where` is over columns of `export_records`; one that leaves out `payload` is applied before any text is made.
+    """
     per_file = export_records(spark, sf_dir).where(where).groupBy("file_no").agg(
         F.sort_array(F.collect_list(F.struct("k0", "payload"))).alias("r")
     )
